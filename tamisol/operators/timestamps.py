@@ -112,7 +112,9 @@ def normalise(df: DataFrame, value: str, instant: str, order: str, zone: str, ou
     last = F.when(m == 2, F.when(leap, 29).otherwise(28)).when(m.isin(4, 6, 9, 11), 30).otherwise(31)
     clock = c["h"].isNull() | (h.between(0, 23) & c["i"].between(0, 59) & F.col("__ts_ss").between(0, 60))
     valid = F.coalesce(y.between(1, 9999) & m.between(1, 12) & (d <= last) & clock & (c["z"].isNull() | off.between(-1080, 1080)), F.lit(False))
-    df = df.withColumns({"__ts_ok": valid, "__ts_day": days_from_civil(y, m, d)})
+    # A filter on the result, pushed down through these projections, would copy every expression into every use of it; the optimizer
+    # pushes none below a column that isn't deterministic.
+    df = df.withColumns({"__ts_ok": valid, "__ts_day": days_from_civil(y, m, d), "__ts_bar": F.rand(0)})
     df = df.withColumn("__ts_local", F.when(F.col("__ts_ok"), F.col("__ts_day") * 86400 + h.cast("long") * 3600 + c["i"] * 60 + F.col("__ts_ss")))
     local = F.col("__ts_local")
     # Spark's conversion takes the earlier offset of an overlap and moves a gap ahead by its length.
@@ -121,8 +123,8 @@ def normalise(df: DataFrame, value: str, instant: str, order: str, zone: str, ou
     u, sod = F.col("__ts_u"), F.pmod(F.col("__ts_u"), F.lit(86400))
     stamp = F.concat(F.date_from_unix_date(F.floor(u / 86400).cast("int")).cast("string"), F.lit("T"), _pad(F.floor(sod / 3600), 2), F.lit(":"), _pad(F.floor(sod / 60) % 60, 2), F.lit(":"), _pad(sod % 60, 2), F.lit("Z"))
     written = F.date_from_unix_date(F.col("__ts_day").cast("int")).cast("string")
-    df = df.withColumn(out, F.when(u.isNotNull(), stamp).when(F.col("__ts_ok"), written))
-    return df.drop(*[f"__ts_{k}" for k in [*roles, "mm", "dd", "hh", "ss", "off", "ok", "day", "local", "u"]])
+    df = df.withColumn(out, F.when(F.col("__ts_bar") < 0, None).when(u.isNotNull(), stamp).when(F.col("__ts_ok"), written))
+    return df.drop(*[f"__ts_{k}" for k in [*roles, "mm", "dd", "hh", "ss", "off", "ok", "day", "local", "u", "bar"]])
 
 
 def with_conventions(df: DataFrame, conventions: DataFrame, source: str) -> DataFrame:
