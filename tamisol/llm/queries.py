@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tamisol.llm import copies, garbled, lookalikes
+from tamisol.llm import copies, garbled, leakage, lookalikes, mixing, quality
 from tamisol.session import ship, table
 
 
@@ -39,8 +39,41 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return p6_restored(spark, d).select("id", "field")
 
 
+def p8_leaks(spark: SparkSession, d: str) -> DataFrame:
+    ship(spark)
+    return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return p8_leaks(spark, d).select("doc_id", "item_id")
+
+
+def p8_cleaned(spark: SparkSession, d: str) -> DataFrame:
+    ship(spark)
+    return leakage.cleaned(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def p9_selection(spark: SparkSession, d: str) -> DataFrame:
+    ship(spark)
+    return mixing.selection(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.shares(p9_selection(spark, d), table(spark, d, "mix_targets"))
+
+
+def p10_statistics(spark: SparkSession, d: str) -> DataFrame:
+    ship(spark)
+    return quality.classified(table(spark, d, "documents"), table(spark, d, "common_words"))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    ship(spark)
+    return quality.found(table(spark, d, "documents"), table(spark, d, "common_words"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_canonical, p5_found, p5_collapsed, p6_found, p6_restored)}
+    return {f.__name__: f for f in (p1_found, p1_canonical, p5_found, p5_collapsed, p6_found, p6_restored, p8_found, p8_leaks, p8_cleaned, p9_selection, p9_shares, p10_found, p10_statistics)}
 
 
 def oracle_sql() -> dict[str, str]:
