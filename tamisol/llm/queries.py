@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tamisol.llm import copies, garbled, leakage, lookalikes, mixing, quality
+from tamisol.llm import copies, garbled, leakage, lookalikes, mixing, quality, variants
 from tamisol.session import ship, table
 
 
@@ -20,6 +20,15 @@ def p1_canonical(spark: SparkSession, d: str) -> DataFrame:
     return lookalikes.canonical_names(table(spark, d, "sanctions"), table(spark, d, "customer_kyc"))
 
 
+def p2_links(spark: SparkSession, d: str) -> DataFrame:
+    ship(spark)
+    return variants.entity_and_case_links(table(spark, d, "sanctions_alerts"), table(spark, d, "sanctions"), table(spark, d, "prior_cases"))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return p2_links(spark, d).select("link", "left_key", "right_key")
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     ship(spark)
     return copies.copies(table(spark, d, "sanctions"))
@@ -73,7 +82,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_canonical, p5_found, p5_collapsed, p6_found, p6_restored, p8_found, p8_leaks, p8_cleaned, p9_selection, p9_shares, p10_found, p10_statistics)}
+    return {f.__name__: f for f in (p1_found, p1_canonical, p2_found, p2_links, p5_found, p5_collapsed, p6_found, p6_restored, p8_found, p8_leaks, p8_cleaned, p9_selection, p9_shares, p10_found, p10_statistics)}
 
 
 def oracle_sql() -> dict[str, str]:
