@@ -38,9 +38,9 @@ _SHIPPED: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Make this package importable in the Python workers of a cluster; does nothing in local mode."""
+    """Make this package importable in the Python workers, wherever they were started."""
     context = spark.sparkContext
-    if context.master.startswith("local[") or context.master == "local" or context.applicationId in _SHIPPED:
+    if context.applicationId in _SHIPPED:
         return
     root = os.path.dirname(os.path.abspath(__file__))
     path = os.path.join(tempfile.mkdtemp(prefix="tamisol-zip-"), "tamisol.zip")
