@@ -19,12 +19,12 @@ _LATIN = {"ı": "i", "ł": "l", "ø": "o", "ß": "ss", "æ": "ae", "œ": "oe", "
 _CYRILLIC = dict(zip("абвгдезийклмнопрстуфыэіѓґ", "abvgdeziyklmnoprstufyeigg", strict=True)) | {
     "ж": "zh", "х": "kh", "ц": "ts", "ч": "ch", "ш": "sh", "щ": "shch", "ъ": "", "ь": "", "ю": "yu", "я": "ya", "ё": "yo", "є": "ye", "ї": "yi", "ј": "j", "љ": "lj", "њ": "nj", "ћ": "c", "ђ": "dj", "џ": "dz", "ў": "u",
 }
-_ARABIC = dict(zip("ابتجحدرزسصضطظعفقكلمنهويىةپگچژکی", "abtjhdrzssdtzafqklmnhwyiapgxjky", strict=True)) | {"ث": "th", "خ": "kh", "ذ": "z", "ش": "sh", "غ": "gh", "ء": "", "أ": "a", "إ": "i", "آ": "a", "ؤ": "w", "ئ": "y", "چ": "ch", "ژ": "zh"}
+_ARABIC = dict(zip("ابتجحدرزسصضطظعفقكلمنهويىةپگچژکی", "abtjhdrzssdtzafqklmnhuiaapgxjki", strict=True)) | {"ث": "th", "خ": "kh", "ذ": "z", "ش": "sh", "غ": "gh", "ء": "", "أ": "a", "إ": "i", "آ": "a", "ؤ": "u", "ئ": "i", "چ": "ch", "ژ": "zh"}
 _TABLE = str.maketrans(_LATIN | _CYRILLIC | _ARABIC)
 
 # Titles, particles, legal forms with their short forms, and frequent short forms of business words.
 TITLES = frozenset("mr mrs ms miss dr shri smt sheikh shaikh sheik sir prof hon messrs mister madame mme herr frau sri haji hajji capt col sayyid".split())
-PARTICLES = frozenset("al el all ell ul bin ibn bint ben b de del la las los da dos das du van von der den di le the of and y e et und".split())
+PARTICLES = frozenset("al el il all ell ul bin ibn bint ben b de del la las los da dos das du van von der den di le the of and y e et und".split())
 LEGAL = {
     w: form
     for form, words in {
@@ -256,6 +256,7 @@ def _business_score(a: Name, b: Name) -> float:
 def _person_score(x: list[str], y: list[str]) -> float:
     """At least one full word must agree; of the rest, each side's words are in the other's, up to initials and left-out middle names."""
     got, rx, ry = _pair_words(x, y)
+    rx, ry = ([w for w in r if w not in ("i", "d")] for r in (rx, ry))  # initials of particles
     full = [s for p, q, s in got if len(p) > 1 and len(q) > 1]
     if rx and ry:
         if _glued(rx, ry) and (full or got):

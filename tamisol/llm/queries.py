@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tamisol.llm import copies, garbled, leakage, lookalikes, mixing, quality, variants
+from tamisol.llm import copies, garbled, leakage, linkage, lookalikes, mixing, quality, variants
 from tamisol.session import ship, table
 
 
@@ -29,6 +29,15 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return p2_links(spark, d).select("link", "left_key", "right_key")
 
 
+def p3_matches(spark: SparkSession, d: str) -> DataFrame:
+    ship(spark)
+    return linkage.matches(table(spark, d, "sanctions"), table(spark, d, "list_conventions"))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return p3_matches(spark, d).select("id_a", "id_b")
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     ship(spark)
     return copies.copies(table(spark, d, "sanctions"))
@@ -82,7 +91,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_canonical, p2_found, p2_links, p5_found, p5_collapsed, p6_found, p6_restored, p8_found, p8_leaks, p8_cleaned, p9_selection, p9_shares, p10_found, p10_statistics)}
+    return {f.__name__: f for f in (p1_found, p1_canonical, p2_found, p2_links, p3_found, p3_matches, p5_found, p5_collapsed, p6_found, p6_restored, p8_found, p8_leaks, p8_cleaned, p9_selection, p9_shares, p10_found, p10_statistics)}
 
 
 def oracle_sql() -> dict[str, str]:
