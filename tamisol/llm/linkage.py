@@ -180,14 +180,11 @@ def blocks(profiles: DataFrame, common: frozenset[str]) -> DataFrame:
                 other.append(o)
 
             for i, (packed, dob) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)):
-                keys = variants.key_words(packed, common)
-                words = [w for part in packed.split("|") for w in part.split(" ") if w not in names.LEGAL]
-                for k in keys:
-                    near = {w[0] for w in words if names.skeleton(w) != k} or {""}
-                    for o in sorted(near):
+                for k, initials in variants.key_words(packed, common):
+                    for o in initials or [""]:
                         add(i, "w", k, o)
                     if "|D" in dob and "+" not in k:
-                        add(i, "d", dob, k[:2])
+                        add(i, "d", dob, names.skeleton(k.strip("=~"))[:2])
                 add(i, "l", "".join(sorted("".join(names.spelling(w) for w in packed.split("|")[0].split(" ") if w not in names.LEGAL))), "")
             at = pa.array(take, pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0).take(at), pa.array(kind, pa.string()), pa.array(word, pa.string()), pa.array(other, pa.string())], ["profile", "kind", "word", "other"])

@@ -1,10 +1,11 @@
 """Exact radius joins of short strings in a metric space, partitioned by pivots.
 
-The metric is the unrestricted Damerau-Levenshtein distance. Pivots are strings too: the empty string and runs of one letter as
-long as the longest string, so that a distance to a pivot is known from the length and the letter's count. A string's cell is the
-tuple of its distances to the pivots, in steps of two. By the triangle inequality, strings within radius 1 differ by at most 1 from
-each other in every one of these distances; the query side is therefore replicated to the neighbouring cell wherever its distance
-stands at a step's boundary, and each cell can be joined alone.
+The metric is the unrestricted Damerau-Levenshtein distance. Pivots are the empty string and sets of strings: all strings of one great
+length over half of the alphabet. The distance to a pivot follows from the length, or from how many letters are in that half. A
+string's cell is the tuple of its distances to the pivots, in steps. By the triangle inequality, which holds for distances to sets
+too, strings within radius 1 differ by at most 1 in every one of these distances; the query side is therefore replicated to the
+neighbouring cell wherever its distance stands at a step's boundary, and each cell can be joined alone. Inside a cell the join is
+linear in its strings, so there are only as many pivots as tasks can be kept busy with.
 """
 
 from __future__ import annotations
@@ -18,28 +19,29 @@ from pyspark.sql import functions as F
 
 from tamisol.llm.names import edits
 
-RADIUS, STEP = 1, 2
-#: Strings a cell should hold on average; letters that runs are made of, in the order in which they are taken as pivots.
-CELL, LETTERS = 400, "rnlmtskdbgfpzjx"
+RADIUS, STEP = 1, 3
+#: Strings that a cell may hold on average before there is another pivot; halves of the alphabet, each cutting across the others.
+CELL = 25_000
+HALVES = ["rlmkgpzhqyu", "rnldsfjxtwo", "rntmkbfjaei", "rndmpbzxqvc", "ntlgsbhwyeo"]
 
 
-def pivots(rows: int) -> str:
-    """The letters whose runs are pivots for a number of strings: the more strings, the more pivots."""
-    n = 1
-    while n < len(LETTERS) and rows / 1.7**n > CELL:
+def pivots(rows: int) -> list[frozenset[str]]:
+    """The halves of the alphabet that are pivots, beside the empty string, for a number of strings: the more strings, the more pivots."""
+    n = 0
+    while n < len(HALVES) and rows > CELL * 2 ** (n + 1):
         n += 1
-    return LETTERS[:n]
+    return [frozenset(h) for h in HALVES[:n]]
 
 
-def distance_to_run(text: str, letter: str, length: int) -> int:
-    """The distance of ``text`` to a run of ``letter`` at least as long as the text."""
-    return length - text.count(letter)
+def distance_to_half(text: str, half: frozenset[str], length: int) -> int:
+    """The distance of ``text`` to the set of strings of ``length`` letters of ``half``, at least as long as the text."""
+    return length - sum(c in half for c in text)
 
 
-def cells(text: str, letters: str, replicate: bool) -> list[str]:
+def cells(text: str, halves: list[frozenset[str]], replicate: bool) -> list[str]:
     """The cell of a string, or, for a query, every cell that can hold a string within RADIUS of it."""
     options = []
-    for d in (len(text), *(text.count(c) for c in letters)):  # up to a constant, the distances to the pivots
+    for d in (len(text), *(sum(c in h for c in text) for h in halves)):  # up to a constant, the distances to the pivots
         low, high = max(0, d - RADIUS) // STEP, (d + RADIUS) // STEP
         options.append(range(low, high + 1) if replicate else (d // STEP,))
     out = [""]
@@ -54,20 +56,20 @@ def shortened(text: str) -> set[str]:
 
 
 def within_radius(queries: DataFrame, members: DataFrame) -> DataFrame:
-    """(query, member): all pairs of a string of ``queries`` and one of ``members`` (columns named text) at a distance of at most RADIUS.
+    """(query, member, apart): all pairs of a string of ``queries`` and one of ``members`` (columns named text) at a distance, apart, of at most RADIUS.
 
     Both sides are made distinct; null strings have no partner, '' has those of length 1. Cells are streamed one after the other, sorted, so a task
     holds the members of one cell at a time. Nothing is capped.
     """
     q, m = queries.select("text").filter("text is not null").distinct(), members.select("text").filter("text is not null").distinct()
-    letters = pivots(m.count())
+    halves = pivots(m.count())
 
     def place(side: int):
         def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 cell, text = [], []
                 for t in b.column(0).to_pylist():
-                    for c in cells(t, letters, side == 1):
+                    for c in cells(t, halves, side == 1):
                         cell.append(c)
                         text.append(t)
                 yield pa.RecordBatch.from_arrays([pa.array(cell, pa.string()), pa.array([side] * len(text), pa.int32()), pa.array(text, pa.string())], ["cell", "side", "text"])
@@ -81,7 +83,7 @@ def within_radius(queries: DataFrame, members: DataFrame) -> DataFrame:
         cell: str | None = None
         index: dict[str, list[str]] = {}
         for b in batches:
-            left, right = [], []
+            left, right, apart = [], [], []
             for c, side, t in zip(*(x.to_pylist() for x in b.columns), strict=True):
                 if c != cell:
                     cell, index = c, {}
@@ -91,13 +93,14 @@ def within_radius(queries: DataFrame, members: DataFrame) -> DataFrame:
                 elif index:
                     near = {x for s in shortened(t) for x in index.get(s, ())}
                     for x in near:
-                        if edits(t, x, RADIUS) <= RADIUS:
+                        if (e := edits(t, x, RADIUS)) <= RADIUS:
                             left.append(t)
                             right.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(left, pa.string()), pa.array(right, pa.string())], ["query", "member"])
+                            apart.append(e)
+            yield pa.RecordBatch.from_arrays([pa.array(left, pa.string()), pa.array(right, pa.string()), pa.array(apart, pa.int32())], ["query", "member", "apart"])
 
     # a pair can only meet in the one cell its member is in, so pairs are distinct
-    return both.repartition("cell").sortWithinPartitions("cell", "side").mapInArrow(join, "query string, member string")
+    return both.repartition("cell").sortWithinPartitions("cell", "side").mapInArrow(join, "query string, member string, apart int")
 
 
 def brute(queries: Iterable[str], members: Iterable[str]) -> set[tuple[str, str]]:

@@ -57,7 +57,7 @@ def latin(text: str) -> str:
 
 
 _SOUNDS = [(re.compile(a), b) for a, b in (("sch|shch|sh", "x"), ("tch|ch", "x"), ("kh|ck|q|c", "k"), ("gh", "g"), ("ph|v", "f"), ("th", "t"), ("zh|dj", "j"), ("x", "x"), ("(?<=.)[aeiouyhw]", ""), ("^[aeiouyhw]+", "a"), (r"(.)\1+", r"\1"))]
-_SPELLINGS = [(re.compile(a), b) for a, b in (("sch", "sh"), ("tch", "ch"), ("ee|ei|ie", "i"), ("oo|ou|ow", "u"), ("ae|oe(?=.)", "e"), ("ue(?=.)", "u"), ("ph", "f"), ("w", "v"), ("ck|q|c(?!h)", "k"), ("y|j(?=[^aeiou]|$)", "i"), (r"(.)\1+", r"\1"))]
+_SPELLINGS = [(re.compile(a), b) for a, b in (("sch", "sh"), ("tch", "ch"), ("ee|ei|ie", "i"), ("oo|ou", "u"), ("ae|oe(?=.)", "e"), ("ue(?=.)", "u"), ("ph", "f"), ("w", "v"), ("ck|q|c(?!h)", "k"), ("y|j(?=[^aeiou]|$)", "i"), (r"(.)\1+", r"\1"))]
 
 
 @lru_cache(200_000)
@@ -80,18 +80,8 @@ def spelling(word: str) -> str:
     return word
 
 
-def edits(a: str, b: str, most: int) -> int:
-    """Unrestricted Damerau-Levenshtein distance, a metric; anything above ``most`` comes out as most + 1."""
-    if a == b:
-        return 0
-    if abs(len(a) - len(b)) > most:
-        return most + 1
-    while a and b and a[0] == b[0]:
-        a, b = a[1:], b[1:]
-    while a and b and a[-1] == b[-1]:
-        a, b = a[:-1], b[:-1]
-    if not a or not b:
-        return min(most + 1, len(a) + len(b))
+def distance(a: str, b: str) -> int:
+    """Unrestricted Damerau-Levenshtein distance, a metric."""
     last: dict[str, int] = {}
     far = len(a) + len(b)
     d = [[far] * (len(b) + 2) for _ in range(len(a) + 2)]
@@ -107,7 +97,34 @@ def edits(a: str, b: str, most: int) -> int:
                 before = j
             d[i + 1][j + 1] = min(d[i][j] + (x != y), d[i + 1][j] + 1, d[i][j + 1] + 1, d[k][m] + (i - k - 1) + 1 + (j - m - 1))
         last[x] = i
-    return min(most + 1, d[-1][-1])
+    return d[-1][-1]
+
+
+def edits(a: str, b: str, most: int) -> int:
+    """Insertions, deletions, substitutions and swaps of neighbours that turn a into b; more than ``most`` come out as most + 1. Up to 1 it equals ``distance``."""
+    n = min(len(a), len(b))
+    i = 0
+    while i < n and a[i] == b[i]:
+        i += 1
+    a, b = a[i:], b[i:]
+    n -= i
+    i = 0
+    while i < n and a[-1 - i] == b[-1 - i]:
+        i += 1
+    if i:
+        a, b = a[:-i], b[:-i]
+    if not a or not b:
+        return min(most + 1, len(a) + len(b))
+    if most <= 0 or abs(len(a) - len(b)) > most:
+        return most + 1
+    best = edits(a[1:], b[1:], most - 1)
+    if len(a) >= len(b) - 1:
+        best = min(best, edits(a[1:], b, most - 1))
+    if len(b) >= len(a) - 1:
+        best = min(best, edits(a, b[1:], most - 1))
+    if len(a) > 1 and len(b) > 1 and a[0] == b[1] and a[1] == b[0]:
+        best = min(best, edits(a[2:], b[2:], most - 1))
+    return best + 1
 
 
 def clean(text: str) -> str:
@@ -191,7 +208,7 @@ def word_score(a: str, b: str) -> float:
         return 0.9
     if len(s) >= 5 and len(t) >= 5 and edits(s, t, 1) <= 1:
         return 0.75
-    if a[:3] == b[:3] and min(len(a), len(b)) <= 6 or a[:2] == b[:2] and min(len(a), len(b)) <= 4:  # familiar forms
+    if abs(len(a) - len(b)) <= 5 and (a[:3] == b[:3] and min(len(a), len(b)) <= 6 or a[:2] == b[:2] and min(len(a), len(b)) <= 4):  # familiar forms
         return 0.62
     return 0.0
 
@@ -255,6 +272,8 @@ def _business_score(a: Name, b: Name) -> float:
 
 def _person_score(x: list[str], y: list[str]) -> float:
     """At least one full word must agree; of the rest, each side's words are in the other's, up to initials and left-out middle names."""
+    if len(x) != len(y) and _glued(x, y):
+        return 0.85
     got, rx, ry = _pair_words(x, y)
     rx, ry = ([w for w in r if w not in ("i", "d")] for r in (rx, ry))  # initials of particles
     full = [s for p, q, s in got if len(p) > 1 and len(q) > 1]
@@ -307,9 +326,9 @@ def with_packed(df: DataFrame, text: str) -> DataFrame:
 
 
 def word_counts(packed_names: DataFrame) -> tuple[dict[str, int], int]:
-    """Skeletons that occur in many distinct names, with their counts, and the number of distinct names; ``packed_names`` has the column packed.
+    """Spellings of words that occur in many distinct names, with their counts, and the number of distinct names; ``packed_names`` has the column packed.
 
-    Only skeletons in at least one of 2,000 names come to the driver: as a name has a few words, that is a few thousand at most, whatever the size.
+    Only words in at least one of 2,000 names come to the driver: as a name has a few words, that is a few thousand at most, whatever the size.
     """
 
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -318,7 +337,7 @@ def word_counts(packed_names: DataFrame) -> tuple[dict[str, int], int]:
         for b in batches:
             for p in b.column(0).to_pylist():
                 rows += 1
-                total.update({skeleton(w) for w in p.split("|")[0].split(" ") if len(w) > 1})
+                total.update({spelling(w) for w in p.split("|")[0].split(" ") if len(w) > 1})
             if len(total) > 200_000:
                 yield pa.RecordBatch.from_arrays([pa.array(["", *total], pa.string()), pa.array([rows, *total.values()], pa.int64())], ["k", "n"])
                 total, rows = Counter(), 0
