@@ -6,14 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tamisol.plans import preparation
+from tamisol.plans import catalogue, preparation
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return {**preparation.QUERIES}
+    return {**catalogue.QUERIES, **preparation.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(catalogue.SQL)
