@@ -23,6 +23,8 @@ WORD = re.compile(r"\w+")
 #: Shortest shared span in words; share of an item's words that makes a leak; share of them that must lie outside common passages; share and
 #: least number of documents that make a passage common; longest change, in words, that doesn't end a stretch.
 MIN_SPAN, COVERAGE, OWN, COMMON_SHARE, COMMON_LEAST, CHANGE = 4, 1 / 3, 0.16, 0.005, 8, 3
+#: Shortest span that is removed from a leaking document although the share doesn't rest on it.
+REMOVED = 6
 #: Items of more words than this are split into blocks, each with its own automaton; every document is streamed through all of them.
 BLOCK_WORDS = 400_000
 
@@ -201,7 +203,8 @@ def shared_spans(docs: DataFrame, items: list[tuple[int, list[str]]]) -> DataFra
 
 
 def leaks(docs: DataFrame, items: DataFrame, documents: int | None = None) -> DataFrame:
-    """(doc_id, item_id, share, spans) of every document that repeats at least COVERAGE of an item's words in order.
+    """(doc_id, item_id, share, spans, shared) of every document that repeats at least COVERAGE of an item's words in order: the spans that
+    make up the share, and all spans of REMOVED words and more that both have in common.
 
     A share of OWN of the item's words must lie outside passages matched in COMMON_SHARE of all documents (at least COMMON_LEAST). Null and empty texts share nothing; items shorter
     than MIN_SPAN words can't leak; repeated documents are each reported, repeated rows of one doc_id once; extra columns are ignored.
@@ -234,7 +237,7 @@ def leaks(docs: DataFrame, items: DataFrame, documents: int | None = None) -> Da
 
     def decide(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keep, shares, chosen = [], [], []
+            keep, shares, chosen, long = [], [], [], []
             for k, (item, spans) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)):
                 size = len(usable[item]) - 1
                 found = [(s["d"], s["i"], s["n"]) for s in spans]
@@ -244,16 +247,17 @@ def leaks(docs: DataFrame, items: DataFrame, documents: int | None = None) -> Da
                     keep.append(k)
                     shares.append(min(1.0, n / size))
                     chosen.append([{"d": d, "i": i, "n": m} for d, i, m in used])
+                    long.append([s for s in spans if s["n"] >= REMOVED])
             at = pa.array(keep, pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(shares, pa.float64()), pa.array(chosen, b.column(2).type)], ["doc_id", "item_id", "share", "spans"])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(shares, pa.float64()), pa.array(chosen, b.column(2).type), pa.array(long, b.column(2).type)], ["doc_id", "item_id", "share", "spans", "shared"])
 
-    rows = shared.filter("docs is null").select("doc_id", "item_id", "spans").mapInArrow(decide, "doc_id long, item_id long, share double, spans array<struct<d:int,i:int,n:int>>")
+    rows = shared.filter("docs is null").select("doc_id", "item_id", "spans").mapInArrow(decide, "doc_id long, item_id long, share double, spans array<struct<d:int,i:int,n:int>>, shared array<struct<d:int,i:int,n:int>>")
     return rows.dropDuplicates(["doc_id", "item_id"])
 
 
 def cleaned(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, removed_words, text_clean): every leaking document without the leaked spans; all others stay as they are and aren't listed."""
-    cut = leaks(docs, items).select("doc_id", F.explode("spans").alias("s")).groupBy("doc_id").agg(F.collect_set(F.struct(F.col("s.d").alias("d"), F.col("s.n").alias("n"))).alias("cut"))
+    cut = leaks(docs, items).select("doc_id", F.explode(F.concat("spans", "shared")).alias("s")).groupBy("doc_id").agg(F.collect_set(F.struct(F.col("s.d").alias("d"), F.col("s.n").alias("n"))).alias("cut"))
     both = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").dropDuplicates(["doc_id"]).join(cut, "doc_id")
 
     def remove(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -132,7 +132,7 @@ def fit(counts: np.ndarray) -> tuple[float, list[np.ndarray], list[np.ndarray]]:
     # to begin with, matches are those that agree on the name and don't contradict each other
     m = [np.array([0.005, 0.03, 0.08, 0.15, 0.25, 0.485]), np.array([0.01, 0.3, 0.01, 0.25, 0.03, 0.4]), np.array([0.03, 0.3, 0.67])]
     u = [np.array([0.6, 0.3, 0.04, 0.03, 0.02, 0.01]), np.array([0.53, 0.3, 0.04, 0.1, 0.01, 0.02]), np.array([0.5, 0.3, 0.2])]
-    share = 0.2
+    share, m0, u0 = 0.2, [x.copy() for x in m], [x.copy() for x in u]
     for _ in range(ROUNDS):
         post = posterior(share, m, u)
         w = counts * post
@@ -140,7 +140,7 @@ def fit(counts: np.ndarray) -> tuple[float, list[np.ndarray], list[np.ndarray]]:
         share = float(np.clip(w.sum() / total, 1e-4, 0.999))
         for k in range(len(SIZES)):
             others = tuple(x for x in range(len(SIZES)) if x != k)
-            a, b = w.sum(others) + PRIOR * m[k], v.sum(others) + PRIOR * u[k]
+            a, b = w.sum(others) + PRIOR * m0[k], v.sum(others) + PRIOR * u0[k]
             m[k], u[k] = a / a.sum(), b / b.sum()
     return share, m, u
 

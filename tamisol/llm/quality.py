@@ -20,6 +20,9 @@ from tamisol.session import materialise
 #: Components, most iterations, least gain of the mean log likelihood, ridge on covariances, rows that seed the means.
 COMPONENTS, ITERATIONS, GAIN, RIDGE, SEED_ROWS = 20, 20, 2e-3, 0.02, 4_000
 
+#: Squared distance, in a component's own units, up to which an example speaks for it.
+NEAR = 40.0
+
 STATISTICS = ["word_count", "mean_word_length", "symbol_ratio", "punctuated_lines", "common_words", "common_pairs", "repetition", "plain_words", "digit_share", "running_share", "label_lines"]
 _LETTERS = re.compile(r"[^\W\d_]+")
 _PLAIN = re.compile(r"^[(\"'«„“‘¿¡]*[^\W\d_]+(?:['’\-][^\W\d_]+)*[.,;:!?)\"'»“”’…]*$")
@@ -244,22 +247,26 @@ def examples() -> list[tuple[str, str]]:
 
 
 def labelled(model: Mixture, common: list[frozenset[str]]) -> list[str]:
-    """The label of each component: the examples' labels weighted by the component's posterior, or the label of the example nearest to its mean."""
+    """The label of each component: what the examples that fall into it say, weighted by their posterior; for a component without any, the label
+    of the example nearest to its mean, in units of the examples' own spread."""
     shown = examples()
-    z = model.standardised(np.asarray([statistics(t, common) for _, t in shown]))
+    x = Mixture.transform(np.asarray([statistics(t, common) for _, t in shown]))
+    z = (x - model.centre) / model.scale
     post, _ = model.posterior(z)
+    away = np.stack([(((z - m) @ r.T) ** 2).sum(1) for m, r in zip(model.means, model.inverse, strict=True)], 1)
+    post = np.where(away <= NEAR, post, 0.0)
     kinds = ["prose", "list", "table", "junk"]
     votes = np.zeros((len(model.weights), len(kinds)))
     each = {k: sum(label == k for label, _ in shown) for k in kinds}
     for (label, _), p in zip(shown, post, strict=True):
         votes[:, kinds.index(label)] += p / each[label]
+    spread, means = x.std(0) + 1e-3, model.means * model.scale + model.centre
     out = []
     for k in range(len(model.weights)):
-        if votes[k].max() > 0.02:
+        if votes[k].max() > 0.01:
             out.append(kinds[int(votes[k].argmax())])
         else:
-            d = ((z - model.means[k]) ** 2).sum(1)
-            out.append(shown[int(d.argmin())][0])
+            out.append(shown[int((((x - means[k]) / spread) ** 2).sum(1).argmin())][0])
     return out
 
 

@@ -132,18 +132,27 @@ def test_heavier_documents_come_first_more_often(spark):
     assert 2.5 < n[0] / n[1] < 3.3  # weights of three to one
 
 
+PROSE = """
+The harbour office opened late on Monday because heavy rain had flooded the lower road. Nobody in the village could remember a winter with so little snow. After lunch the two engineers drew a plan for a bridge that would carry trucks as well as trains.
+Her brother sold the workshop in spring and moved north with three boxes of tools. The committee postponed its decision until an expert had examined every report. Most visitors walk straight past the small museum, which shows letters from sailors and their families.
+A bakery near the station sells bread that was baked before sunrise. When the lights went out, several people started to sing. The auditor asked for older invoices, yet the accountant had already sent them by mail.
+Two of the paintings were returned to their owner in good condition. Farmers along the river expect a poor harvest despite cooler weather in August. The new teacher speaks four languages and plays the cello on weekends.
+It took the crew nine days to repair the engine of the ferry. Without a word, the old man folded his newspaper and left the room. Prices rose again in autumn, although fuel became cheaper almost everywhere.
+The lawyer explained which documents the court would need from both sides. Some students prefer to read on paper while others carry a tablet. An early train connects the valley with the coast, but only from May to September.
+The gardener planted roses behind the chapel and cut back the hedge. Its roof had to be replaced after the storm. Guests were asked not to feed the horses. The bank confirmed that no payment had arrived from abroad.
+"""
+
+
 def quality_tables(spark):
     common = [("en", w) for w in "the of and to in a is was it for on with as by at from not were had which this an be after before until that has or when while without within under despite because".split()]
     common += [("de", w) for w in "der die das und ist nicht ein mit von dem den im zu bei nach".split()]
     rng = random.Random(7)
     nouns = "ledger passport clerk harbour invoice reviewer branch vessel letter contract answer folder notary premium quarter".split()
-    verbs = "compared signed returned closed questioned mentioned archived forwarded".split()
+    sentences = [x.strip() + "." for x in PROSE.split(".") if x.strip()]
+
     def prose(n):
-        out = []
-        for _ in range(n):
-            s = f"the {rng.choice(nouns)} {rng.choice(verbs)} the {rng.choice(nouns)} of a {rng.choice(nouns)} and was in the {rng.choice(nouns)} before it {rng.choice(verbs)} an {rng.choice(nouns)} for the {rng.choice(nouns)}."
-            out.append(s.capitalize())
-        return " ".join(out)
+        return " ".join(rng.choice(sentences) for _ in range(n)) if n > 100 else " ".join(rng.sample(sentences, min(n, len(sentences))))
+
     def table(n):
         return "\n".join(f"| {rng.choice(nouns)} | {rng.randrange(9999)} | 0.{rng.randrange(999)} |" for _ in range(n))
     def pairs(n):
