@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 from tamisol.functions import arrow_metrics as A
 from tamisol.functions import metrics as M
@@ -86,20 +87,31 @@ def similarities(pairs: DataFrame, a: str, b: str, na: str, nb: str) -> dict[str
     }
 
 
-def _name_score(a: pd.Series, b: pd.Series, na: pd.Series, nb: pd.Series, native: pd.Series) -> pd.Series:
-    """The weighted mean of all similarities: ``native`` is the weighted sum of those that are built-in expressions; the rest is computed here, in one Arrow stage."""
-    w, total = M.WEIGHTS, sum(M.WEIGHTS.values())
-    out = []
-    for x, y, p, q, s in zip(a, b, na, nb, native, strict=True):
-        x, y, p, q = x or "", y or "", p or "", q or ""
-        jaro = A.jaro(p, q)
-        prefix = 0
-        while prefix < 4 and prefix < min(len(p), len(q)) and p[prefix] == q[prefix]:
-            prefix += 1
-        s += (w["metaphone_eq"] + w["dmetaphone_eq"]) * (A.metaphone(x) == A.metaphone(y)) + w["nysiis_eq"] * (A.nysiis(x) == A.nysiis(y)) + w["damerau_sim"] * A.damerau_sim(p, q) + w["lcs_sim"] * A.lcs_sim(p, q)
-        s += w["jaro"] * jaro + w["jaro_winkler"] * (jaro + 0.1 * prefix * (1 - jaro)) + w["smith_waterman"] * A.smith_waterman(p, q) + w["needleman_wunsch"] * A.needleman_wunsch(p, q)
-        out.append(s / total)
-    return pd.Series(out, dtype="float64")
+def _arrow_sum(a: str, b: str, p: str, q: str) -> float:
+    """The weighted sum of the similarities that aren't built-in expressions."""
+    w, jaro, prefix = M.WEIGHTS, A.jaro(p, q), 0
+    while prefix < 4 and prefix < min(len(p), len(q)) and p[prefix] == q[prefix]:
+        prefix += 1
+    s = (w["metaphone_eq"] + w["dmetaphone_eq"]) * (A.metaphone(a) == A.metaphone(b)) + w["nysiis_eq"] * (A.nysiis(a) == A.nysiis(b)) + w["damerau_sim"] * A.damerau_sim(p, q) + w["lcs_sim"] * A.lcs_sim(p, q)
+    return s + w["jaro"] * jaro + w["jaro_winkler"] * (jaro + 0.1 * prefix * (1 - jaro)) + w["smith_waterman"] * A.smith_waterman(p, q) + w["needleman_wunsch"] * A.needleman_wunsch(p, q)
+
+
+def with_name_score(pairs: DataFrame, a: str, b: str, na: str, nb: str) -> DataFrame:
+    """Append name_score, the weighted mean of all 21 similarities: native ones are summed by expressions, the rest in one Arrow stage."""
+    sims = {k: c for k, c in similarities(pairs, a, b, na, nb).items() if k not in ARROW}
+    native = F.lit(0.0)
+    for k, c in sims.items():
+        native = native + F.coalesce(c, F.lit(0.0)) * M.WEIGHTS[k]
+    rows = pairs.withColumn("name_score", native)
+    total = sum(M.WEIGHTS.values())
+
+    def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            text = [f[c].fillna("") for c in (a, b, na, nb)]
+            f["name_score"] = [(s + _arrow_sum(*t)) / total for s, *t in zip(f["name_score"], *text, strict=True)]
+            yield f
+
+    return rows.mapInPandas(scan, rows.schema)
 
 
 ARROW = ("metaphone_eq", "dmetaphone_eq", "nysiis_eq", "damerau_sim", "lcs_sim", "jaro", "jaro_winkler", "smith_waterman", "needleman_wunsch")
@@ -110,11 +122,7 @@ name_score = F.pandas_udf(_name_score, DoubleType())
 
 def scored(pairs: DataFrame) -> DataFrame:
     """Append name_score, dob_score, nationality_score and score to pairs with the columns name, full_name, norm, list_norm, dob, list_dob, nationality and list_nationality."""
-    sims = {k: c for k, c in similarities(pairs, "name", "full_name", "norm", "list_norm").items() if k not in ARROW}
-    native = F.lit(0.0)
-    for k, c in sims.items():
-        native = native + F.coalesce(c, F.lit(0.0)) * M.WEIGHTS[k]
-    pairs = pairs.withColumn("__native", native).withColumn("name_score", name_score("name", "full_name", "norm", "list_norm", "__native")).drop("__native")
+    pairs = with_name_score(pairs, "name", "full_name", "norm", "list_norm")
     pairs = pairs.withColumns({"dob_score": M.dob_score(F.col("dob"), F.col("list_dob")), "nationality_score": M.nationality_score(F.col("nationality"), F.col("list_nationality"))})
     return pairs.withColumn("score", M.probability(F.col("name_score"), F.col("dob_score"), F.col("nationality_score")))
 
@@ -132,5 +140,4 @@ def screen_fuzzy(people: DataFrame, lists: DataFrame, threshold: float = 0.65, t
     possible = M.probability(F.lit(1.0), M.dob_score(F.col("dob"), F.col("list_dob")), M.nationality_score(F.col("nationality"), F.col("list_nationality")))
     pairs = materialise(pairs.filter(possible >= threshold).join(distinct, "name").join(normed, "full_name"), "pairs")
     rank = W.partitionBy("name", "dob", "nationality").orderBy(F.desc("score"), "id")
-    # written once: the Arrow stage would otherwise be copied into the filter and the window
-    return materialise(scored(pairs), "scored").filter(F.col("score") >= threshold).withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= top).select("name", "dob", "nationality", "id", "full_name", "source", "name_score", "dob_score", "nationality_score", "score", "rank")
+    return scored(pairs).filter(F.col("score") >= threshold).withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= top).select("name", "dob", "nationality", "id", "full_name", "source", "name_score", "dob_score", "nationality_score", "score", "rank")
