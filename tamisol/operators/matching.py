@@ -117,9 +117,6 @@ def with_name_score(pairs: DataFrame, a: str, b: str, na: str, nb: str) -> DataF
 ARROW = ("metaphone_eq", "dmetaphone_eq", "nysiis_eq", "damerau_sim", "lcs_sim", "jaro", "jaro_winkler", "smith_waterman", "needleman_wunsch")
 
 
-name_score = F.pandas_udf(_name_score, DoubleType())
-
-
 def scored(pairs: DataFrame) -> DataFrame:
     """Append name_score, dob_score, nationality_score and score to pairs with the columns name, full_name, norm, list_norm, dob, list_dob, nationality and list_nationality."""
     pairs = with_name_score(pairs, "name", "full_name", "norm", "list_norm")

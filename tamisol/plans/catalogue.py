@@ -287,7 +287,7 @@ _DOB = "CASE WHEN coalesce(a.dob,'') = '' OR coalesce(s.dob,'') = '' THEN 0.5 WH
 _NAT = "CASE WHEN coalesce(a.nationality,'') = '' OR coalesce(s.nationality,'') = '' THEN 0.5 WHEN substr(lower(trim(a.nationality)), 1, 2) = substr(lower(trim(s.nationality)), 1, 2) THEN 1.0 ELSE 0.0 END"
 
 
-@query(f"WITH {CURRENT}, p AS (SELECT a.alert_id, s.id, {_DOB} dob_score, {_NAT} nationality_score FROM cur a JOIN sanctions s ON a.matched_entity = s.full_name AND a.source_list = s.source) SELECT alert_id, id, dob_score, nationality_score, round(1 / (1 + exp(-({_W('1.0', 0.95, 0.1)} + {_W('dob_score', 0.99, 0.05)} + {_W('nationality_score', 0.9, 0.15)}) / 3)), 9) score FROM p")
+@query(f"WITH {CURRENT}, p AS (SELECT a.alert_id, s.id, {_DOB} dob_score, {_NAT} nationality_score FROM cur a JOIN sanctions s ON a.matched_entity = s.full_name AND a.source_list = s.source) SELECT alert_id, id, dob_score::DOUBLE dob_score, nationality_score::DOUBLE nationality_score, round(1 / (1 + exp(-({_W('1.0', 0.95, 0.1)} + {_W('dob_score', 0.99, 0.05)} + {_W('nationality_score', 0.9, 0.15)}) / 3)), 9) score FROM p")
 def fellegi_sunter(spark: SparkSession, d: str) -> DataFrame:
     a = review.current(table(spark, d, "sanctions_alerts")).select("alert_id", "matched_entity", "source_list", F.col("dob").alias("d1"), F.col("nationality").alias("n1"))
     s = table(spark, d, "sanctions").select("id", F.col("full_name").alias("matched_entity"), F.col("source").alias("source_list"), F.col("dob").alias("d2"), F.col("nationality").alias("n2"))

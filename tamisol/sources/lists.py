@@ -108,7 +108,7 @@ def eu_xml(spark: SparkSession, path: str, source: str = "eu_xml", authority: st
 
 def uk_csv(spark: SparkSession, path: str, source: str = "uk_csv", authority: str = "UK Treasury / OFSI", region: str = "UK") -> DataFrame:
     """The UK list behind its preamble: the header is the line that begins with Last Updated; of rows with one id and name the first counts."""
-    lines = spark.read.option("wholetext", "true").text(path).select(F.posexplode(F.split("value", r"\r?\n")).alias("pos", "line")).filter("trim(line) <> ''")
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", r"\r?\n")).alias("pos", "line")).filter("trim(line) <> ''")
     header = lines.filter(F.lower("line").startswith("last updated")).orderBy("pos").limit(1).collect()
     if not header:
         header = lines.orderBy("pos").limit(1).collect()
@@ -195,7 +195,7 @@ def html_parts(pages: DataFrame) -> DataFrame:
 
 
 def _pages(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("wholetext", "true").text(path).withColumnRenamed("value", "html")
+    return spark.read.text(path, wholetext=True).withColumnRenamed("value", "html")
 
 
 def _listed(rows: DataFrame, program: str, raw: dict[str, str], source: str, authority: str, region: str) -> DataFrame:
@@ -243,7 +243,7 @@ def debarred_html(spark: SparkSession, path: str, source: str = "sebi_debarred",
 
 def debarred_text(spark: SparkSession, path: str, source: str = "sebi_debarred", authority: str = "Securities regulator", region: str = "INDIA") -> DataFrame:
     """The same from the text of an order, one line per row; decoding PDF files is outside of this library."""
-    lines = spark.read.option("wholetext", "true").text(path).select(F.posexplode(F.split("value", r"\r?\n")).alias("pos", "line"))
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", r"\r?\n")).alias("pos", "line"))
     return _listed(numbered_names(lines), "SEBI_DEBARRED", {"source_list": "SEBI_DEBARRED"}, source, authority, region)
 
 
