@@ -264,7 +264,7 @@ def ngram_cosine(spark: SparkSession, d: str) -> DataFrame:
     return _pairs(spark, d).select("a", "b", F.round(M.ngram_cosine(a, b, 2), 9).alias("bigram_cos"), F.round(M.ngram_cosine(a, b, 3), 9).alias("trigram_cos"))
 
 
-@query(f"WITH {PAIRS}, t AS (SELECT a, b, list_filter(string_split(a, ' '), lambda x: x <> '') x, list_filter(string_split(b, ' '), lambda x: x <> '') y FROM pairs), i AS (SELECT *, array_to_string(list_transform(x, lambda w: w[1]), '') = array_to_string(list_transform(y, lambda w: w[1]), '') same, list_max(list_transform(x, lambda w: len(w))) <= 2 OR list_max(list_transform(y, lambda w: len(w))) <= 2 short FROM t) SELECT a, b, (a = b)::INT::DOUBLE exact, CASE WHEN contains(a, b) OR contains(b, a) THEN round(least(len(a), len(b)) / greatest(len(a), len(b))::DOUBLE, 9) ELSE 0.0 END AS substring_sim, CASE WHEN NOT same THEN 0.0 WHEN short THEN 1.0 ELSE 0.5 END initial_collapse FROM i")
+@query(f"WITH {PAIRS}, t AS (SELECT a, b, list_filter(string_split(a, ' '), lambda x: x <> '') x, list_filter(string_split(b, ' '), lambda x: x <> '') y FROM pairs), i AS (SELECT *, array_to_string(list_transform(x, lambda w: w[1]), '') = array_to_string(list_transform(y, lambda w: w[1]), '') same, list_max(list_transform(x, lambda w: len(w))) <= 2 OR list_max(list_transform(y, lambda w: len(w))) <= 2 short FROM t) SELECT a, b, (a = b)::INT::DOUBLE exact, CASE WHEN contains(a, b) OR contains(b, a) THEN round(least(len(a), len(b)) / greatest(len(a), len(b))::DOUBLE, 9) ELSE 0.0 END AS substring_sim, (CASE WHEN NOT same THEN 0.0 WHEN short THEN 1.0 ELSE 0.5 END)::DOUBLE initial_collapse FROM i")
 def substring_initial(spark: SparkSession, d: str) -> DataFrame:
     a, b = F.col("a"), F.col("b")
     return _pairs(spark, d).select("a", "b", M.exact(a, b).alias("exact"), F.round(M.substring(a, b), 9).alias("substring_sim"), M.initial_collapse(a, b).alias("initial_collapse"))
