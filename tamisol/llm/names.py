@@ -47,11 +47,14 @@ NICKNAMES = {
 
 _WORDS = re.compile(r"[a-z0-9]+")
 _INITIALS = re.compile(r"(?<![^\W\d_])([^\W\d_])\.(?=[^\W\d_](?![^\W\d_]))")
+_OTHER_NAME, _MESSRS = re.compile(r"\s*[(@]\s*"), re.compile(r"\bM/s\b", re.IGNORECASE)
 _APOSTROPHES = re.compile(r"['’`ʼʻ]")
 
 
 def latin(text: str) -> str:
     """Lower-case Latin letters without accents; Cyrillic and Arabic are transliterated, other scripts stay."""
+    if text.isascii():
+        return text.lower()
     t = unicodedata.normalize("NFKD", text.lower().translate(_TABLE))
     return "".join(c for c in t.translate(_TABLE) if not unicodedata.combining(c))
 
@@ -152,12 +155,15 @@ def _one_script(m: re.Match) -> str:
 def parts(text: str) -> tuple[tuple[str, ...], ...]:
     """The words of each of the names that ``text`` gives, the first one first: in brackets or after @ stand others. Titles and particles are left out."""
     t = clean(text)
-    pieces = re.split(r"\s*[(@]\s*", t.replace(")", " "))
+    pieces = _OTHER_NAME.split(t.replace(")", " ")) if "(" in t or "@" in t else [t]
     if len(pieces) > 1 and not pieces[0].strip(" ,.-_\t\n'\""):
         pieces = pieces[1:]
     out = []
     for p in pieces[:4]:
-        p = _INITIALS.sub(r"\1", re.sub(r"\bM/s\b|\bM/S\b", " ", p))
+        if "." in p:
+            p = _INITIALS.sub(r"\1", p)
+        if "/" in p:
+            p = _MESSRS.sub(" ", p)
         words = _WORDS.findall(latin(_APOSTROPHES.sub("", p)))
         kept = [w for w in words if w not in TITLES and w not in PARTICLES]
         out.append(tuple(kept or [w for w in words if w not in TITLES] or words))
@@ -328,7 +334,7 @@ def with_packed(df: DataFrame, text: str) -> DataFrame:
 def word_counts(packed_names: DataFrame) -> tuple[dict[str, int], int]:
     """Spellings of words that occur in many distinct names, with their counts, and the number of distinct names; ``packed_names`` has the column packed.
 
-    Only words in at least one of 2,000 names come to the driver: as a name has a few words, that is a few thousand at most, whatever the size.
+    Only words in at least one of 5,000 names come to the driver: as a name has a few words, that is some twenty thousand at most, whatever the size.
     """
 
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -345,5 +351,5 @@ def word_counts(packed_names: DataFrame) -> tuple[dict[str, int], int]:
 
     counts = packed_names.select("packed").distinct().mapInArrow(scan, "k string, n long").groupBy("k").agg(F.sum("n").alias("n"))
     total = counts.filter("k = ''").agg(F.sum("n")).collect()[0][0] or 0
-    rows = counts.filter((F.col("k") != "") & (F.col("n") >= max(3, total / 2000))).collect()
+    rows = counts.filter((F.col("k") != "") & (F.col("n") >= max(3, total / 5000))).collect()
     return {r.k: r.n for r in rows}, total
