@@ -207,11 +207,14 @@ def word_score(a: str, b: str) -> float:
         return 0.97
     short = min(len(x), len(y))
     most = 1 if short <= 5 else 2
-    if short >= 3 and (e := edits(x, y, most)) <= most:
-        return 0.95 - 0.07 * e if short > 4 else 0.7
+    e = edits(x, y, most) if short >= 3 else most + 1
     s, t = skeleton(a), skeleton(b)
-    if len(s) >= 3 and s == t:
-        return 0.9
+    if s == t and len(s) >= 4:  # only vowels differ
+        return 0.95 - 0.03 * e if e <= most else 0.88
+    if e <= most:
+        return 0.95 - 0.07 * e if short > 4 else 0.7
+    if s == t and len(s) == 3:
+        return 0.8
     if len(s) >= 5 and len(t) >= 5 and edits(s, t, 1) <= 1:
         return 0.75
     if abs(len(a) - len(b)) <= 5 and (a[:3] == b[:3] and min(len(a), len(b)) <= 6 or a[:2] == b[:2] and min(len(a), len(b)) <= 4):  # familiar forms
