@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from tamisol.session import materialise
 
 #: Components, most iterations, least gain of the mean log likelihood, ridge on covariances, rows that seed the means.
-COMPONENTS, ITERATIONS, GAIN, RIDGE, SEED_ROWS = 20, 20, 2e-3, 0.02, 4_000
+COMPONENTS, ITERATIONS, GAIN, RIDGE, SEED_ROWS = 24, 20, 2e-3, 0.08, 4_000
 
 #: Squared distance, in a component's own units, up to which an example speaks for it.
 NEAR = 40.0
@@ -65,7 +65,7 @@ def statistics(text: str | None, common: list[frozenset[str]]) -> list[float]:
         sum(x.endswith(_END) for x in lines) / len(lines),
         sum(hits) / max(n, m),
         sum(a and b for a, b in zip(hits, hits[1:], strict=False)) / max(1, len(pairs)),
-        1 - len(set(pairs)) / max(1, len(pairs)),
+        1 - sum(len(set(pairs[i:j])) for i, j in _windows(len(pairs), 150)) / max(1, len(pairs)),
         sum(plain) / n,
         digits / len(text),
         running / n,
@@ -141,25 +141,27 @@ def _sums(rows: DataFrame, width: int, each) -> np.ndarray:
     return out
 
 
-def _initial(z: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Weights, means and covariances to begin with: far-apart rows of the sample, leaving lone outliers aside, then a few rounds of k-means."""
-    chosen = [int(np.argmin((z**2).sum(1)))]
-    near = ((z - z[chosen[0]]) ** 2).sum(1)
-    for _ in range(1, k):
+def _initial(z: np.ndarray, k: int, anchors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Weights, means and covariances to begin with: the anchors and rows of the sample far from them and each other, leaving lone outliers
+    aside; then a few rounds of k-means."""
+    means = list(anchors[:k])
+    near = np.min([((z - m) ** 2).sum(1) for m in means], 0)
+    while len(means) < k:
         order = np.argsort(-near, kind="stable")
-        chosen.append(int(order[min(len(order) - 1, len(order) // 250)]))
-        near = np.minimum(near, ((z - z[chosen[-1]]) ** 2).sum(1))
-    means = z[chosen]
+        means.append(z[order[min(len(order) - 1, len(order) // 250)]])
+        near = np.minimum(near, ((z - means[-1]) ** 2).sum(1))
+    means = np.stack(means)
     for _ in range(8):
         group = np.stack([((z - m) ** 2).sum(1) for m in means], 1).argmin(1)
         means = np.stack([z[group == j].mean(0) if (group == j).any() else means[j] for j in range(k)])
     share = np.bincount(group, minlength=k) + 1.0
     spread = np.stack([np.cov(z[group == j].T) if (group == j).sum() > z.shape[1] else np.zeros((z.shape[1], z.shape[1])) for j in range(k)])
-    return share / share.sum(), means, spread + 0.05 * np.eye(z.shape[1])
+    return share / share.sum(), means, spread + 0.1 * np.eye(z.shape[1])
 
 
-def fit(rows: DataFrame, key: str = "doc_id") -> Mixture | None:
-    """Expectation-maximisation over all rows with STATISTICS; None for an empty table. Only the first means come from a sample of SEED_ROWS rows."""
+def fit(rows: DataFrame, key: str = "doc_id", common: list[frozenset[str]] | None = None) -> Mixture | None:
+    """Expectation-maximisation over all rows with STATISTICS; None for an empty table. Only the first means come from a sample of SEED_ROWS rows
+    and from the inspected examples, one mean for each kind of them."""
     d = len(STATISTICS) - 1
     moments = _sums(rows, 1 + 2 * d, lambda x: np.concatenate([[len(x)], Mixture.transform(x).sum(0), (Mixture.transform(x) ** 2).sum(0)]))
     n = moments[0]
@@ -169,8 +171,14 @@ def fit(rows: DataFrame, key: str = "doc_id") -> Mixture | None:
     scale = np.sqrt(np.maximum(moments[d + 1 :] / n - centre**2, 1e-4))
     seeds = rows.orderBy(F.xxhash64(key, "word_count"), key).limit(SEED_ROWS).select(*STATISTICS).collect()
     z = (Mixture.transform(np.asarray([list(r) for r in seeds])) - centre) / scale
+    kinds: dict[str, list[list[float]]] = {}
+    for kind, t in examples():
+        kinds.setdefault(kind, []).append(statistics(t, common or []))
+    anchors = np.stack([(Mixture.transform(np.asarray(v)).mean(0) - centre) / scale for v in kinds.values()])
+    # an anchor without rows near it would only be in the way
+    anchors = anchors[[i for i, m in enumerate(anchors) if (((z - m) ** 2).sum(1) < 4 * z.shape[1]).any()]] if common else anchors[:0]
     k = min(COMPONENTS, max(3, int(n) // 30), len(np.unique(z.round(6), axis=0)))
-    model = Mixture(centre, scale, *_initial(z, k))
+    model = Mixture(centre, scale, *_initial(z, k, anchors if len(anchors) else z[[int(np.argmin((z**2).sum(1)))]]))
     before = -np.inf
     for _ in range(ITERATIONS):
 
@@ -193,6 +201,9 @@ def fit(rows: DataFrame, key: str = "doc_id") -> Mixture | None:
     return model
 
 
+#: The label of each kind of example.
+LABELS = {"prose": "prose", **dict.fromkeys(("fields", "bullets", "aliases", "entries"), "list"), **dict.fromkeys(("bars", "columns", "csv", "markup"), "table"), **dict.fromkeys(("salad", "repetition", "noise", "menu", "json", "blob", "codes"), "junk")}
+
 # Examples written after inspecting documents of each kind; the texts are made up.
 _SENTENCES = {
     "en": "The reviewer compared the copy of the passport with the form before the end of the week. Once the letter was answered, the branch closed the file and the manager signed it without a remark. During the annual visit, a former partner described the ownership of the vessel, which the bank had not seen until then. "
@@ -207,7 +218,7 @@ _SENTENCES = {
 
 
 def examples() -> list[tuple[str, str]]:
-    """(label, text): prose in several layouts and languages, lists, tables and junk."""
+    """(kind, text): prose in several layouts and languages, lists, tables and junk; LABELS has the label of each kind."""
     out: list[tuple[str, str]] = []
     for s in _SENTENCES.values():
         words = s.split()
@@ -219,29 +230,29 @@ def examples() -> list[tuple[str, str]]:
         every = sorted(set(_LETTERS.findall(s.lower())))
         small, large = [w for w in every if len(w) <= 4], [w for w in every if len(w) > 4]
         for share, n in ((0.6, 150), (0.7, 220), (0.8, 90), (0.7, 40)):
-            out.append(("junk", " ".join(draw.choice(small if draw.random() < share else large) for _ in range(n)) + "." * (n % 4 // 2)))
-        out.append(("junk", " ".join(words[3:6] * 30)))
+            out.append(("salad", " ".join(draw.choice(small if draw.random() < share else large) for _ in range(n)) + "." * (n % 4 // 2)))
+        out.append(("repetition", " ".join(words[3:6] * 30)))
         noisy = "".join("#%|~^<>§_=01"[(i * 7 + ord(c)) % 12] if (i * 31 + ord(c) * 17) % 5 < 2 else c for i, c in enumerate(s))
-        out.append(("junk", noisy))
+        out.append(("noise", noisy))
     names = ["Anna Berg", "João Luz", "Omar Salin", "Ivo Petrin", "Mara Teller", "Nils Holm", "Aisha Noor", "Li Tan"]
     dates = [f"20{10 + i}-0{1 + i}-1{i}" for i in range(8)]
     out += [
-        ("table", "| name | country | score |\n|---|---|---|\n" + "\n".join(f"| {n} | IN | 0.{311 + 37 * i} |" for i, n in enumerate(names * 2))),
-        ("table", "\n".join(f"{d}      {48213 * (i + 1) % 999999}    0.{213 + 71 * i}   CODE{i}" for i, d in enumerate(dates * 2))),
-        ("table", "\n".join(f"{n};{d};{i * 17};0.{i}5;OPEN" for i, (n, d) in enumerate(zip(names * 2, dates * 2, strict=True)))),
-        ("table", "".join(f"<tr><td>{n}</td><td>Port</td><td>{d}</td></tr>\n" for n, d in zip(names * 2, dates * 2, strict=True))),
-        ("list", "\n".join(f"Full name: {n}\nRef: -0-\nListed on: {d}" for n, d in zip(names, dates, strict=True))),
-        ("list", "\n".join(f"- {n}, Port, {d}" for n, d in zip(names * 2, dates * 2, strict=True))),
-        ("list", "\n".join(f"{i + 1}. {n}" for i, n in enumerate(names * 2))),
-        ("list", "; ".join(f"{n} (a.k.a. {m})" for n, m in zip(names * 3, names[3:] + names * 2 + names[:3], strict=True)) + "."),
-        ("list", "; ".join(f"{n} (a.k.a. {m} {n})" for n, m in zip(names * 3, names[2:] + names * 2 + names[:2], strict=True)) + "."),
-        ("list", "\n".join(f"a) {n}, São Port, {d}." for n, d in zip(names * 2, dates * 2, strict=True))),
-        ("junk", "\n".join(["Login", "Next page", "Contact", "Cookie settings", "Download list (PDF)", "A A A", "Home > Lists > Search"] * 8)),
-        ("junk", "\n".join(["Contact", "Login", "A A A", "Next page"] * 14)),
-        ("junk", "[" + ", ".join(f'{{"id": {i * 7919}, "caption": "{n}", "score": 0.{153 + i}, "topics": ["x"]}}' for i, n in enumerate(names * 2)) + "]"),
-        ("junk", "[\n" + ",\n".join(f' {{\n  "id": {i * 7919},\n  "caption": "{n}",\n  "topics": [\n   "x"\n  ]\n }}' for i, n in enumerate(names * 2)) + "\n]"),
-        ("junk", "".join(chr(65 + (i * i * 7 + i) % 26) + chr(97 + (i * 11) % 26) + str(i * 13 % 10) for i in range(300))),
-        ("junk", " ".join(f"N/A -0- {i * 73391 % 999999} 0.{i * 137 % 9999} Q{i} NARC-K" for i in range(25))),
+        ("bars", "| name | country | score |\n|---|---|---|\n" + "\n".join(f"| {n} | IN | 0.{311 + 37 * i} |" for i, n in enumerate(names * 2))),
+        ("columns", "\n".join(f"{d}      {48213 * (i + 1) % 999999}    0.{213 + 71 * i}   CODE{i}" for i, d in enumerate(dates * 2))),
+        ("csv", "\n".join(f"{n};{d};{i * 17};0.{i}5;OPEN" for i, (n, d) in enumerate(zip(names * 2, dates * 2, strict=True)))),
+        ("markup", "".join(f"<tr><td>{n}</td><td>Port</td><td>{d}</td></tr>\n" for n, d in zip(names * 2, dates * 2, strict=True))),
+        ("fields", "\n".join(f"Full name: {n}\nRef: -0-\nListed on: {d}" for n, d in zip(names, dates, strict=True))),
+        ("bullets", "\n".join(f"- {n}, Port, {d}" for n, d in zip(names * 2, dates * 2, strict=True))),
+        ("bullets", "\n".join(f"{i + 1}. {n}" for i, n in enumerate(names * 2))),
+        ("aliases", "; ".join(f"{n} (a.k.a. {m})" for n, m in zip(names * 3, names[3:] + names * 2 + names[:3], strict=True)) + "."),
+        ("aliases", "; ".join(f"{n} (a.k.a. {m} {n})" for n, m in zip(names * 3, names[2:] + names * 2 + names[:2], strict=True)) + "."),
+        ("entries", "\n".join(f"a) {n}, São Port, {d}." for n, d in zip(names * 2, dates * 2, strict=True))),
+        ("menu", "\n".join(["Login", "Next page", "Contact", "Cookie settings", "Download list (PDF)", "A A A", "Home > Lists > Search"] * 8)),
+        ("menu", "\n".join(["Contact", "Login", "A A A", "Next page"] * 14)),
+        ("json", "[" + ", ".join(f'{{"id": {i * 7919}, "caption": "{n}", "score": 0.{153 + i}, "topics": ["x"]}}' for i, n in enumerate(names * 2)) + "]"),
+        ("json", "[\n" + ",\n".join(f' {{\n  "id": {i * 7919},\n  "caption": "{n}",\n  "topics": [\n   "x"\n  ]\n }}' for i, n in enumerate(names * 2)) + "\n]"),
+        ("blob", "".join(chr(65 + (i * i * 7 + i) % 26) + chr(97 + (i * 11) % 26) + str(i * 13 % 10) for i in range(300))),
+        ("codes", " ".join(f"N/A -0- {i * 73391 % 999999} 0.{i * 137 % 9999} Q{i} NARC-K" for i in range(25))),
     ]
     return out
 
@@ -249,7 +260,7 @@ def examples() -> list[tuple[str, str]]:
 def labelled(model: Mixture, common: list[frozenset[str]]) -> list[str]:
     """The label of each component: what the examples that fall into it say, weighted by their posterior; for a component without any, the label
     of the example nearest to its mean, in units of the examples' own spread."""
-    shown = examples()
+    shown = [(LABELS[kind], t) for kind, t in examples()]
     x = Mixture.transform(np.asarray([statistics(t, common) for _, t in shown]))
     z = (x - model.centre) / model.scale
     post, _ = model.posterior(z)
@@ -273,14 +284,15 @@ def labelled(model: Mixture, common: list[frozenset[str]]) -> list[str]:
 def classified(docs: DataFrame, common_words: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, STATISTICS..., label, prose): label is prose, list, table or junk; prose the posterior of prose. Blank texts are junk with prose 0."""
     rows = materialise(with_statistics(docs, common_words, key, text), "statistics")
-    model = fit(rows, key)
-    schema = f"{key} long, " + ", ".join(f"{s} double" for s in STATISTICS) + ", label string, prose double"
-    if model is None:
-        return docs.sparkSession.createDataFrame([], schema)
     by: dict[str, set[str]] = {}
     for r in common_words.select("lang", "word").filter("word is not null").collect():
         by.setdefault(r.lang or "", set()).add(r.word.lower())
-    labels = labelled(model, [frozenset(by[k]) for k in sorted(by)])
+    common = [frozenset(by[k]) for k in sorted(by)]
+    model = fit(rows, key, common)
+    schema = f"{key} long, " + ", ".join(f"{s} double" for s in STATISTICS) + ", label string, prose double"
+    if model is None:
+        return docs.sparkSession.createDataFrame([], schema)
+    labels = labelled(model, common)
     kinds = sorted(set(labels))
     member = np.asarray([[label == k for k in kinds] for label in labels], float)
 
