@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -48,6 +50,12 @@ def get(df: DataFrame, key: str, value) -> DataFrame:
     return df.filter(F.col(key) == value)
 
 
+def with_missing(ids: DataFrame, alerts: DataFrame) -> DataFrame:
+    """The alerts of a list of ids (column alert_id), unknown ones too, with the flag ``missing``."""
+    known = current(alerts).withColumn("__known", F.lit(True))
+    return ids.select("alert_id").join(known, "alert_id", "left").withColumn("missing", F.col("__known").isNull()).drop("__known")
+
+
 def create_alerts(requests: DataFrame) -> DataFrame:
     """New pending alerts, due a day after they were made. A request without a customer gets a new customer id."""
     now = F.current_timestamp()
@@ -74,14 +82,29 @@ def dispose(alerts: DataFrame, decisions: DataFrame, at: str) -> tuple[DataFrame
     return done.drop("__d"), rejected
 
 
-def _picked(rows: DataFrame, order: list, count: int, positions) -> DataFrame:
-    """Rows at 0-based positions of an order over the whole table. A first pass of sorted partitions finds where positions fall; no task sorts all rows."""
-    ranked = rows.orderBy(*order)
-    spark = rows.sparkSession
-    numbered = ranked.rdd.zipWithIndex().map(lambda p: (*p[0], p[1]))
-    out = spark.createDataFrame(numbered, rows.schema.add("position", "long"))
-    total = rows.count()
-    return out.filter(F.col("position").isin(positions(total, count)))
+#: Steps that a score is divided into to find positions in a global order; scores beyond 0 to 1 fall into the outer two.
+STEPS = 10_000
+
+
+def _picked(rows: DataFrame, score: str, key: str, count: int, positions: Callable[[int, int], list[int]]) -> DataFrame:
+    """Rows at 0-based positions in the order of ``score``, then ``key``, over the whole table.
+
+    Rows are counted by step of their score (at most STEPS + 3 counts come to the driver), which tells the steps that hold the positions; only rows of
+    those are ranked, each step by itself. No task sorts all rows.
+    """
+    step = F.greatest(F.lit(-1), F.least(F.lit(STEPS + 1), F.floor(F.col(score) * STEPS))).cast("int")
+    rows = rows.withColumn("__step", step)
+    counts = sorted((r["__step"], r["count"]) for r in rows.groupBy("__step").count().collect())
+    total = sum(n for _, n in counts)
+    wanted, before, at = [], 0, 0
+    for p in sorted(positions(total, count)):
+        while p >= before + counts[at][1]:
+            before += counts[at][1]
+            at += 1
+        wanted.append((counts[at][0], p - before + 1))
+    chosen = F.broadcast(rows.sparkSession.createDataFrame(wanted, "__step int, __n int"))  # as many rows as positions
+    ranked = rows.filter(F.col("__step").isin(sorted({s for s, _ in wanted}))).withColumn("__n", F.row_number().over(W.partitionBy("__step").orderBy(score, key)))
+    return ranked.join(chosen, ["__step", "__n"]).drop("__step", "__n")
 
 
 def queue_positions(n: int, count: int = 10) -> list[int]:
@@ -110,13 +133,13 @@ def even_positions(n: int, count: int) -> list[int]:
 def pending_queue(alerts: DataFrame, count: int = 10) -> DataFrame:
     """A stratified sample of the pending alerts by ascending confidence, ties by alert."""
     rows = current(alerts).filter("status = 'PENDING'").select("alert_id", "customer_id", "customer_name", confidence().alias("score"))
-    return _picked(rows, ["score", "alert_id"], count, queue_positions).drop("position")
+    return _picked(rows, "score", "alert_id", count, queue_positions)
 
 
 def even_sample(alerts: DataFrame, count: int) -> DataFrame:
     """Alerts spread evenly over ascending match score, ties by alert."""
     rows = current(alerts).select("alert_id", "customer_name", safe_float("match_score").alias("match_score"))
-    return _picked(rows, ["match_score", "alert_id"], count, even_positions).drop("position")
+    return _picked(rows, "match_score", "alert_id", count, even_positions)
 
 
 def scenario_queue(alerts: DataFrame, count: int = 6) -> DataFrame:

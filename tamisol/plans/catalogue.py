@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tamisol.functions import arrow_metrics as A
 from tamisol.functions import metrics as M
 from tamisol.functions import text as T
-from tamisol.operators import audit, matching, review, state
+from tamisol.operators import audit, matching, review, sampling, state
 from tamisol.session import shared_dir, ship, table
 from tamisol.streaming import live
 
@@ -388,6 +388,24 @@ def json_props(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("bigint").alias("k"))
 
 
+@query(f"WITH {CURRENT} SELECT i.case_alert alert_id, c.alert_id IS NULL missing FROM (SELECT DISTINCT alert_id case_alert FROM prior_cases UNION SELECT min(alert_id) FROM sanctions_alerts) i LEFT JOIN cur c ON c.alert_id = i.case_alert")
+def alerts_of_cases(spark: SparkSession, d: str) -> DataFrame:
+    alerts = table(spark, d, "sanctions_alerts")
+    ids = table(spark, d, "prior_cases").select("alert_id").union(alerts.agg(F.min("alert_id"))).distinct()
+    return review.with_missing(ids, alerts).select("alert_id", "missing")
+
+
+@query()
+def name_sample(spark: SparkSession, d: str) -> DataFrame:
+    """A random sample of 200 list names, as the generator of test customers draws them."""
+    return sampling.random_sample(sampling.usable_names(table(spark, d, "sanctions")), 200, "id")
+
+
+@query()
+def synthetic_customers(spark: SparkSession, d: str) -> DataFrame:
+    return sampling.synthetic_customers(table(spark, d, "sanctions"), 200)
+
+
 # --- state -----------------------------------------------------------------------------------------------------------
 @query("WITH n AS (SELECT source, arg_max(struct_pack(f := fetched_at, s := status, r := records), fetched_at || lpad(CAST(id AS VARCHAR), 20, '0')) x FROM fetch_log GROUP BY 1) SELECT coalesce(s.source, n.source) source, s.last_hash, CASE WHEN n.source IS NULL OR coalesce(s.last_fetched, '') > n.x.f THEN s.last_fetched ELSE n.x.f END last_fetched, CASE WHEN n.source IS NULL OR coalesce(s.last_fetched, '') > n.x.f THEN s.status ELSE n.x.s END status FROM fetch_state s FULL JOIN n ON s.source = n.source")
 def state_upsert(spark: SparkSession, d: str) -> DataFrame:
@@ -410,11 +428,11 @@ def prefix_delete(spark: SparkSession, d: str) -> DataFrame:
     return state.without_prefix(table(spark, d, "customer_kyc"), "customer_id", "CUST-A").select("customer_id")
 
 
-@query("WITH l AS (SELECT source, md5(string_agg(full_name, '' ORDER BY id)) h FROM sanctions GROUP BY 1) SELECT l.source, h last_hash, h IS DISTINCT FROM s.last_hash changed FROM l LEFT JOIN fetch_state s USING (source)")
+@query("WITH l AS (SELECT source, md5(count(*) || ':' || coalesce(min(full_name), '') || ':' || coalesce(max(full_name), '') || ':' || max(id)) h FROM sanctions GROUP BY 1) SELECT l.source, h last_hash, h IS DISTINCT FROM s.last_hash changed FROM l LEFT JOIN fetch_state s USING (source)")
 def changed_sources(spark: SparkSession, d: str) -> DataFrame:
-    """The hash of what stands for each source's landed file: its names in order."""
-    ordered = table(spark, d, "sanctions").groupBy("source").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", F.coalesce("full_name", F.lit("")).alias("t")))), lambda s: s["t"]), "").alias("content"))
-    return state.changed_sources(ordered, table(spark, d, "fetch_state"))
+    """A summary of each source's entries stands for the content of its landed file."""
+    rows = table(spark, d, "sanctions").groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.min("full_name"), F.lit("")).alias("a"), F.coalesce(F.max("full_name"), F.lit("")).alias("b"), F.max("id").alias("c"))
+    return state.changed_sources(rows.select("source", F.concat_ws(":", "n", "a", "b", "c").alias("content")), table(spark, d, "fetch_state"))
 
 
 @query(f"WITH {TRIAGED} SELECT alert_id, customer_id, customer_name, round(score, 9) final_risk_score, true requires_review FROM triaged WHERE recommendation = 'FALSE_POSITIVE'")
