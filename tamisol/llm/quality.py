@@ -9,6 +9,7 @@ from __future__ import annotations
 import random
 import re
 from collections.abc import Iterable, Iterator
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,7 @@ NEAR = 40.0
 
 STATISTICS = ["word_count", "mean_word_length", "symbol_ratio", "punctuated_lines", "common_words", "common_pairs", "repetition", "plain_words", "digit_share", "running_share", "label_lines"]
 _LETTERS = re.compile(r"[^\W\d_]+")
-_PLAIN = re.compile(r"^[(\"'«„“‘¿¡]*[^\W\d_]+(?:['’\-][^\W\d_]+)*[.,;:!?)\"'»“”’…]*$")
+_EDGES, _INNER = ".,;:!?()\"'«»„“”‘’…¿¡", str.maketrans("", "", "'’-")
 _SYMBOL = re.compile(r"[^\w\s.,;:'\"\-()!?…“”‘’«»„¿¡–—]|_")
 _DIGIT = re.compile(r"\d")
 _LABEL = re.compile(r"^\s*(?:[-*•]|\d{1,3}[.)]|[a-z][.)]|[^\W\d_][\w ]{0,24}:\s)")
@@ -50,8 +51,18 @@ def statistics(text: str | None, common: list[frozenset[str]]) -> list[float]:
     hits = list(map(best.__contains__, letters))
     symbols, digits = len(_SYMBOL.findall(text)), len(_DIGIT.findall(text))
     lines = [x.strip() for x in text.split("\n") if x.strip()]
-    plain = [_PLAIN.match(t) is not None for t in tokens]
-    frequent = [sum(map(best.__contains__, _LETTERS.findall(t))) if p else 0 for t, p in zip(text.lower().split(), plain, strict=False)]
+    plain, frequent = [], []
+    for t in text.lower().split():
+        core = t.strip(_EDGES)
+        if core.isalpha():
+            plain.append(True)
+            frequent.append(core in best)
+        elif core and core.translate(_INNER).isalpha():
+            plain.append(True)
+            frequent.append(sum(map(best.__contains__, _LETTERS.findall(core))))
+        else:
+            plain.append(False)
+            frequent.append(0)
     running = 0
     for i, j in _windows(n):
         size = j - i
@@ -64,7 +75,7 @@ def statistics(text: str | None, common: list[frozenset[str]]) -> list[float]:
         symbols / len(text),
         sum(x.endswith(_END) for x in lines) / len(lines),
         sum(hits) / max(n, m),
-        sum(a and b for a, b in zip(hits, hits[1:], strict=False)) / max(1, len(pairs)),
+        sum(map(and_, hits, hits[1:])) / max(1, len(pairs)),
         1 - sum(len(set(pairs[i:j])) for i, j in _windows(len(pairs), 150)) / max(1, len(pairs)),
         sum(plain) / n,
         digits / len(text),
