@@ -30,7 +30,7 @@ def materialise(df: DataFrame, what: str = "step") -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: cuts the lineage in a way that survives the loss of executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tamisol-{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
