@@ -50,7 +50,8 @@ class _Bytes(dict):
     """Characters outside the code page become a mark that no UTF-8 sequence contains."""
 
     def __missing__(self, c: int) -> str:
-        return chr(c) if c < 128 else _OUT
+        v = self[c] = chr(c) if c < 128 else _OUT
+        return v
 
 
 @lru_cache(None)

@@ -55,8 +55,23 @@ def latin(text: str) -> str:
     """Lower-case Latin letters without accents; Cyrillic and Arabic are transliterated, other scripts stay."""
     if text.isascii():
         return text.lower()
-    t = unicodedata.normalize("NFKD", text.lower().translate(_TABLE))
-    return "".join(c for c in t.translate(_TABLE) if not unicodedata.combining(c))
+    return unicodedata.normalize("NFKD", text.lower().translate(_TABLE)).translate(_TABLE).translate(_UNACCENTED)
+
+
+class _Without(dict):
+    """For str.translate: characters that ``drop`` names vanish; each character is decided once."""
+
+    def __init__(self, drop):
+        super().__init__()
+        self.drop = drop
+
+    def __missing__(self, c: int):
+        self[c] = None if self.drop(chr(c)) else c
+        return self[c]
+
+
+_UNACCENTED = _Without(unicodedata.combining)
+_VISIBLE = _Without(lambda c: lookalikes.invisible(c) or c == "\ufffd")
 
 
 _SOUNDS = [(re.compile(a), b) for a, b in (("sch|shch|sh", "x"), ("tch|ch", "x"), ("kh|ck|q|c", "k"), ("gh", "g"), ("ph|v", "f"), ("th", "t"), ("zh|dj", "j"), ("x", "x"), ("(?<=.)[aeiouyhw]", ""), ("^[aeiouyhw]+", "a"), (r"(.)\1+", r"\1"))]
@@ -134,11 +149,11 @@ def clean(text: str) -> str:
     """The text restored from a wrong encoding, with look-alikes and compatibility forms written plainly."""
     if text.isascii():
         return text
-    t = garbled.repair(text)[0]
-    t = unicodedata.normalize("NFKC", "".join(c for c in t if not lookalikes.invisible(c) and c != "�"))
-    return _WORD.sub(_one_script, t)
+    t = unicodedata.normalize("NFKC", garbled.repair(text)[0].translate(_VISIBLE))
+    return _WORD.sub(_one_script, t) if _BEYOND_LATIN.search(t) else t
 
 
+_BEYOND_LATIN = re.compile("[\u0370-\u1dff]")
 _WORD = re.compile(r"[^\W\d_]+")
 _TO_LATIN = {x: g.split()[0] for g in lookalikes.SAME_SHAPE.replace("\n", "|").strip("|").split("|") for x in g.split()[1:]}
 
