@@ -45,9 +45,16 @@ def similar_sequences(left: DataFrame, right: DataFrame, least: float = 0.8) ->
     common; these bounds, none of which loses a pair, come before the Arrow function.
     """
     x, y = left.select("a").filter("a is not null").distinct(), right.select("b").filter("b is not null").distinct()
-    parts = lambda c: F.explode(F.when(F.length(c) < 6, F.array(F.lit("short"))).otherwise(F.concat(F.when(F.length(c) < 12, F.array(F.lit("short"))).otherwise(F.array().cast("array<string>")), _grams(F.col(c), 2))))
+    # parts of two characters, numbered where they repeat: alike strings share at least their matching characters less the matching blocks
+    two = lambda c: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 1, F.lit(1))), lambda i: F.substring(F.col(c), i, F.lit(2)))
+    numbered = lambda c: F.transform(two(c), lambda g, i: F.concat(g, F.size(F.filter(F.slice(two(c), F.lit(1), i + 1), lambda v: v == g)).cast("string")))
     bound = lambda p, q: 2 * F.least(F.length(p), F.length(q)) >= least * (F.length(p) + F.length(q))
-    pairs = x.select("a", parts("a").alias("part")).join(y.select("b", parts("b").alias("part")), "part").filter(bound("a", "b")).select("a", "b").distinct()
+    long = x.select("a", F.explode(numbered("a")).alias("part")).join(y.select("b", F.explode(numbered("b")).alias("part")), "part").filter(bound("a", "b")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+    long = long.filter(F.col("n") >= (least - 0.6) * (F.length("a") + F.length("b")) - 1).select("a", "b") if least > 0.6 else long.select("a", "b")
+    # strings too short for that bound, by their length
+    short = lambda d, c: d.filter(F.length(c) < 12).withColumn("len", F.length(c))
+    some = short(x, "a").join(short(y, "b").withColumn("len", F.explode(F.sequence(F.greatest(F.lit(0), F.col("len") - 5), F.col("len") + 5))), "len").filter(bound("a", "b") & (F.length("a") + F.length("b") < 12)).select("a", "b")
+    pairs = long.unionByName(some).distinct()
     spare = F.length(F.col("a")) + F.length(F.col("b"))
     chars = lambda c: F.filter(F.split(c, ""), lambda v: v != "")
     shared = F.aggregate(F.array_intersect(chars("a"), chars("b")), F.lit(0), lambda acc, v: acc + F.least(F.size(F.filter(chars("a"), lambda z: z == v)), F.size(F.filter(chars("b"), lambda z: z == v))))
