@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tamisol.functions import arrow_metrics as A
@@ -62,6 +62,11 @@ def _pairs(spark: SparkSession, d: str) -> DataFrame:
     return a.select(F.lower("customer_name").alias("a"), F.lower("matched_entity").alias("b")).distinct()
 
 
+def _all_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Distinct pairs of a customer's and a listed name in lower case, whatever their characters; null and '' stay apart."""
+    return table(spark, d, "sanctions_alerts").select(T.low("customer_name").alias("a"), T.low("matched_entity").alias("b")).distinct()
+
+
 # --- review ----------------------------------------------------------------------------------------------------------
 @query(f"WITH {TRIAGED} SELECT alert_id, base, CAST(l AS BIGINT) large_count, CAST(i AS BIGINT) international_count, round(score, 9) final_risk_score, recommendation, missing FROM triaged")
 def triage_verdicts(spark: SparkSession, d: str) -> DataFrame:
@@ -230,17 +235,37 @@ def soundex_codes(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "sanctions").select("full_name").distinct().select("full_name", M.soundex(F.col("full_name")).alias("soundex"), M.refined_soundex(F.col("full_name")).alias("refined"))
 
 
+# The similarities of each query, for pairs of plain letters and for all pairs.
+def _edit(a: Column, b: Column) -> list[Column]:
+    return [F.round(M.levenshtein_sim(a, b), 9).alias("levenshtein_sim"), F.round(M.hamming_sim(a, b), 9).alias("hamming_sim")]
+
+
+def _jaro(j: Column, a: Column, b: Column) -> list[Column]:
+    return [F.round(j, 9).alias("jaro"), F.round(M.jaro_winkler(j, a, b), 9).alias("jaro_winkler")]
+
+
+def _token(a: Column, b: Column) -> list[Column]:
+    return [F.round(M.jaccard(a, b), 9).alias("jaccard"), F.round(M.sorensen_dice(a, b), 9).alias("sorensen_dice"), F.round(M.token_set_ratio(a, b), 9).alias("token_set_ratio")]
+
+
+def _ngram(a: Column, b: Column) -> list[Column]:
+    return [F.round(M.ngram_cosine(a, b, 2), 9).alias("bigram_cos"), F.round(M.ngram_cosine(a, b, 3), 9).alias("trigram_cos")]
+
+
+def _whole(a: Column, b: Column) -> list[Column]:
+    return [M.exact(a, b).alias("exact"), F.round(M.substring(a, b), 9).alias("substring_sim"), M.initial_collapse(a, b).alias("initial_collapse")]
+
+
 @query(f"WITH {PAIRS} SELECT a, b, round(1.0 - levenshtein(a, b) / greatest(len(a), len(b), 1)::DOUBLE, 9) levenshtein_sim, round(1.0 - (greatest(len(a), len(b)) - len(list_filter(range(1, least(len(a), len(b)) + 1), lambda i: a[i] = b[i]))) / greatest(len(a), len(b), 1)::DOUBLE, 9) hamming_sim FROM pairs")
 def edit_similarity(spark: SparkSession, d: str) -> DataFrame:
-    a, b = F.col("a"), F.col("b")
-    return _pairs(spark, d).select("a", "b", F.round(M.levenshtein_sim(a, b), 9).alias("levenshtein_sim"), F.round(M.hamming_sim(a, b), 9).alias("hamming_sim"))
+    return _pairs(spark, d).select("a", "b", *_edit(F.col("a"), F.col("b")))
 
 
 @query(f"WITH {PAIRS}, j AS (SELECT a, b, jaro_similarity(a, b) j, CASE WHEN a[1] <> b[1] THEN 0 WHEN a[1:2] <> b[1:2] OR least(len(a), len(b)) < 2 THEN 1 WHEN a[1:3] <> b[1:3] OR least(len(a), len(b)) < 3 THEN 2 WHEN a[1:4] <> b[1:4] OR least(len(a), len(b)) < 4 THEN 3 ELSE 4 END p FROM pairs) SELECT a, b, round(j, 9) jaro, round(j + 0.1 * p * (1 - j), 9) jaro_winkler FROM j")
 def jaro_family(spark: SparkSession, d: str) -> DataFrame:
     ship(spark)
     rows = _pairs(spark, d).withColumn("j", A.of_pairs(A.jaro)("a", "b"))
-    return rows.select("a", "b", F.round("j", 9).alias("jaro"), F.round(M.jaro_winkler(F.col("j"), F.col("a"), F.col("b")), 9).alias("jaro_winkler"))
+    return rows.select("a", "b", *_jaro(F.col("j"), F.col("a"), F.col("b")))
 
 
 _WORDS = "wp AS (SELECT a, b, list_distinct(list_filter(string_split(a, ' '), lambda x: x <> '')) x, list_distinct(list_filter(string_split(b, ' '), lambda x: x <> '')) y FROM pairs), wl AS (SELECT *, len(list_intersect(x, y)) c, trim(array_to_string(list_sort(list_intersect(x, y)), ' ') || ' ' || array_to_string(list_sort(list_filter(x, lambda w: NOT list_contains(y, w))), ' ')) p, trim(array_to_string(list_sort(list_intersect(x, y)), ' ') || ' ' || array_to_string(list_sort(list_filter(y, lambda w: NOT list_contains(x, w))), ' ')) q FROM wp)"
@@ -248,8 +273,7 @@ _WORDS = "wp AS (SELECT a, b, list_distinct(list_filter(string_split(a, ' '), la
 
 @query(f"WITH {PAIRS}, {_WORDS} SELECT a, b, round(c / (len(x) + len(y) - c)::DOUBLE, 9) jaccard, round(2 * c / (len(x) + len(y))::DOUBLE, 9) sorensen_dice, round(1.0 - levenshtein(p, q) / greatest(len(p), len(q), 1)::DOUBLE, 9) token_set_ratio FROM wl")
 def token_similarity(spark: SparkSession, d: str) -> DataFrame:
-    a, b = F.col("a"), F.col("b")
-    return _pairs(spark, d).select("a", "b", F.round(M.jaccard(a, b), 9).alias("jaccard"), F.round(M.sorensen_dice(a, b), 9).alias("sorensen_dice"), F.round(M.token_set_ratio(a, b), 9).alias("token_set_ratio"))
+    return _pairs(spark, d).select("a", "b", *_token(F.col("a"), F.col("b")))
 
 
 def _cosine_sql(n: int) -> str:
@@ -260,14 +284,22 @@ def _cosine_sql(n: int) -> str:
 
 @query(f"WITH {PAIRS} SELECT a, b, round(p.c, 9) bigram_cos, round(q.c, 9) trigram_cos FROM {_cosine_sql(2)} p JOIN {_cosine_sql(3)} q USING (a, b)")
 def ngram_cosine(spark: SparkSession, d: str) -> DataFrame:
-    a, b = F.col("a"), F.col("b")
-    return _pairs(spark, d).select("a", "b", F.round(M.ngram_cosine(a, b, 2), 9).alias("bigram_cos"), F.round(M.ngram_cosine(a, b, 3), 9).alias("trigram_cos"))
+    return _pairs(spark, d).select("a", "b", *_ngram(F.col("a"), F.col("b")))
 
 
 @query(f"WITH {PAIRS}, t AS (SELECT a, b, list_filter(string_split(a, ' '), lambda x: x <> '') x, list_filter(string_split(b, ' '), lambda x: x <> '') y FROM pairs), i AS (SELECT *, array_to_string(list_transform(x, lambda w: w[1]), '') = array_to_string(list_transform(y, lambda w: w[1]), '') same, list_max(list_transform(x, lambda w: len(w))) <= 2 OR list_max(list_transform(y, lambda w: len(w))) <= 2 short FROM t) SELECT a, b, (a = b)::INT::DOUBLE exact, CASE WHEN contains(a, b) OR contains(b, a) THEN round(least(len(a), len(b)) / greatest(len(a), len(b))::DOUBLE, 9) ELSE 0.0 END AS substring_sim, (CASE WHEN NOT same THEN 0.0 WHEN short THEN 1.0 ELSE 0.5 END)::DOUBLE initial_collapse FROM i")
 def substring_initial(spark: SparkSession, d: str) -> DataFrame:
-    a, b = F.col("a"), F.col("b")
-    return _pairs(spark, d).select("a", "b", M.exact(a, b).alias("exact"), F.round(M.substring(a, b), 9).alias("substring_sim"), M.initial_collapse(a, b).alias("initial_collapse"))
+    return _pairs(spark, d).select("a", "b", *_whole(F.col("a"), F.col("b")))
+
+
+@query()
+def name_similarities(spark: SparkSession, d: str) -> DataFrame:
+    """The similarities of the five queries above over all pairs, beyond the plain letters that their SQL compares; null counts as ''."""
+    ship(spark)
+    x, y = (F.coalesce(c, F.lit("")) for c in ("a", "b"))
+    rows = _all_pairs(spark, d).withColumns({"x": x, "y": y}).withColumn("j", A.of_pairs(A.jaro)("x", "y"))
+    x, y = F.col("x"), F.col("y")
+    return rows.select("a", "b", *_edit(x, y), *_jaro(F.col("j"), x, y), *_token(x, y), *_ngram(x, y), *_whole(x, y))
 
 
 @query()
@@ -279,7 +311,7 @@ def phonetic_keys(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def alignment(spark: SparkSession, d: str) -> DataFrame:
     ship(spark)
-    return _pairs(spark, d).select("a", "b", *(A.of_pairs(f)("a", "b").alias(f.__name__) for f in (A.damerau_sim, A.lcs_sim, A.smith_waterman, A.needleman_wunsch)))
+    return _all_pairs(spark, d).select("a", "b", *(A.of_pairs(f)("a", "b").alias(f.__name__) for f in (A.damerau_sim, A.lcs_sim, A.smith_waterman, A.needleman_wunsch)))
 
 
 _W = lambda s, m, u: f"CASE WHEN {s} >= 0.9 THEN log2({m}/{u}) WHEN {s} <= 0.1 THEN log2({1 - m}/{1 - u}) ELSE {s} * log2({m}/{u}) + (1 - {s}) * log2({1 - m}/{1 - u}) END"
