@@ -24,6 +24,8 @@ READ_AS = ["cp1252", "latin-1", "mac_roman", "cp437", "cp850", "cp1250", "cp1251
 #: (read as, really) pairs of single-byte code pages.
 SWAPPED = [("cp1252", "cp1251"), ("cp1252", "koi8_r"), ("cp1251", "koi8_r"), ("koi8_r", "cp1251"), ("cp1252", "cp1256"), ("mac_roman", "cp1251"), ("cp437", "cp1251"), ("cp866", "cp1251"), ("cp1252", "cp866")]
 MOVE, SWAP, UNESCAPE, MAX_TEXTS, MAX_DEPTH = 0.6, 1.5, 0.05, 80, 4
+#: Price of a valid UTF-8 sequence of a fitting letter: above MOVE, so that the search begins and the move pays.
+SEQUENCE = 0.9
 
 _SEQUENCE = re.compile("[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3}")
 _ESCAPE = re.compile(r"\\u([0-9a-fA-F]{4})")
@@ -135,8 +137,39 @@ def _kind(c: str) -> tuple[str, float]:
     return k
 
 
+def _pairs(codec: str, leads: range) -> dict[str, str]:
+    """Two characters that ``codec`` shows for the UTF-8 bytes of a Latin letter, and that letter."""
+    shown = {ord(b): chr(c) for c, b in _to_bytes(codec).items()}
+    found = ((shown.get(a), shown.get(b), bytes([a, b]).decode()) for a in leads for b in range(0x80, 0xC0))
+    return {a + b: c for a, b, c in found if a and b and c.isalpha() and script(c) == "LATIN"}
+
+
+@lru_cache(None)
+def _sequences() -> dict[str, str]:
+    """UTF-8 pairs of Latin letters with marks as Western and Central European code pages show them."""
+    central = {k: v for codec in ("cp1250", "iso8859-2") for k, v in _pairs(codec, range(0xC3, 0xC6)).items()}
+    western = {k: v for codec in ("latin-1", "cp1254", "cp1252") for k, v in _pairs(codec, range(0xC3, 0xC9)).items()}
+    return central | western
+
+
+def _valid(text: str, i: int) -> bool:
+    """Whether the two characters at ``i`` are the UTF-8 bytes of a Latin letter that fits the letters around it."""
+    letter = _sequences().get(text[i : i + 2])
+    if letter is None:
+        return False
+    before, after = text[i - 1] if i else " ", text[i + 2 : i + 3] or " "
+    if any(c.isalpha() and script(c) != "LATIN" for c in (before, after)):
+        return False
+    if letter.islower() and before.isupper() and (after.isupper() or i > 1 and text[i - 2].isupper()):
+        return False  # a small letter among capitals
+    mark = text[i + 1]
+    # a real letter with a closing quote, or with a dash or blank between two words, is written so
+    quote = mark in "”“’‘»›" and not after.isalpha() and any(c in text[:i] for c in "„“”‘’«»‹›")
+    return not quote
+
+
 def cost(text: str) -> float:
-    """Implausibility of the characters of ``text`` beside one another; 0 for ASCII."""
+    """Implausibility of the characters of ``text`` beside one another, and of valid UTF-8 sequences; 0 for ASCII."""
     if text.isascii():
         return 0.0
     total, n = 0.0, len(text)
@@ -164,6 +197,7 @@ def cost(text: str) -> float:
         elif what == "symbol" and not (before.isalpha() or after.isalpha() or before >= "\x80" or after >= "\x80"):
             price *= 0.4
         total += price
+    total += SEQUENCE * sum(c >= "\x80" and _valid(text, i) for i, c in enumerate(text))
     return total + 1.9 * len(_INVERTED.findall(text))
 
 

@@ -37,6 +37,16 @@ def test_correct_text_stays(text):
     assert garbled.repair(text) == (text, False)
 
 
+@pytest.mark.parametrize("wrong,right", [("TÃœLDSTODINGER, Björn", "TÜLDSTODINGER, Björn"), ("Keltouvand A.Åž.", "Keltouvand A.Ş."), ("Ã–mer Mınhuçı", "Ömer Mınhuçı"), ("ROPUEDUÃ‘A, Manuel", "ROPUEDUÑA, Manuel"), ("Pueblo NÃ\u00adspero", "Pueblo Níspero"), ("KĂ–ZMODEMIR", "KÖZMODEMIR"), ("SURRALUÃƒâ€˜A", "SURRALUÑA")])
+def test_cheap_sequences_are_searched(wrong, right):
+    assert garbled.repair(wrong) == (right, True)
+
+
+@pytest.mark.parametrize("text", ["„DAS MENÜ“ – “IRMÃ”", "Гњилане", "SPÄŤ", "KÖ–BERLIN", "Ås", "São João–Açu"])
+def test_letters_that_only_resemble_sequences_stay(text):
+    assert garbled.repair(text) == (text, False)
+
+
 def test_records_and_edges(spark):
     raw = ['{"a": ["caf\\u00c3\\u00a9", 1], "b": {"c": "ok"}}', '"{\\"a\\": \\"caf\\u00c3\\u00a9\\"}"', '{"a": "cafÃ©', None, "", "{}", '{"a": "caf\\u00e9"}']
     df = spark.createDataFrame([(i, "x" if i else "Ã©mile", r, "clash") for i, r in enumerate(raw)], "id long, full_name string, raw_data string, field string")
