@@ -2,12 +2,13 @@
 
 The automaton over the items' normalised words is built once per task. A document's words are streamed through it; the longest
 matching length after each word gives the maximal spans a document shares with any item. Spans that are common to many
-documents are told apart by counting, over the whole corpus, the documents each item position is matched in. What is left
-must cover enough of the item, in order.
+documents are told apart by counting, over the whole corpus, the different texts each item position is matched in without
+the rest of the item. What is left must cover enough of the item, in order.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from bisect import bisect_left
 from collections import Counter
@@ -170,34 +171,54 @@ def _blocks(items: list[tuple[int, list[str]]]) -> list[list[tuple[int, list[str
     return out
 
 
-_SHARED = "doc_id long, item_id long, spans array<struct<d:int,i:int,n:int>>, i int, n int, docs long"
+def sentences(text: str) -> list[int]:
+    """The number of its sentence for each of the words of ``text``; sentences end at .!?。؟ before white space (a full stop after a short word may be an abbreviation's), and at blank lines."""
+    out: list[int] = []
+    for k, part in enumerate(re.split(r"(?:(?<=\w{4}\.)|(?<=[!?。؟]))[\"'”’»)\]]*\s+|\n\s*\n", text)):
+        out += [k] * len(words(part))
+    return out
+
+
+def holds_passage(chain: list[tuple[int, int, int]], size: int, of: list[int]) -> bool:
+    """Whether a chain of spans is a passage of the item itself: a third of it, with at least MIN_SPAN words of each of two sentences."""
+    if stretched(chain) < COVERAGE * size:
+        return False
+    held = Counter(of[p] for p in {p for _, i, n in chain for p in range(i, i + n)})
+    return sum(n >= MIN_SPAN for n in held.values()) > 1
+
+
+def digest(tokens: list[str]) -> int:
+    return int.from_bytes(hashlib.blake2b(" ".join(tokens).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
 
 
-def shared_spans(docs: DataFrame, items: list[tuple[int, list[str]]]) -> DataFrame:
-    """Two kinds of row: (doc_id, item_id, spans) where the spans could cover enough of the item, and (item_id, i, n, docs), each task's
-    count of documents that share item words i to i + n. The second kind is aggregated per task, so its size follows the items."""
+_SHARED = "doc_id long, item_id long, spans array<struct<d:int,i:int,n:int>>, i int, n int, text long"
+
+
+def shared_spans(docs: DataFrame, items: list[tuple[int, list[str]]], parts: dict[int, list[int]]) -> DataFrame:
+    """Three kinds of row: (doc_id, item_id, spans) where the spans could cover enough of the item, (item_id, i, n, text) for each text that shares
+    item words i to i + n but isn't a passage of the item, and (text) for each text; ``parts`` has the sentences of the items' words by item_id."""
     kinds = [pa.int64(), pa.int64(), pa.list_(pa.struct([("d", pa.int32()), ("i", pa.int32()), ("n", pa.int32())])), pa.int32(), pa.int32(), pa.int64()]
-    names = ["doc_id", "item_id", "spans", "i", "n", "docs"]
+    names = ["doc_id", "item_id", "spans", "i", "n", "text"]
 
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = SuffixAutomaton(items)
         sizes = [len(t) for _, t in items]
-        seen: Counter[tuple[int, int, int]] = Counter()
         for b in batches:
-            cols: list[list] = [[], [], []]
+            cols: list[list] = [[] for _ in kinds]
+            add = lambda *row: [c.append(x) for c, x in zip(cols, row, strict=True)]  # noqa: E731, B023
             for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                for number, spans in automaton.matches(words(text)).items():
-                    seen.update({(number, i, n) for _, i, n in spans})
-                    if sum(n for _, _, n in spans) >= 0.7 * COVERAGE * sizes[number] and stretched(covered(spans)[1]) >= COVERAGE * sizes[number]:
-                        for c, x in zip(cols, (key, items[number][0], [{"d": d, "i": i, "n": n} for d, i, n in sorted(set(spans))]), strict=True):
-                            c.append(x)
-            none = pa.nulls(len(cols[0]))
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(cols, kinds, strict=False)), *(none.cast(t) for t in kinds[3:])], names)
-        rows = sorted(seen.items())
-        none = pa.nulls(len(rows))
-        yield pa.RecordBatch.from_arrays(
-            [none.cast(kinds[0]), pa.array([items[k][0] for (k, _, _), _ in rows], kinds[1]), none.cast(kinds[2]), pa.array([i for (_, i, _), _ in rows], kinds[3]), pa.array([n for (_, _, n), _ in rows], kinds[4]), pa.array([c for _, c in rows], kinds[5])], names
-        )
+                tokens = words(text)
+                same = digest(tokens)
+                add(None, None, None, None, None, same)
+                for number, spans in automaton.matches(tokens).items():
+                    item, size = items[number][0], sizes[number]
+                    chain = covered(spans)[1]
+                    if not holds_passage(chain, size, parts[item]):
+                        for i, n in {(i, n) for _, i, n in spans}:
+                            add(None, item, None, i, n, same)
+                    if sum(n for _, _, n in spans) >= 0.7 * COVERAGE * size and stretched(chain) >= COVERAGE * size:
+                        add(key, item, [{"d": d, "i": i, "n": n} for d, i, n in sorted(set(spans))], None, None, None)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(scan, _SHARED)
 
@@ -206,26 +227,28 @@ def leaks(docs: DataFrame, items: DataFrame, documents: int | None = None) -> Da
     """(doc_id, item_id, share, spans, shared) of every document that repeats at least COVERAGE of an item's words in order: the spans that
     make up the share, and all spans of REMOVED words and more that both have in common.
 
-    A share of OWN of the item's words must lie outside passages matched in COMMON_SHARE of all documents (at least COMMON_LEAST). Null and empty texts share nothing; items shorter
+    A share of OWN of the item's words must lie outside passages common to COMMON_SHARE of all different texts (at least COMMON_LEAST; ``documents``
+    overrides how many there are). Copies count once, and texts that hold a third of the item over several of its sentences don't count, however many there are. Null and empty texts share nothing; items shorter
     than MIN_SPAN words can't leak; repeated documents are each reported, repeated rows of one doc_id once; extra columns are ignored.
     ``items`` is a stated test set and goes to the driver as words; automata are built per block of BLOCK_WORDS words.
     """
     wanted = sorted({(int(r.item_id), r.text or "") for r in items.select("item_id", "text").collect()})
     listed = [(k, words(t)) for k, t in wanted]
-    if documents is None:
-        documents = docs.count()
+    of = {k: sentences(re.sub(r"(?<=\w)-\n(?=\w)", "", t)) for k, t in wanted}
     parts = None
     for block in _blocks(listed):
-        part = shared_spans(docs, block)
+        part = shared_spans(docs, block, of)
         parts = part if parts is None else parts.unionByName(part)
     shared = materialise(parts, "spans")
+    if documents is None:
+        documents = shared.filter("item_id is null").select("text").distinct().count()
     common = max(COMMON_LEAST, COMMON_SHARE * documents)
     # at most (item words) squared rows, whatever the corpus
-    counts = shared.filter("docs is not null").groupBy("item_id", "i", "n").agg(F.sum("docs").alias("docs")).collect()
+    counts = shared.filter("i is not null").select("item_id", "i", "n", "text").distinct().groupBy("item_id", "i", "n").agg(F.count(F.lit(1)).alias("texts")).collect()
     matched = {k: [0] * (len(t) + 1) for k, t in listed}
     for r in counts:
-        matched[r.item_id][r.i] += r.docs
-        matched[r.item_id][r.i + r.n] -= r.docs
+        matched[r.item_id][r.i] += r.texts
+        matched[r.item_id][r.i + r.n] -= r.texts
     usable = {}
     for k, t in listed:
         running, total, depth = [0], 0, 0
@@ -251,7 +274,7 @@ def leaks(docs: DataFrame, items: DataFrame, documents: int | None = None) -> Da
             at = pa.array(keep, pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(shares, pa.float64()), pa.array(chosen, b.column(2).type), pa.array(long, b.column(2).type)], ["doc_id", "item_id", "share", "spans", "shared"])
 
-    rows = shared.filter("docs is null").select("doc_id", "item_id", "spans").mapInArrow(decide, "doc_id long, item_id long, share double, spans array<struct<d:int,i:int,n:int>>, shared array<struct<d:int,i:int,n:int>>")
+    rows = shared.filter("spans is not null").select("doc_id", "item_id", "spans").mapInArrow(decide, "doc_id long, item_id long, share double, spans array<struct<d:int,i:int,n:int>>, shared array<struct<d:int,i:int,n:int>>")
     return rows.dropDuplicates(["doc_id", "item_id"])
 
 

@@ -74,6 +74,33 @@ def test_leaks(spark):
     assert leakage.leaks(left, items, documents=400).count() == 0
 
 
+def test_leaks_of_copied_documents(spark):
+    rng = random.Random(7)
+    noise = lambda n: [rng.choice(WORDS) for _ in range(n)]
+    sentence = lambda n: [*noise(n - 1), "ending."]
+    parts = [[sentence(15) for _ in range(4)] for _ in range(3)]
+    once = [w for s in parts[0][:2] for w in s]  # half of an item
+    many = [w for s in parts[1][:2] for w in s]
+    post, docs, truth = [*noise(30), *once, *noise(30)], [], set()
+    for d in range(300):
+        t = noise(70)
+        if d < 40:  # copies of one text
+            t = post
+        elif d < 80:  # copies with a word changed here and there, also inside of the passage
+            t = [*t[:5], *many[:]]
+            t[5 + rng.randrange(30)] = "edited"
+        elif d < 82:
+            t = [*t, *(once if d == 80 else many)]  # other texts with the same parts
+        elif d < 140:
+            t = [*t, *parts[2][0], *noise(5), *parts[2][3]] if d == 82 else [*t, *parts[2][d % 2 * 3]]  # common sentences, each alone, and once both
+        if d < 82:
+            truth.add((d, 0 if d < 40 or d == 80 else 1))
+        docs.append((d, " ".join(t)))
+    items = [(k, " ".join(w for s in p for w in s)) for k, p in enumerate(parts)]
+    rows = leakage.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in rows} == truth
+
+
 def test_leaks_in_blocks(spark, monkeypatch):
     docs, items, truth = leak_tables(spark)
     monkeypatch.setattr(leakage, "BLOCK_WORDS", 200)
