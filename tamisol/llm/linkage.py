@@ -180,7 +180,7 @@ def blocks(profiles: DataFrame, common: frozenset[str]) -> DataFrame:
                 other.append(o)
 
             for i, (packed, dob) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)):
-                for k, _, initials in variants.key_words(packed, common):
+                for k, _, initials in variants.key_words(packed, common, mixed=False):
                     for o in initials or [""]:
                         add(i, "w", k, o)
                     if "|D" in dob and "+" not in k:

@@ -202,3 +202,18 @@ def test_matches_and_namesakes(spark):
     right = len(truth & set(got))
     assert right >= 0.95 * len(truth) and right >= 0.95 * len(got) and all(0.5 <= c <= 1 for c in got.values())
     assert linkage.matches(df.limit(0), conv).count() == 0
+
+
+def test_common_words_misspelt_still_meet(spark):
+    # given and family name are common, so rows of just these two have no telling word; one typo makes one
+    common = frozenset(names.spelling(w) for w in ("marina", "petrenko", "olga", "sidorova"))
+    keys = lambda t: {k for k, _, _ in variants.key_words(names.packed(t), common)}
+    for a, b in (("Marina Petrenko", "Marina Petrenkop"), ("Marina Petrenko", "Marina Betrenko"), ("Olga Sidorova", "Olga Tidorova"), ("Olga Sidorova", "Olpa Sidorova")):
+        assert metric.brute(keys(a), keys(b)), (a, b)
+    firsts, lasts = ("Marina", "Oksana", "Galina", "Tamara"), ("Petrenko", "Sidorova", "Kovalchuk", "Bondarenko")
+    listed = [(f"{f} {x} {chr(97 + i)}", i) for i in range(6) for f in firsts for x in lasts]
+    s = spark.createDataFrame([(k, "L", t) for k, (t, _) in enumerate(listed)], "id long, source string, full_name string")
+    a = spark.createDataFrame([("t", "L", "c", "Marina Petrenkop a", "Nobody")], "alert_id string, source_list string, customer_id string, matched_entity string, customer_name string")
+    c = spark.createDataFrame([], "case_id string, name_queried string")
+    got = {r.right_key for r in variants.entity_and_case_links(a, s, c).collect() if r.link == "entity"}
+    assert str(next(k for k, (t, _) in enumerate(listed) if t == "Marina Petrenko a")) in got
