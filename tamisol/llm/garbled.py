@@ -23,13 +23,16 @@ from pyspark.sql import functions as F
 READ_AS = ["cp1252", "latin-1", "mac_roman", "cp437", "cp850", "cp1250", "cp1251", "cp1254", "iso8859-2", "iso8859-15", "cp1253", "cp1256", "cp852", "cp866", "koi8_r", "iso8859-9", "mac_latin2", "cp1257"]
 #: (read as, really) pairs of single-byte code pages.
 SWAPPED = [("cp1252", "cp1251"), ("cp1252", "koi8_r"), ("cp1251", "koi8_r"), ("koi8_r", "cp1251"), ("cp1252", "cp1256"), ("mac_roman", "cp1251"), ("cp437", "cp1251"), ("cp866", "cp1251"), ("cp1252", "cp866")]
-MOVE, SWAP, UNESCAPE, MAX_TEXTS, MAX_DEPTH = 0.6, 1.5, 0.05, 80, 4
+MOVE, SWAP, UNESCAPE = 0.6, 1.5, 0.05
+#: Price of a lost character, which no move brings back. Texts after which a search that hasn't ended is given up; ``complete`` then says so.
+LOST, MAX_TEXTS = 1.5, 5_000
 #: Price of a valid UTF-8 sequence of a fitting letter: above MOVE, so that the search begins and the move pays.
 SEQUENCE = 0.9
 
 _SEQUENCE = re.compile("[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3}")
 _ESCAPE = re.compile(r"\\u([0-9a-fA-F]{4})")
 _RUN = re.compile(r"[^\x00-\x7f]+")
+_LONG_RUN = re.compile(r"[^\x00-\x7f]{3}")
 _OUT = "Ā"
 #: Words whose letter case is turned round, as KOI8-R read in another Cyrillic code page has it.
 _INVERTED = re.compile(r"\b[а-яё][А-ЯЁ]{2,}\b")
@@ -61,8 +64,19 @@ def _table(codec: str) -> _Bytes:
     return _Bytes(_to_bytes(codec))
 
 
+@lru_cache(None)
+def _shown(codec: str) -> re.Pattern:
+    """What a UTF-8 sequence looks like in ``codec``."""
+    shown = {ord(b): chr(c) for c, b in _to_bytes(codec).items()}
+    group = lambda low, high: "[" + "".join(re.escape(shown[b]) for b in range(low, high + 1) if b in shown) + "]"
+    follow = group(0x80, 0xBF)
+    return re.compile(f"{group(0xC2, 0xDF)}{follow}|{group(0xE0, 0xEF)}{follow}{{2}}|{group(0xF0, 0xF4)}{follow}{{3}}")
+
+
 def _as_utf8(text: str, codec: str) -> str | None:
     """Every UTF-8 sequence that ``codec``'s bytes of the text hold, decoded; the rest as it is. None if there is none."""
+    if _shown(codec).search(text) is None:
+        return None
     marked = text.translate(_table(codec))
     if len(marked) != len(text):
         return None
@@ -118,7 +132,7 @@ def _kind(c: str) -> tuple[str, float]:
     if k is None:
         cat, cp = unicodedata.category(c), ord(c)
         if c == "�":
-            k = ("lost", 1.5)
+            k = ("lost", LOST)
         elif cp < 0xA0:
             k = ("symbol", 2.5)
         elif 0x2500 <= cp < 0x25A0:
@@ -201,11 +215,12 @@ def cost(text: str) -> float:
     return total + 1.9 * len(_INVERTED.findall(text))
 
 
-def _moves(text: str) -> Iterator[tuple[str, float, str]]:
-    for codec in READ_AS:
+def _moves(text: str, most: float) -> Iterator[tuple[str, float, str]]:
+    """(text, price, move) of every move that costs less than ``most``."""
+    for codec in READ_AS if most > MOVE else ():
         if (new := _as_utf8(text, codec)) is not None and new != text:
             yield new, MOVE, f"utf-8 read as {codec}"
-    for read, really in SWAPPED:
+    for read, really in SWAPPED if most > SWAP and _LONG_RUN.search(text) else ():
         if (new := _swapped(text, read, really)) is not None:
             yield new, SWAP, f"{really} read as {read}"
     if "&" in text and (new := html.unescape(text)) != text:
@@ -217,12 +232,16 @@ def _moves(text: str) -> Iterator[tuple[str, float, str]]:
 
 
 @lru_cache(60_000)
-def repair(text: str) -> tuple[str, bool]:
-    """(the cheapest text reachable, whether the text was garbled). Lost originals keep U+FFFD where nothing better is reachable."""
+def searched(text: str) -> tuple[str, bool, bool]:
+    """(the cheapest text reachable, whether the text was garbled, whether the search ended). Lost originals keep U+FFFD where nothing better is reachable.
+
+    A text is left alone once no text behind it can be cheaper than the best one found: characters cost nothing at best, lost ones stay, and
+    every move has its price. So the search ends by itself, with the cheapest text.
+    """
     start = cost(text)
     escaped = "&" in text and html.unescape(text) != text or "\\u" in text
     if start < MOVE and not escaped:
-        return text, False
+        return text, False, True
     best, best_at, best_path = text, start, ()
     queue: list[tuple[float, int, str, tuple[str, ...], float]] = [(start, 0, text, (), 0.0)]
     seen, n = {hash(text)}, 0
@@ -230,35 +249,45 @@ def repair(text: str) -> tuple[str, bool]:
         at, _, t, path, paid = heapq.heappop(queue)
         if at < best_at - 1e-9:
             best, best_at, best_path = t, at, path
-        if len(path) >= MAX_DEPTH:
+        least = paid + LOST * t.count("\ufffd")
+        if least + UNESCAPE >= best_at:
             continue
-        for new, price, move in _moves(t):
+        for new, price, move in _moves(t, best_at - least):
             if (h := hash(new)) not in seen:
                 seen.add(h)
                 n += 1
-                heapq.heappush(queue, (cost(new) + paid + price, n, new, (*path, move), paid + price))
+                there = cost(new) + paid + price
+                if there < best_at - 1e-9:
+                    best, best_at, best_path = new, there, (*path, move)
+                heapq.heappush(queue, (there, n, new, (*path, move), paid + price))
     decoded = any(m != "unescape" for m in best_path)
-    lost = "�" in text or "ï¿½" in text
+    lost = "\ufffd" in text or "ï¿½" in text
     if not decoded:
         best = text
-    return best, decoded or lost
+    return best, decoded or lost, n < MAX_TEXTS
+
+
+def repair(text: str) -> tuple[str, bool]:
+    """(the cheapest text reachable, whether the text was garbled)."""
+    return searched(text)[:2]
 
 
-def names(texts: Iterable[str | None]) -> list[tuple[str | None, bool]]:
-    return [(t, False) if t is None or t.isascii() and "&" not in t and "\\u" not in t else repair(t) for t in texts]
+def names(texts: Iterable[str | None]) -> list[tuple[str | None, bool, bool]]:
+    """``searched`` of each text; null and plain ASCII texts stay."""
+    return [(t, False, True) if t is None or t.isascii() and "&" not in t and "\\u" not in t else searched(t) for t in texts]
 
 
-def _walk(value, hit: list[bool]):
+def _walk(value, state: list[bool]):
     if isinstance(value, str):
         if value.isascii() and "&" not in value and "\\u" not in value:
             return value
-        new, bad = repair(value)
-        hit[0] |= bad
+        new, bad, ended = searched(value)
+        state[:] = state[0] or bad, state[1] and ended
         return new if bad else value
     if isinstance(value, dict):
-        return {k: _walk(v, hit) for k, v in value.items()}
+        return {k: _walk(v, state) for k, v in value.items()}
     if isinstance(value, list):
-        return [_walk(v, hit) for v in value]
+        return [_walk(v, state) for v in value]
     return value
 
 
@@ -269,39 +298,35 @@ def _unquote(s: str) -> str:
     return _ESCAPE.sub(lambda m: chr(int(m[1], 16)), s)
 
 
-def record(text: str | None) -> tuple[str | None, bool]:
+def record(text: str | None) -> tuple[str | None, bool, bool]:
     """The same for the texts inside a JSON record; a record that isn't valid JSON is searched string by string."""
     if not text or text.isascii() and "\\u" not in text:
-        return text, False
-    value = None
+        return text, False, True
     try:
         value = json.loads(text)
         if isinstance(value, str):  # a record wrapped in a JSON string
-            new, bad = record(value)
-            return (json.dumps(new, ensure_ascii=False), True) if bad else (text, False)
+            new, bad, ended = record(value)
+            return json.dumps(new, ensure_ascii=False) if bad else text, bad, ended
     except (ValueError, RecursionError):
-        out, bad = [], False
+        out, at, bad, ended = [], 0, False, True
         for m in _STRING.finditer(text):
-            new, b = repair(_unquote(m[1])) if not m[1].isascii() or "\\u" in m[1] else (m[1], False)
-            bad |= b
-            out.append((m.span(1), new if b else m[1]))
-        if not bad:
-            return text, False
-        new, at = [], 0
-        for (a, b), s in out:
-            new += [text[at:a], s]
-            at = b
-        return "".join([*new, text[at:]]), True
-    hit = [False]
-    new = _walk(value, hit)
-    return (json.dumps(new, ensure_ascii=False), True) if hit[0] else (text, False)
+            if not m[1].isascii() or "\\u" in m[1]:
+                new, wrong, done = searched(_unquote(m[1]))
+                bad, ended = bad or wrong, ended and done
+                if wrong:
+                    out += [text[at : m.start(1)], new]
+                    at = m.end(1)
+        return "".join([*out, text[at:]]), bad, ended
+    state = [False, True]
+    new = _walk(value, state)
+    return json.dumps(new, ensure_ascii=False) if state[0] else text, *state
 
 
 def repaired(df: DataFrame, key: str, text: str, nested: str | None = None) -> DataFrame:
-    """(key, field, original, restored) for each garbled value of ``text``, and of the texts inside the JSON column ``nested``.
+    """(key, field, original, restored, complete) for each garbled value of ``text``, and of the texts inside the JSON column ``nested``.
 
     Null, empty and ASCII values are never garbled; very long texts are read whole; repeated rows give repeated results. Only the
-    named columns are read, so clashing extra columns do no harm.
+    named columns are read, so clashing extra columns do no harm. complete: false where the search was given up after MAX_TEXTS texts.
     """
     fields = [text, *([nested] if nested else [])]
 
@@ -311,14 +336,15 @@ def repaired(df: DataFrame, key: str, text: str, nested: str | None = None) -> D
             for i, field in enumerate(fields):
                 rows = []
                 for k, t in zip(keys, b.column(i + 1).to_pylist(), strict=True):
-                    new, bad = record(t) if field == nested else (names([t])[0])
-                    if bad:
-                        rows.append((k, field, t, new))
-                cols = list(zip(*rows, strict=True)) or [[], [], [], []]
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], b.column(0).type), *(pa.array(c, pa.string()) for c in cols[1:])], ["key", "field", "original", "restored"])
+                    new, bad, ended = record(t) if field == nested else names([t])[0]
+                    if bad or not ended:
+                        rows.append((k, field, t, new, ended))
+                cols = list(zip(*rows, strict=True)) or [[]] * 5
+                kinds = [b.column(0).type, pa.string(), pa.string(), pa.string(), pa.bool_()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(cols, kinds, strict=True)], ["key", "field", "original", "restored", "complete"])
 
     kind = dict(df.dtypes)[key]
     suspect = F.col(text).rlike(r"[^\x00-\x7F]|&|\\u")
     if nested:
         suspect |= F.col(nested).rlike(r"[^\x00-\x7F]|\\u")
-    return df.select(key, *fields).filter(suspect).mapInArrow(scan, f"key {kind}, field string, original string, restored string").withColumnRenamed("key", key)
+    return df.select(key, *fields).filter(suspect).mapInArrow(scan, f"key {kind}, field string, original string, restored string, complete boolean").withColumnRenamed("key", key)

@@ -177,7 +177,7 @@ def character_counts(texts: DataFrame) -> dict[str, int]:
 
 def _unspoiled(text: str) -> tuple[str, bool]:
     """The text as it was before a wrong decoding, and whether damage is left."""
-    new, bad = garbled.names([text])[0]
+    new, bad, _ = garbled.names([text])[0]
     return new, bad and garbled.cost(new) > garbled.MOVE
 
 
