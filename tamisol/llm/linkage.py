@@ -118,7 +118,7 @@ def names_level(a: str, b: str) -> int:
     if s >= 0.62:
         return 5 if s >= 0.96 else 4 if s >= 0.86 else 3 if s >= 0.75 else 2
     got, _, _ = names._pair_words(names.name(a).words, names.name(b).words)
-    return 1 if any(x >= 0.88 and min(len(p), len(q)) >= 5 and p not in names.BUSINESS and p not in names.LEGAL for p, q, x in got) else 0
+    return 1 if any(x >= 0.88 and min(len(p.text), len(q.text)) >= 5 and p.text not in names.BUSINESS and p.text not in names.LEGAL for p, q, x in got) else 0
 
 
 SIZES = (6, 6, 3)
@@ -157,6 +157,7 @@ def records(sanctions: DataFrame, conventions: DataFrame) -> DataFrame:
     rows = timestamps.normalise(rows, "dob", "__day", "__order", "__zone", "norm").select("id", "source", "full_name", "nationality", "dob", "norm")
 
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names.quiet()
         for b in batches:
             _, _, full, nation, dob, norm = (c.to_pylist() for c in b.columns)
             cols = [[names.packed(t) for t in full], [birth(x, y) for x, y in zip(dob, norm, strict=True)], [country(n) for n in nation]]
@@ -165,7 +166,7 @@ def records(sanctions: DataFrame, conventions: DataFrame) -> DataFrame:
     return rows.mapInArrow(scan, "id long, source string, packed string, dob string, nation string").filter("packed <> ''")
 
 
-def blocks(profiles: DataFrame, common: frozenset[str]) -> DataFrame:
+def blocks(profiles: DataFrame, common: variants.Common) -> DataFrame:
     """(word, other, profile, ...) rows by which profiles meet. Passes: a telling word with the initial of another one, an exact day of birth with
     the beginning of a telling word, and all letters of the name in alphabetical order. ``other`` splits the groups of frequent words."""
 
@@ -180,7 +181,7 @@ def blocks(profiles: DataFrame, common: frozenset[str]) -> DataFrame:
                 other.append(o)
 
             for i, (packed, dob) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)):
-                for k, _, initials in variants.key_words(packed, common, mixed=False):
+                for k, _, initials in variants.key_words(packed, common):
                     for o in initials or [""]:
                         add(i, "w", k, o)
                     if "|D" in dob and "+" not in k:
@@ -196,8 +197,8 @@ def candidate_pairs(profiles: DataFrame) -> DataFrame:
     """(a, b), a < b: pairs of profiles that share a block of any pass; telling words may differ by one edit."""
     keys = materialise(blocks(profiles, variants.common_words(profiles.select("packed"))), "blocks")
     spelled = keys.filter("kind = 'w'")
-    near = materialise(metric.within_radius(spelled.select(F.col("word").alias("text")), spelled.select(F.col("word").alias("text"))), "near")
-    left = spelled.join(near, spelled["word"] == near["query"]).select(F.col("profile").alias("a"), F.col("member").alias("word"), "other")
+    near = materialise(variants.near_words(spelled, spelled), "near")
+    left = variants.reached(spelled.select("word", F.col("profile").alias("a"), "other"), near)
     passes = left.join(spelled.select(F.col("profile").alias("b"), "word", "other"), ["word", "other"]).filter("a < b").select("a", "b")
     exact = keys.filter("kind <> 'w'")
     same = exact.select(F.col("profile").alias("a"), "kind", "word", "other").join(exact.select(F.col("profile").alias("b"), "kind", "word", "other"), ["kind", "word", "other"]).filter("a < b").select("a", "b")
@@ -212,6 +213,7 @@ def profile_links(profiles: DataFrame) -> DataFrame:
     itself = profiles.select(F.col("profile").alias("a"), F.col("profile").alias("b"), F.col("packed").alias("packed_a"), F.col("packed").alias("packed_b"), F.col("dob").alias("dob_a"), F.col("dob").alias("dob_b"), F.col("nation").alias("nation_a"), F.col("nation").alias("nation_b"))
 
     def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names.quiet()
         for b in batches:
             x, y, d, e, n, o = (b.column(i).to_pylist() for i in range(2, 8))
             levels = [

@@ -4,33 +4,43 @@ The metric is the unrestricted Damerau-Levenshtein distance. Pivots are the empt
 length over half of the alphabet. The distance to a pivot follows from the length, or from how many letters are in that half. A
 string's cell is the tuple of its distances to the pivots, in steps. By the triangle inequality, which holds for distances to sets
 too, strings within radius 1 differ by at most 1 in every one of these distances; the query side is therefore replicated to the
-neighbouring cell wherever its distance stands at a step's boundary, and each cell can be joined alone. Inside a cell the join is
-linear in its strings, so there are only as many pivots as tasks can be kept busy with.
+neighbouring cell wherever its distance stands at a step's boundary, and each cell can be joined alone. One edit that makes a string
+longer takes no letter from any half, and one that makes it shorter adds none, which rules out some neighbours. Inside a cell the
+join is linear in its strings, so there are only as many pivots as it takes to keep cells small.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterable, Iterator
-from itertools import combinations
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tamisol.llm.names import edits
+from tamisol.llm.names import edits, quiet
 
 RADIUS, STEP = 1, 3
-#: Strings that a cell may hold on average before there is another pivot; halves of the alphabet, each cutting across the others.
-CELL = 25_000
-HALVES = ["rlmkgpzhqyu", "rnldsfjxtwo", "rntmkbfjaei", "rndmpbzxqvc", "ntlgsbhwyeo"]
+#: Strings that a cell may hold on average before there is another pivot.
+CELL = 40_000
+#: Letters of names in the order in which halves of the alphabet are cut from them.
+ALPHABET = "rlmkgpzhquytnsbfaidxcoevwj"
+
+
+def half(k: int) -> frozenset[str]:
+    """The k-th half of the alphabet: blocks of letters taken in turns, the blocks half as long for each further k; beyond the fourth, by a hash of k and the letter."""
+    n = len(ALPHABET)
+    if k < 4:
+        return frozenset(c for i, c in enumerate(ALPHABET) if (i * 2 ** (k + 1) // n) % 2 == 0)
+    return frozenset(sorted(ALPHABET, key=lambda c: hashlib.blake2b(f"{k}{c}".encode(), digest_size=8).digest())[: n // 2])
 
 
 def pivots(rows: int) -> list[frozenset[str]]:
     """The halves of the alphabet that are pivots, beside the empty string, for a number of strings: the more strings, the more pivots."""
     n = 0
-    while n < len(HALVES) and rows > CELL * 2 ** (n + 1):
+    while rows > CELL * 2 ** (n + 1):
         n += 1
-    return [frozenset(h) for h in HALVES[:n]]
+    return [half(k) for k in range(n)]
 
 
 def distance_to_half(text: str, half: frozenset[str], length: int) -> int:
@@ -40,14 +50,17 @@ def distance_to_half(text: str, half: frozenset[str], length: int) -> int:
 
 def cells(text: str, halves: list[frozenset[str]], replicate: bool) -> list[str]:
     """The cell of a string, or, for a query, every cell that can hold a string within RADIUS of it."""
-    options = []
-    for d in (len(text), *(sum(c in h for c in text) for h in halves)):  # up to a constant, the distances to the pivots
-        low, high = max(0, d - RADIUS) // STEP, (d + RADIUS) // STEP
-        options.append(range(low, high + 1) if replicate else (d // STEP,))
-    out = [""]
-    for o in options:
-        out = [f"{x}{i:x}." for x in out for i in o]
-    return out
+    out = [("", 0)]
+    for k, d in enumerate((len(text), *(sum(c in h for c in text) for h in halves))):  # up to a constant, the distances to the pivots
+        own, at = divmod(d, STEP)
+        moves = [0]
+        if replicate and at == STEP - 1:
+            moves.append(1)
+        elif replicate and at == 0 and d:
+            moves.append(-1)
+        # ``way`` is where the length moved: the counts of letters can't move the other way then
+        out = [(f"{x}{own + m:x}.", m if k == 0 else way) for x, way in out for m in moves if not way or k == 0 or m != -way]
+    return [x for x, _ in out]
 
 
 def shortened(text: str) -> set[str]:
@@ -80,19 +93,22 @@ def within_radius(queries: DataFrame, members: DataFrame) -> DataFrame:
     both = m.mapInArrow(place(0), schema).unionByName(q.mapInArrow(place(1), schema))
 
     def join(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        quiet()
         cell: str | None = None
         index: dict[str, list[str]] = {}
+        get = index.get
         for b in batches:
             left, right, apart = [], [], []
             for c, side, t in zip(*(x.to_pylist() for x in b.columns), strict=True):
                 if c != cell:
                     cell, index = c, {}
+                    get = index.get
                 if side == 0:
                     for s in shortened(t):
                         index.setdefault(s, []).append(t)
                 elif index:
-                    near = {x for s in shortened(t) for x in index.get(s, ())}
-                    for x in near:
+                    found = [m for s in shortened(t) if (m := get(s)) is not None]
+                    for x in set(found[0]).union(*found[1:]) if found else ():
                         if (e := edits(t, x, RADIUS)) <= RADIUS:
                             left.append(t)
                             right.append(x)
@@ -109,4 +125,4 @@ def brute(queries: Iterable[str], members: Iterable[str]) -> set[tuple[str, str]
 
 
 def brute_self(texts: list[str]) -> set[tuple[str, str]]:
-    return {(a, b) for a, b in combinations(sorted(set(texts)), 2) if edits(a, b, RADIUS) <= RADIUS}
+    return {(a, b) for a, b in brute(texts, texts) if a < b}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import unicodedata
 from collections import Counter
@@ -25,6 +26,7 @@ _TABLE = str.maketrans(_LATIN | _CYRILLIC | _ARABIC)
 # Titles, particles, legal forms with their short forms, and frequent short forms of business words.
 TITLES = frozenset("mr mrs ms miss dr shri smt sheikh shaikh sheik sir prof hon messrs mister madame mme herr frau sri haji hajji capt col sayyid".split())
 PARTICLES = frozenset("al el il all ell ul bin ibn bint ben b de del la las los da dos das du van von der den di le the of and y e et und".split())
+LEFT_OUT = TITLES | PARTICLES
 LEGAL = {
     w: form
     for form, words in {
@@ -47,10 +49,16 @@ NICKNAMES = {
 
 _WORDS = re.compile(r"[a-z0-9]+")
 _INITIALS = re.compile(r"(?<![^\W\d_])([^\W\d_])\.(?=[^\W\d_](?![^\W\d_]))")
+_SIMPLE = re.compile(r"[A-Za-z0-9 ,]*")
 _OTHER_NAME, _MESSRS = re.compile(r"\s*[(@]\s*"), re.compile(r"\bM/s\b", re.IGNORECASE)
 _APOSTROPHES = re.compile(r"['’`ʼʻ]")
 
 
+def quiet() -> None:
+    """Let Python look for cycles less often: its search goes through all that the caches of a worker hold, and nothing here makes cycles."""
+    gc.set_threshold(1_000_000, 50, 1_000)
+
+
 def latin(text: str) -> str:
     """Lower-case Latin letters without accents; Cyrillic and Arabic are transliterated, other scripts stay."""
     if text.isascii():
@@ -74,8 +82,9 @@ _UNACCENTED = _Without(unicodedata.combining)
 _VISIBLE = _Without(lambda c: lookalikes.invisible(c) or c == "\ufffd")
 
 
-_SOUNDS = [(re.compile(a), b) for a, b in (("sch|shch|sh", "x"), ("tch|ch", "x"), ("kh|ck|q|c", "k"), ("gh", "g"), ("ph|v", "f"), ("th", "t"), ("zh|dj", "j"), ("x", "x"), ("(?<=.)[aeiouyhw]", ""), ("^[aeiouyhw]+", "a"), (r"(.)\1+", r"\1"))]
-_SPELLINGS = [(re.compile(a), b) for a, b in (("sch", "sh"), ("tch", "ch"), ("ee|ei|ie", "i"), ("oo|ou", "u"), ("ae|oe(?=.)", "e"), ("ue(?=.)", "u"), ("ph", "f"), ("w", "v"), ("ck|q|c(?!h)", "k"), ("y|j(?=[^aeiou]|$)", "i"), (r"(.)\1+", r"\1"))]
+_I, _E, _U, _K, _Y = (re.compile(x) for x in ("ee|ei|ie", "ae|oe(?=.)", "ue(?=.)", "ck|q|c(?!h)", "y|j(?=[^aeiou]|$)"))
+_REPEATED = re.compile(r"(.)\1+")
+_SILENT = str.maketrans("", "", "aeiouyhw")
 
 
 @lru_cache(200_000)
@@ -83,9 +92,12 @@ def skeleton(word: str) -> str:
     """The consonant classes of a Latin word, with a mark for a vowel in front: what is left by most misspellings and by scripts without vowels."""
     if len(word) >= 8 and word[:2] in ("al", "el"):
         word = word[2:]
-    for a, b in _SOUNDS:
-        word = a.sub(b, word)
-    return word
+    if "h" in word:
+        word = word.replace("shch", "x").replace("sch", "x").replace("sh", "x").replace("tch", "x").replace("ch", "x")
+        word = word.replace("kh", "k").replace("gh", "g").replace("ph", "f").replace("th", "t").replace("zh", "j")
+    word = word.replace("ck", "k").replace("c", "k").replace("q", "k").replace("v", "f").replace("dj", "j")
+    first = word[:1]
+    return _REPEATED.sub(r"\1", ("a" if first and first in "aeiouyhw" else first) + word[1:].translate(_SILENT))
 
 
 @lru_cache(200_000)
@@ -93,9 +105,24 @@ def spelling(word: str) -> str:
     """The word in one of its usual spellings: long vowels, doubled letters, f for ph and the like."""
     if len(word) >= 8 and word[:2] in ("al", "el"):
         word = word[2:]
-    for a, b in _SPELLINGS:
-        word = a.sub(b, word)
-    return word
+    if "ch" in word:
+        word = word.replace("sch", "sh").replace("tch", "ch")
+    if "e" in word:
+        if "ee" in word or "ei" in word or "ie" in word:
+            word = _I.sub("i", word)
+        word = word.replace("oo", "u").replace("ou", "u")
+        if "ae" in word or "oe" in word:
+            word = _E.sub("e", word)
+        if "ue" in word:
+            word = _U.sub("u", word)
+    else:
+        word = word.replace("oo", "u").replace("ou", "u")
+    word = word.replace("ph", "f").replace("w", "v")
+    if "c" in word or "q" in word:
+        word = _K.sub("k", word)
+    if "y" in word or "j" in word:
+        word = _Y.sub("i", word)
+    return _REPEATED.sub(r"\1", word)
 
 
 def distance(a: str, b: str) -> int:
@@ -120,27 +147,27 @@ def distance(a: str, b: str) -> int:
 
 def edits(a: str, b: str, most: int) -> int:
     """Insertions, deletions, substitutions and swaps of neighbours that turn a into b; more than ``most`` come out as most + 1. Up to 1 it equals ``distance``."""
-    n = min(len(a), len(b))
-    i = 0
-    while i < n and a[i] == b[i]:
-        i += 1
-    a, b = a[i:], b[i:]
-    n -= i
+    n, m = len(a), len(b)
+    if abs(n - m) > most:
+        return most + 1
+    short = min(n, m)
     i = 0
-    while i < n and a[-1 - i] == b[-1 - i]:
+    while i < short and a[i] == b[i]:
         i += 1
-    if i:
-        a, b = a[:-i], b[:-i]
-    if not a or not b:
-        return min(most + 1, len(a) + len(b))
-    if most <= 0 or abs(len(a) - len(b)) > most:
-        return most + 1
+    while short > i and a[n - 1] == b[m - 1]:
+        n, m, short = n - 1, m - 1, short - 1
+    n, m = n - i, m - i
+    if not n or not m or most <= 0:
+        return min(most + 1, n or m)
+    if most == 1:
+        return 1 if n == m == 1 or n == m == 2 and a[i] == b[i + 1] and a[i + 1] == b[i] else 2
+    a, b = a[i : i + n], b[i : i + m]
     best = edits(a[1:], b[1:], most - 1)
-    if len(a) >= len(b) - 1:
+    if n >= m - 1:
         best = min(best, edits(a[1:], b, most - 1))
-    if len(b) >= len(a) - 1:
+    if m >= n - 1:
         best = min(best, edits(a, b[1:], most - 1))
-    if len(a) > 1 and len(b) > 1 and a[0] == b[1] and a[1] == b[0]:
+    if n > 1 and m > 1 and a[0] == b[1] and a[1] == b[0]:
         best = min(best, edits(a[2:], b[2:], most - 1))
     return best + 1
 
@@ -169,18 +196,22 @@ def _one_script(m: re.Match) -> str:
 @lru_cache(100_000)
 def parts(text: str) -> tuple[tuple[str, ...], ...]:
     """The words of each of the names that ``text`` gives, the first one first: in brackets or after @ stand others. Titles and particles are left out."""
+    if _SIMPLE.fullmatch(text):
+        words = text.lower().replace(",", " ").split()
+        kept = [w for w in words if w not in LEFT_OUT] or [w for w in words if w not in TITLES] or words
+        return (tuple(kept),) if kept else ()
     t = clean(text)
     pieces = _OTHER_NAME.split(t.replace(")", " ")) if "(" in t or "@" in t else [t]
     if len(pieces) > 1 and not pieces[0].strip(" ,.-_\t\n'\""):
         pieces = pieces[1:]
     out = []
-    for p in pieces[:4]:
+    for p in pieces:
         if "." in p:
             p = _INITIALS.sub(r"\1", p)
         if "/" in p:
             p = _MESSRS.sub(" ", p)
         words = _WORDS.findall(latin(_APOSTROPHES.sub("", p)))
-        kept = [w for w in words if w not in TITLES and w not in PARTICLES]
+        kept = [w for w in words if w not in LEFT_OUT]
         out.append(tuple(kept or [w for w in words if w not in TITLES] or words))
     return tuple(w for w in out if w)
 
@@ -190,6 +221,42 @@ def packed(text: str | None) -> str:
     return "|".join(" ".join(w) for w in parts(text)) if text else ""
 
 
+class _Bits(dict):
+    def __missing__(self, c: str) -> int:
+        b = self[c] = 1 << (ord(c) & 63)
+        return b
+
+
+_BIT = _Bits()
+
+
+def _letters(text: str) -> int:
+    """The characters of a text as bits; one edit changes two of them at most."""
+    bits = 0
+    for c in text:
+        bits |= _BIT[c]
+    return bits
+
+
+_CONSONANTS = ~_letters("a")
+
+
+class Word:
+    """One word, ready to be compared: spelling, skeleton, the characters of each, its beginning, and the given name that it is a form of."""
+
+    __slots__ = ("begins", "bits", "classes", "consonants", "formal", "many", "one", "sound", "spelled", "text")
+
+    def __init__(self, text: str):
+        self.text, self.spelled, self.sound = text, spelling(text), skeleton(text)
+        self.bits, self.classes = _letters(self.spelled), _letters(self.sound)
+        vowel = self.sound[:1] == "a"
+        self.consonants, self.many = self.classes & _CONSONANTS if vowel else self.classes, len(self.sound) - vowel
+        self.begins, self.one, self.formal = text[:2], len(text) == 1, NICKNAMES.get(text, text)
+
+
+word = lru_cache(200_000)(Word)
+
+
 class Name:
     """One packed name, ready to be compared."""
 
@@ -197,10 +264,10 @@ class Name:
 
     def __init__(self, text: str):
         first, *rest = text.split("|")
-        self.words = [w for w in first.split(" ") if w]
-        self.alternatives = [[w for w in r.split(" ") if w] for r in rest]
-        self.business = any(w in LEGAL or w in BUSINESS for w in self.words[1:]) or len(self.words) > 1 and self.words[0] in BUSINESS
-        self.legal = {LEGAL[w] for w in self.words if w in LEGAL}
+        self.words = [word(w) for w in first.split(" ") if w]
+        self.alternatives = [[word(w) for w in r.split(" ") if w] for r in rest]
+        self.business = any(w.text in LEGAL or w.text in BUSINESS for w in self.words[1:]) or len(self.words) > 1 and self.words[0].text in BUSINESS
+        self.legal = {LEGAL[w.text] for w in self.words if w.text in LEGAL} if self.business else set()
 
 
 @lru_cache(60_000)
@@ -208,52 +275,57 @@ def name(text: str) -> Name:
     return Name(text)
 
 
-@lru_cache(200_000)
-def word_score(a: str, b: str) -> float:
+def likeness(a: Word, b: Word) -> float:
     """Likeness of two words of names, from 0 to 1; below 0.6 they are different words."""
-    if a == b:
+    if a.text == b.text:
         return 1.0
-    if len(a) == 1 or len(b) == 1:
-        return 0.7 if a[0] == b[0] else 0.0
-    if NICKNAMES.get(a) == b or NICKNAMES.get(b) == a or NICKNAMES.get(a, a) == NICKNAMES.get(b, b):
+    if a.one or b.one:
+        return 0.7 if a.text[0] == b.text[0] else 0.0
+    if a.formal == b.formal:
         return 0.9
-    x, y = spelling(a), spelling(b)
+    x, y, s, t = a.spelled, b.spelled, a.sound, b.sound
     if x == y:
         return 0.97
     short = min(len(x), len(y))
     most = 1 if short <= 5 else 2
-    e = edits(x, y, most) if short >= 3 else most + 1
-    s, t = skeleton(a), skeleton(b)
+    e = edits(x, y, most) if short >= 3 and (a.bits ^ b.bits).bit_count() <= 2 * most else most + 1
     if s == t and len(s) >= 4:  # only vowels differ
         return 0.95 - 0.03 * e if e <= most else 0.88
     if e <= most:
         return 0.95 - 0.07 * e if short > 4 else 0.7
     if s == t and len(s) == 3:
         return 0.8
-    if len(s) >= 5 and len(t) >= 5 and edits(s, t, 1) <= 1:
+    if len(s) >= 5 and len(t) >= 5 and (a.classes ^ b.classes).bit_count() <= 2 and edits(s, t, 1) <= 1:
         return 0.75
-    if abs(len(a) - len(b)) <= 5 and (a[:3] == b[:3] and min(len(a), len(b)) <= 6 or a[:2] == b[:2] and min(len(a), len(b)) <= 4):  # familiar forms
-        return 0.62
+    if a.begins == b.begins:  # familiar forms
+        n, m = len(a.text), len(b.text)
+        if abs(n - m) <= 5 and (min(n, m) <= 4 or min(n, m) <= 6 and a.text[2] == b.text[2]):
+            return 0.62
     return 0.0
 
 
-def _abbreviates(a: str, b: str) -> bool:
-    """a is a short form of b: a prefix of it, or some of its letters in order, with its first one."""
-    if len(a) >= len(b) or len(a) < 2 or a[0] != b[0]:
-        return False
-    at = iter(b)
-    return all(c in at for c in a)
+def word_score(a: str, b: str) -> float:
+    return likeness(word(a), word(b))
 
 
-def _pair_words(a: list[str], b: list[str]) -> tuple[list[tuple[str, str, float]], list[str], list[str]]:
+def _pair_words(a: list[Word], b: list[Word]) -> tuple[list[tuple[Word, Word, float]], list[Word], list[Word]]:
     """Words put in pairs by likeness, best first, and what is left on either side."""
-    scored = sorted(((word_score(x, y), -abs(i - j), i, j) for i, x in enumerate(a) for j, y in enumerate(b)), reverse=True)
+    scored = []
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            # most pairs of words have nothing in common that ``likeness`` could find
+            if (x.bits ^ y.bits).bit_count() > 4 and (x.classes ^ y.classes).bit_count() > 2 and x.begins != y.begins and x.formal != y.formal and not x.one and not y.one:
+                continue
+            s = likeness(x, y)
+            if s >= 0.6:
+                scored.append((s, -abs(i - j), i, j))
+    if not scored:
+        return [], list(a), list(b)
+    scored.sort(reverse=True)
     used_a: set[int] = set()
     used_b: set[int] = set()
     got = []
     for s, _, i, j in scored:
-        if s < 0.6:
-            break
         if i not in used_a and j not in used_b:
             used_a.add(i)
             used_b.add(j)
@@ -261,28 +333,61 @@ def _pair_words(a: list[str], b: list[str]) -> tuple[list[tuple[str, str, float]
     return got, [x for i, x in enumerate(a) if i not in used_a], [y for j, y in enumerate(b) if j not in used_b]
 
 
-def _glued(rest_a: list[str], rest_b: list[str]) -> bool:
+#: Consonant classes by which two divisions of one text may differ: edits, and what is lost or made where words meet.
+SEAM = 4
+
+
+def _glued(rest_a: list[Word], rest_b: list[Word]) -> bool:
     """What is left on both sides is the same text divided differently."""
-    return bool(rest_a and rest_b) and word_score("".join(rest_a), "".join(rest_b)) >= 0.8
+    if not rest_a or not rest_b:
+        return False
+    if len(rest_a) == len(rest_b) == 1:
+        return likeness(rest_a[0], rest_b[0]) >= 0.8
+    x = y = p = q = n = m = 0
+    for w in rest_a:
+        x |= w.consonants
+        p |= w.bits
+        n += w.many
+    for w in rest_b:
+        y |= w.consonants
+        q |= w.bits
+        m += w.many
+    if not -SEAM < n - m < SEAM or (x ^ y).bit_count() > SEAM or (p ^ q).bit_count() > SEAM + 2:
+        return False
+    a, b = "".join([w.text for w in rest_a]), "".join([w.text for w in rest_b])
+    s = skeleton.__wrapped__(a)
+    if len(s) >= 3 and s == skeleton.__wrapped__(b):
+        return True
+    a, b = spelling.__wrapped__(a), spelling.__wrapped__(b)
+    short = min(len(a), len(b))
+    most = 1 if short <= 5 else 2
+    return a == b or short > 4 and edits(a, b, most) <= most
+
+
+def _abbreviates(a: str, b: str) -> bool:
+    """a is a short form of b: a prefix of it, or some of its letters in order, with its first one."""
+    if len(a) >= len(b) or len(a) < 2 or a[0] != b[0]:
+        return False
+    at = iter(b)
+    return all(c in at for c in a)
 
 
 def _business_score(a: Name, b: Name) -> float:
-    own = lambda n: [w for w in n.words if w not in LEGAL]
+    own = lambda n: [w for w in n.words if w.text not in LEGAL]
     x, y = own(a), own(b)
     got, rx, ry = _pair_words(x, y)
-    core = [s for p, q, s in got if p not in BUSINESS and q not in BUSINESS and len(p) > 1 and len(q) > 1]
-    if not core and not _glued([w for w in rx if w not in BUSINESS], [w for w in ry if w not in BUSINESS]):
+    core = [s for p, q, s in got if p.text not in BUSINESS and q.text not in BUSINESS and not p.one and not q.one]
+    if not core and not _glued([w for w in rx if w.text not in BUSINESS], [w for w in ry if w.text not in BUSINESS]):
         return 0.0
     for p in list(rx):
         for q in list(ry):
-            if _abbreviates(p, q) or _abbreviates(q, p):
+            if _abbreviates(p.text, q.text) or _abbreviates(q.text, p.text):
                 rx.remove(p)
                 ry.remove(q)
-                got.append((p, q, 0.85))
                 break
     for legal, rest in ((b.legal, rx), (a.legal, ry)):  # short legal forms that aren't listed
         for p in list(rest):
-            if any(_abbreviates(p, q) for q in legal):
+            if any(_abbreviates(p.text, q) for q in legal):
                 rest.remove(p)
     if rx and ry:
         if not _glued(rx, ry):
@@ -294,15 +399,15 @@ def _business_score(a: Name, b: Name) -> float:
     return score
 
 
-def _person_score(x: list[str], y: list[str]) -> float:
+def _person_score(x: list[Word], y: list[Word]) -> float:
     """At least one full word must agree; of the rest, each side's words are in the other's, up to initials and left-out middle names."""
     if len(x) != len(y) and _glued(x, y):
         return 0.85
     got, rx, ry = _pair_words(x, y)
-    rx, ry = ([w for w in r if w not in ("i", "d")] for r in (rx, ry))  # initials of particles
-    full = [s for p, q, s in got if len(p) > 1 and len(q) > 1]
+    rx, ry = ([w for w in r if w.text not in ("i", "d")] for r in (rx, ry))  # initials of particles
+    full = [s for p, q, s in got if not p.one and not q.one]
     if rx and ry:
-        if _glued(rx, ry) and (full or got):
+        if (full or got) and _glued(rx, ry):
             rx, ry, full = [], [], [*full, 0.8]
         elif _glued(x, y):
             rx, ry, full = [], [], [0.8]
@@ -311,16 +416,15 @@ def _person_score(x: list[str], y: list[str]) -> float:
     if not full:
         return 0.8 if _glued(x, y) else 0.0
     initials = len(got) - len(full)
-    long = max((p for p, q, s in got if len(q) > 1), key=len, default="")
+    long = max((len(p.text) for p, q, s in got if not q.one), default=0)
     if len(full) == 1 and not initials and len(x) + len(y) > 2:
-        return 0.5 if len(long) >= 5 else 0.3
+        return 0.5 if long >= 5 else 0.3
     low = min(full)
     if low < 0.65 and (len(full) < 2 or max(full) < 0.9):
         return 0.0
     return low - 0.04 * initials - 0.05 * (len(rx) + len(ry)) if low >= 0.6 else 0.0
 
 
-@lru_cache(100_000)
 def score(a: str, b: str) -> float:
     """Likeness of two packed names, from 0 to 1; people by given and family names, organisations by what sets them apart."""
     if not a or not b:
@@ -343,31 +447,29 @@ def with_packed(df: DataFrame, text: str) -> DataFrame:
     at = df.columns.index(text)
 
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        quiet()
         for b in batches:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([packed(t) for t in b.column(at).to_pylist()], pa.string())], [*b.schema.names, "packed"])
 
     return df.mapInArrow(scan, ", ".join(f"`{n}` {t}" for n, t in df.dtypes) + ", packed string")
 
 
-def word_counts(packed_names: DataFrame) -> tuple[dict[str, int], int]:
-    """Spellings of words that occur in many distinct names, with their counts, and the number of distinct names; ``packed_names`` has the column packed.
+def word_counts(packed_names: DataFrame, rows: int) -> dict[str, int]:
+    """Spellings of words that occur in many of the ``rows`` names in the column packed, with their counts.
 
     Only words in at least one of 5,000 names come to the driver: as a name has a few words, that is some twenty thousand at most, whatever the size.
     """
 
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        quiet()
         total: Counter[str] = Counter()
-        rows = 0
         for b in batches:
             for p in b.column(0).to_pylist():
-                rows += 1
-                total.update({spelling(w) for w in p.split("|")[0].split(" ") if len(w) > 1})
+                total.update({spelling(w) for w in p.partition("|")[0].split(" ") if len(w) > 1})
             if len(total) > 200_000:
-                yield pa.RecordBatch.from_arrays([pa.array(["", *total], pa.string()), pa.array([rows, *total.values()], pa.int64())], ["k", "n"])
-                total, rows = Counter(), 0
-        yield pa.RecordBatch.from_arrays([pa.array(["", *total], pa.string()), pa.array([rows, *total.values()], pa.int64())], ["k", "n"])
-
-    counts = packed_names.select("packed").distinct().mapInArrow(scan, "k string, n long").groupBy("k").agg(F.sum("n").alias("n"))
-    total = counts.filter("k = ''").agg(F.sum("n")).collect()[0][0] or 0
-    rows = counts.filter((F.col("k") != "") & (F.col("n") >= max(3, total / 5000))).collect()
-    return {r.k: r.n for r in rows}, total
+                yield pa.RecordBatch.from_arrays([pa.array(total.keys(), pa.string()), pa.array(total.values(), pa.int64())], ["k", "n"])
+                total = Counter()
+        yield pa.RecordBatch.from_arrays([pa.array(total.keys(), pa.string()), pa.array(total.values(), pa.int64())], ["k", "n"])
+
+    counts = packed_names.select("packed").mapInArrow(scan, "k string, n long").groupBy("k").agg(F.sum("n").alias("n"))
+    return {r.k: r.n for r in counts.filter(F.col("n") >= max(3, rows / 5000)).collect()}

@@ -132,7 +132,7 @@ def test_radius_join_equals_brute_force(spark, halves, monkeypatch):
     rng = random.Random(halves)
     texts = sorted({"".join(rng.choice("rnlmtskdbgfpzjxa") for _ in range(rng.randrange(9))) for _ in range(500)})
     more = sorted({t[: len(t) // 2] + rng.choice(string.ascii_lowercase) + t[len(t) // 2 :] for t in texts[::3]} | set(texts[::5]))
-    chosen = [frozenset(h) for h in metric.HALVES[:halves]]
+    chosen = [metric.half(k) for k in range(halves)]
     monkeypatch.setattr(metric, "pivots", lambda rows: chosen)
     q, m = (spark.createDataFrame([(t,) for t in x] + [(None,), (x[0],)], "text string") for x in (more, texts))
     got = [(r.query, r.member) for r in metric.within_radius(q, m).collect()]
@@ -206,7 +206,7 @@ def test_matches_and_namesakes(spark):
 
 def test_common_words_misspelt_still_meet(spark):
     # given and family name are common, so rows of just these two have no telling word; one typo makes one
-    common = frozenset(names.spelling(w) for w in ("marina", "petrenko", "olga", "sidorova"))
+    common = variants.Common(names.spelling(w) for w in ("marina", "petrenko", "olga", "sidorova"))
     keys = lambda t: {k for k, _, _ in variants.key_words(names.packed(t), common)}
     for a, b in (("Marina Petrenko", "Marina Petrenkop"), ("Marina Petrenko", "Marina Betrenko"), ("Olga Sidorova", "Olga Tidorova"), ("Olga Sidorova", "Olpa Sidorova")):
         assert metric.brute(keys(a), keys(b)), (a, b)
