@@ -19,7 +19,7 @@ WEIGHTS = {
 AGREEMENT = {"name": (0.95, 0.10), "dob": (0.99, 0.05), "nationality": (0.90, 0.15)}
 # Code digits of the letters, 0 for letters without one.
 SOUNDEX = ("BFPVCGJKQSXZDTLMNRAEIOUYHW", "11112222222233455600000000")
-REFINED = ("BPFVCKSGJQXZDTLMNRAEIOUYHW", "112233345666778" + "99A00000000")
+REFINED = ("BPFVCKSGJQXZDTLMNRAEIOUYHW", "11223334566677899A00000000")
 
 
 def exact(na: Column, nb: Column) -> Column:
@@ -43,17 +43,21 @@ def _letters(a: Column) -> Column:
     return F.upper(F.regexp_replace(a, "[^A-Za-z]", ""))
 
 
+def _from_second(c: Column) -> Column:
+    return F.substring(c, F.lit(2), F.length(c))
+
+
 def soundex(a: Column) -> Column:
     """The name's letters as one word: first letter and three digits; vowels, H, W and Y separate equal digits; no letters give 0000."""
     u = _letters(a)
     runs = F.regexp_replace(F.translate(u, *SOUNDEX), r"(.)\1+", "$1")
-    return F.when(u == "", "0000").otherwise(F.substring(F.rpad(F.concat(F.substring(u, 1, 1), F.regexp_replace(F.substring(runs, 2, 400), "0", "")), 4, "0"), 1, 4))
+    return F.when(u == "", "0000").otherwise(F.substring(F.rpad(F.concat(F.substring(u, 1, 1), F.regexp_replace(_from_second(runs), "0", "")), 4, "0"), 1, 4))
 
 
 def refined_soundex(a: Column) -> Column:
     """First letter, then the digits of the others without repetitions and zeros; variable length."""
     u = _letters(a)
-    runs = F.regexp_replace(F.translate(F.substring(u, 2, 400), *REFINED), r"(.)\1+", "$1")
+    runs = F.regexp_replace(F.translate(_from_second(u), *REFINED), r"(.)\1+", "$1")
     return F.when(u == "", "").otherwise(F.concat(F.substring(u, 1, 1), F.regexp_replace(runs, "0", "")))
 
 
