@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -107,27 +108,20 @@ def _picked(rows: DataFrame, score: str, key: str, count: int, positions: Callab
     return ranked.join(chosen, ["__step", "__n"]).drop("__step", "__n")
 
 
+def _ranks(n: int, *pieces: np.ndarray) -> list[int]:
+    """The ranks below n that the pieces name, rounded, each once."""
+    named = np.unique(np.rint(np.concatenate(pieces)).astype(int))
+    return named[(named >= 0) & (named < n)].tolist()
+
+
 def queue_positions(n: int, count: int = 10) -> list[int]:
-    """All if there are no more than ``count``; else the three lowest, four evenly spaced between, the three highest."""
-    if n <= count:
-        return list(range(n))
-    lo, hi = 3, n - 3
-    step = (hi - lo - 1) / 3
-    mids = [lo + round(step * i) for i in range(4)] if hi - lo >= 4 else list(range(lo, hi))
-    return ([0, 1, 2] + mids + [n - 3, n - 2, n - 1])[:count]
+    """The ranks that make a queue of ``count``: three at either end, the others in equal steps from one end's edge to the other's."""
+    return _ranks(n, np.arange(3), np.linspace(3, max(3, n - 4), count - 6), np.arange(n - 3, n))
 
 
 def even_positions(n: int, count: int) -> list[int]:
-    """``count`` positions spread evenly over n, filled up from the end where rounding made two of them meet."""
-    if count >= n:
-        return list(range(n))
-    step = (n - 1) / (count - 1) if count > 1 else 0
-    out = {round(i * step) for i in range(count)}
-    i = n - 1
-    while len(out) < count and i >= 0:
-        out.add(i)
-        i -= 1
-    return sorted(out)[:count]
+    """``count`` ranks in equal steps from the first of n to the last."""
+    return _ranks(n, np.linspace(0, n - 1, min(n, count)))
 
 
 def pending_queue(alerts: DataFrame, count: int = 10) -> DataFrame:
