@@ -23,7 +23,7 @@ def raw_tables(spark: SparkSession, d: str) -> nested.NestedTables:
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    rows = raw_tables(spark, d).elements()
+    rows = raw_tables(spark, d).positions()
     return rows.filter(rows.path.isin(RAW_PATHS)).select(rows.row_key.alias("id"), "path", "ord_path")
 
 
