@@ -14,18 +14,18 @@ from pyspark.sql import functions as F
 
 # Month words of the languages in use, lower case without a final dot.
 MONTHS = {
-    1: "jan january januar jänner janvier enero ene janeiro gennaio",
-    2: "feb february februar février fevrier febrero fevereiro febbraio févr",
-    3: "mar march märz maerz mars marzo março marco mär",
-    4: "apr april avril abril abr aprile avr",
-    5: "may mai mayo maio maggio",
-    6: "jun june juni juin junio junho giugno",
-    7: "jul july juli juillet julio julho luglio juil",
-    8: "aug august août aout agosto ago",
-    9: "sep sept september septembre septiembre setiembre setembro settembre",
-    10: "oct october oktober octobre octubre outubro ottobre okt",
-    11: "nov november novembre noviembre novembro",
-    12: "dec december dezember décembre decembre diciembre dezembro dicembre dez dic déc",
+    1: "jan january januar jänner janvier enero ene janeiro gennaio janv ocak oca январь января styczeń stycznia",
+    2: "feb february februar février fevrier febrero fevereiro febbraio févr fev fév şubat şub февраль февраля luty lutego",
+    3: "mar march märz maerz mars marzo março marco mär mrz mart март марта marzec marca",
+    4: "apr april avril abril abr aprile avr nisan nis апрель апреля kwiecień kwietnia",
+    5: "may mai mayo maio maggio mayıs май мая maj maja",
+    6: "jun june juni juin junio junho giugno haziran haz июнь июня czerwiec czerwca",
+    7: "jul july juli juillet julio julho luglio juil temmuz tem июль июля lipiec lipca",
+    8: "aug august août aout agosto ago ağustos ağu август августа sierpień sierpnia",
+    9: "sep sept september septembre septiembre setiembre setembro settembre eylül eyl сентябрь сентября wrzesień września",
+    10: "oct october oktober octobre octubre outubro ottobre okt ekim eki октябрь октября październik października",
+    11: "nov november novembre noviembre novembro kasım kas ноябрь ноября listopad listopada",
+    12: "dec december dezember décembre decembre diciembre dezembro dicembre dez dic déc aralık ara декабрь декабря grudzień grudnia",
 }
 
 # Minutes east of UTC of zone abbreviations, by zone where an abbreviation has several meanings.
@@ -83,12 +83,13 @@ def normalise(df: DataFrame, value: str, instant: str, order: str, zone: str, ou
 
     ``instant``: boolean column; true: a time of day is kept and the result is UTC ``yyyy-MM-ddTHH:mm:ssZ``, false: the day as
     written. ``order``: DMY or MDY for numeric dates (null: DMY); ``zone``: zone of values without one (null: UTC).
-    Defined cases: null, empty, placeholder, impossible or very long values give null; an unknown month or day is 01; of several years the
+    Defined cases: null, empty, placeholder and impossible values and words that are no month give null, whatever their length; a month or day that isn't given is 01; of several years the
     first; of an hour that occurs twice the first; a missing local time moves ahead by the gap. Other columns stay as they are;
     working columns are named ``__ts_*`` and removed again.
     """
     roles = list(_PARTS)
-    text = F.when(F.length(value) <= 80, F.col(value))
+    # runs of blanks in long values are cut short, so that the pattern never tries many ways to divide them
+    text = F.when(F.length(value) <= 80, F.col(value)).otherwise(F.regexp_replace(value, r"\s+", " "))
     p = F.col("__ts_parts")
     df = df.withColumn("__ts_parts", F.split(F.regexp_replace(text, PATTERN, _REPLACEMENT), _SEP))
     df = df.withColumn("__ts_parts", F.when((F.size("__ts_parts") == len(roles) + 1) & (F.element_at(p, 1) == ""), p))
@@ -106,7 +107,7 @@ def normalise(df: DataFrame, value: str, instant: str, order: str, zone: str, ou
     by_zone = _map({f"{a} {b}": v for (a, b), v in BY_ZONE.items()})
     named = F.coalesce(F.try_element_at(by_zone, F.concat_ws(" ", F.col(zone), zoned)), F.try_element_at(_map(ABBREVIATIONS), zoned))
     offset = F.when(zoned.rlike(r"^[+-]"), F.when(zoned.startswith("-"), -minutes).otherwise(minutes)).otherwise(named)
-    df = df.withColumns({"__ts_mm": F.greatest(month, F.lit(1)), "__ts_dd": F.greatest(day, F.lit(1)), "__ts_hh": hour, "__ts_ss": F.coalesce(c["s"], F.lit(0)), "__ts_off": offset})
+    df = df.withColumns({"__ts_mm": F.when(month.isNotNull(), F.greatest(month, F.lit(1))), "__ts_dd": F.greatest(day, F.lit(1)), "__ts_hh": hour, "__ts_ss": F.coalesce(c["s"], F.lit(0)), "__ts_off": offset})
     y, m, d, h, off = (F.col(f"__ts_{k}") for k in ("y", "mm", "dd", "hh", "off"))
     leap = ((y % 4 == 0) & (y % 100 != 0)) | (y % 400 == 0)
     last = F.when(m == 2, F.when(leap, 29).otherwise(28)).when(m.isin(4, 6, 9, 11), 30).otherwise(31)

@@ -21,7 +21,8 @@ def test_days(spark):
         "29/02/1999": None, "29/02/2000": "2000-02-29", "18 de marzo de 1965": "1965-03-18", "11. Juni 1996": "1996-06-11", "9 août 1990": "1990-08-09",
         "between 1963 and 1965": "1963-01-01", "1946-1948": "1946-01-01", "1964 to 1966": "1964-01-01", "1954-05": "1954-05-01", "June 1975": "1975-06-01",
         " 1949-02-05 ": "1949-02-05", "1977-12-22T00:00:00+03:00": "1977-12-22", "26-FEB-1976": "1976-02-26", "Feb 22, 1938": "1938-02-22", "00/00/1968": "1968-01-01",
-        "19760717": "1976-07-17", "x" * 500_000: None, "31 Jun 1982": None,
+        "19760717": "1976-07-17", "x" * 500_000: None, "31 Jun 1982": None, "1 Jan 1980" + " " * 80: "1980-01-01", " " * 50_000 + "1 Jan" + " " * 50_000 + "1980": "1980-01-01",
+        "15 августа 1970": "1970-08-15", "15 Ağustos 1970": "1970-08-15", "20 foobar 1999": None, "foobar 1999": None, "foobar 20, 1999": None,
     }
     assert norm(spark, [("eu", v, "dob") for v in cases]) == list(cases.values())
     assert norm(spark, [("us", "05/10/1950", "dob"), ("eu", "05/10/1950", "dob"), (None, "05/10/1950", "dob"), ("eu", None, "dob")]) == ["1950-05-10", "1950-10-05", "1950-10-05", None]
@@ -99,6 +100,35 @@ def test_single_value_of_a_repeating_path_and_links(spark):
     assert sorted(str(r.field_value) for r in t.table("o").collect()) == ["1", "None", "None"]
 
 
+def test_tables_hold_everything(spark):
+    records = [
+        {"id": 7, "name": {"first": "A", "last": "B"}, "addresses": [{"city": "X", "geo": {"lat": 1, "lon": 2.5}, "lines": ["p", "q"]}, {"city": "Y", "geo": {"lat": 2.5}}], "big": 2**70},
+        {"id": 8, "name": {"first": "C"}, "active": True, "addresses": []},
+    ]
+    texts = [json.dumps(r) for r in records]
+    wrapped = texts[0]
+    for _ in range(7):
+        wrapped = json.dumps(wrapped)
+    df = spark.createDataFrame(list(enumerate([*texts, wrapped])), "id long, raw string")
+    t = nested.NestedTables(df, "id", "raw")
+    root, places, lines = (t.table(p) for p in ("", "addresses", "addresses.lines"))
+    assert dict(root.dtypes) == {"row_key": "bigint", "node_key": "bigint", "id": "bigint", "name.first": "string", "name.last": "string", "active": "boolean", "big": "string"}
+    assert dict(places.dtypes)["geo.lat"] == dict(places.dtypes)["geo.lon"] == "double"
+    # the records can be built again from the tables
+    built = {}
+    for r in root.collect():
+        name = {k: r[f"name.{k}"] for k in ("first", "last") if r[f"name.{k}"] is not None}
+        built[r.node_key] = {"id": r.id, "name": name, "addresses": []} | ({"active": r.active} if r.active is not None else {}) | ({"big": int(r.big)} if r.big else {})
+    inner = {}
+    for r in sorted(places.collect(), key=lambda r: (r.row_key, r.ordinal)):
+        inner[r.node_key] = {"city": r.city, "geo": {k: r[f"geo.{k}"] for k in ("lat", "lon") if r[f"geo.{k}"] is not None}}
+        built[r.parent_key]["addresses"].append(inner[r.node_key])
+    for r in sorted(lines.collect(), key=lambda r: (r.row_key, r.ord_path)):
+        inner[r.parent_key].setdefault("lines", []).append(r.value)
+    keys = [r.node_key for r in root.orderBy("row_key").collect()]
+    assert [built[k] for k in keys] == [*records, records[0]]
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "id long, raw string")
     assert nested.NestedTables(df, "id", "raw", ["a.b"]).elements().count() == 0
