@@ -231,6 +231,15 @@ def _moves(text: str, most: float) -> Iterator[tuple[str, float, str]]:
             yield new, UNESCAPE, "unescape"
 
 
+_LATIN = [chr(c) for c in range(0xC0, 0x250) if chr(c).isalpha() and script(chr(c)) == "LATIN"]
+_ACCENTED = re.compile("[\\x00-\\x7f]*(?:(?:[{}]|(?<![a-z])[{}])(?:[\\x00-\\x7f]+|$))*".format("".join(c for c in _LATIN if c.islower()), "".join(c for c in _LATIN if c.isupper())))
+
+
+def accented(text: str) -> bool:
+    """Whether nothing but single Latin letters with marks stands among ASCII, where such letters stand; a short text of this kind never costs a move."""
+    return len(text) < 2 * MOVE / 0.02 - 4 and "&" not in text and "\\" not in text and _ACCENTED.fullmatch(text) is not None
+
+
 @lru_cache(60_000)
 def searched(text: str) -> tuple[str, bool, bool]:
     """(the cheapest text reachable, whether the text was garbled, whether the search ended). Lost originals keep U+FFFD where nothing better is reachable.

@@ -49,7 +49,8 @@ NICKNAMES = {
 
 _WORDS = re.compile(r"[a-z0-9]+")
 _INITIALS = re.compile(r"(?<![^\W\d_])([^\W\d_])\.(?=[^\W\d_](?![^\W\d_]))")
-_SIMPLE = re.compile(r"[A-Za-z0-9 ,]*")
+_SIMPLE = re.compile(r"(?:[A-Za-z0-9 ,-]|\.(?=[ ,]|$))*")
+_DIVIDERS = str.maketrans(",-.", "   ")
 _OTHER_NAME, _MESSRS = re.compile(r"\s*[(@]\s*"), re.compile(r"\bM/s\b", re.IGNORECASE)
 _APOSTROPHES = re.compile(r"['’`ʼʻ]")
 
@@ -174,7 +175,7 @@ def edits(a: str, b: str, most: int) -> int:
 
 def clean(text: str) -> str:
     """The text restored from a wrong encoding, with look-alikes and compatibility forms written plainly."""
-    if text.isascii():
+    if text.isascii() or garbled.accented(text):
         return text
     t = unicodedata.normalize("NFKC", garbled.repair(text)[0].translate(_VISIBLE))
     return _WORD.sub(_one_script, t) if _BEYOND_LATIN.search(t) else t
@@ -197,7 +198,7 @@ def _one_script(m: re.Match) -> str:
 def parts(text: str) -> tuple[tuple[str, ...], ...]:
     """The words of each of the names that ``text`` gives, the first one first: in brackets or after @ stand others. Titles and particles are left out."""
     if _SIMPLE.fullmatch(text):
-        words = text.lower().replace(",", " ").split()
+        words = text.lower().translate(_DIVIDERS).split()
         kept = [w for w in words if w not in LEFT_OUT] or [w for w in words if w not in TITLES] or words
         return (tuple(kept),) if kept else ()
     t = clean(text)
@@ -244,7 +245,7 @@ _CONSONANTS = ~_letters("a")
 class Word:
     """One word, ready to be compared: spelling, skeleton, the characters of each, its beginning, and the given name that it is a form of."""
 
-    __slots__ = ("begins", "bits", "classes", "consonants", "formal", "many", "one", "sound", "spelled", "text")
+    __slots__ = ("begins", "bits", "classes", "consonants", "formal", "many", "one", "sound", "spelled", "text", "trade")
 
     def __init__(self, text: str):
         self.text, self.spelled, self.sound = text, spelling(text), skeleton(text)
@@ -252,11 +253,26 @@ class Word:
         vowel = self.sound[:1] == "a"
         self.consonants, self.many = self.classes & _CONSONANTS if vowel else self.classes, len(self.sound) - vowel
         self.begins, self.one, self.formal = text[:2], len(text) == 1, NICKNAMES.get(text, text)
+        self.trade = text in LEGAL or text in BUSINESS
 
 
 word = lru_cache(200_000)(Word)
 
 
+class Words(list):
+    """Words in order, with what all of them hold together: consonant classes, characters, and the number of consonants."""
+
+    __slots__ = ("bits", "consonants", "many")
+
+    def __init__(self, words: Iterable[Word]):
+        super().__init__(words)
+        self.bits = self.consonants = self.many = 0
+        for w in self:
+            self.bits |= w.bits
+            self.consonants |= w.consonants
+            self.many += w.many
+
+
 class Name:
     """One packed name, ready to be compared."""
 
@@ -264,9 +280,9 @@ class Name:
 
     def __init__(self, text: str):
         first, *rest = text.split("|")
-        self.words = [word(w) for w in first.split(" ") if w]
-        self.alternatives = [[word(w) for w in r.split(" ") if w] for r in rest]
-        self.business = any(w.text in LEGAL or w.text in BUSINESS for w in self.words[1:]) or len(self.words) > 1 and self.words[0].text in BUSINESS
+        self.words = Words([word(w) for w in first.split(" ") if w])
+        self.alternatives = [Words([word(w) for w in r.split(" ") if w]) for r in rest]
+        self.business = any([w.trade for w in self.words[1:]]) or len(self.words) > 1 and self.words[0].text in BUSINESS
         self.legal = {LEGAL[w.text] for w in self.words if w.text in LEGAL} if self.business else set()
 
 
@@ -343,16 +359,8 @@ def _glued(rest_a: list[Word], rest_b: list[Word]) -> bool:
         return False
     if len(rest_a) == len(rest_b) == 1:
         return likeness(rest_a[0], rest_b[0]) >= 0.8
-    x = y = p = q = n = m = 0
-    for w in rest_a:
-        x |= w.consonants
-        p |= w.bits
-        n += w.many
-    for w in rest_b:
-        y |= w.consonants
-        q |= w.bits
-        m += w.many
-    if not -SEAM < n - m < SEAM or (x ^ y).bit_count() > SEAM or (p ^ q).bit_count() > SEAM + 2:
+    x, y = (r if isinstance(r, Words) else Words(r) for r in (rest_a, rest_b))
+    if not -SEAM < x.many - y.many < SEAM or (x.consonants ^ y.consonants).bit_count() > SEAM or (x.bits ^ y.bits).bit_count() > SEAM + 2:
         return False
     a, b = "".join([w.text for w in rest_a]), "".join([w.text for w in rest_b])
     s = skeleton.__wrapped__(a)
@@ -399,7 +407,7 @@ def _business_score(a: Name, b: Name) -> float:
     return score
 
 
-def _person_score(x: list[Word], y: list[Word]) -> float:
+def _person_score(x: Words, y: Words) -> float:
     """At least one full word must agree; of the rest, each side's words are in the other's, up to initials and left-out middle names."""
     if len(x) != len(y) and _glued(x, y):
         return 0.85
@@ -407,7 +415,8 @@ def _person_score(x: list[Word], y: list[Word]) -> float:
     rx, ry = ([w for w in r if w.text not in ("i", "d")] for r in (rx, ry))  # initials of particles
     full = [s for p, q, s in got if not p.one and not q.one]
     if rx and ry:
-        if (full or got) and _glued(rx, ry):
+        # one word left on either side: they would be a pair if they were alike
+        if (full or got) and len(rx) + len(ry) > 2 and _glued(rx, ry):
             rx, ry, full = [], [], [*full, 0.8]
         elif _glued(x, y):
             rx, ry, full = [], [], [0.8]
@@ -436,9 +445,9 @@ def score(a: str, b: str) -> float:
     if p.business != q.business:
         best = max(best, _business_score(p, q))
     for alt in p.alternatives:
-        best = max(best, _person_score(alt, q.words) if len(alt) > 1 else _person_score([*alt, *p.words[-1:]], q.words))
+        best = max(best, _person_score(alt, q.words) if len(alt) > 1 else _person_score(Words([*alt, *p.words[-1:]]), q.words))
     for alt in q.alternatives:
-        best = max(best, _person_score(p.words, alt) if len(alt) > 1 else _person_score(p.words, [*alt, *q.words[-1:]]))
+        best = max(best, _person_score(p.words, alt) if len(alt) > 1 else _person_score(p.words, Words([*alt, *q.words[-1:]])))
     return max(0.0, min(1.0, best))
 
 
