@@ -11,7 +11,7 @@ from tamisol.functions import arrow_metrics as A
 from tamisol.functions import metrics as M
 from tamisol.functions import text as T
 from tamisol.operators import audit, matching, review, sampling, state
-from tamisol.session import shared_dir, ship, table
+from tamisol.session import is_folder, shared_dir, ship, table
 from tamisol.streaming import live
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -486,10 +486,8 @@ def events_per_minute_stream(spark: SparkSession, d: str) -> DataFrame:
 
 def _folder(spark: SparkSession, d: str, name: str) -> str:
     """A folder that holds the table's files, as streams need one: the table itself, or a copy of a single file."""
-    import os
-
     path = f"{d}/{name}.parquet"
-    if os.path.isdir(path):
+    if is_folder(spark, path):
         return path
     copy = f"{shared_dir(spark)}/stream-{spark.sparkContext.applicationId}-{name}-{abs(hash(d))}"
     spark.read.parquet(path).write.mode("overwrite").parquet(copy)

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,19 +17,55 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_FOLDERS: dict[str, str] = {}
+
+
+def _file_system(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where that is unset (local tests)."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("tamisol.shared.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="tamisol-")
-        spark.conf.set("tamisol.shared.dir", found)
-    return found.rstrip("/")
+    """The application's folder below the one that all executors share, spark.checkpoint.dir. It's deleted when the application ends, or by ``release``.
+
+    Only a local master may do without that setting; it gets a temporary folder. Elsewhere every executor would write to a disk of its own.
+    """
+    context = spark.sparkContext
+    found = _FOLDERS.get(context.applicationId)
+    if found is None:
+        root = context.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("tamisol.shared.dir", None)
+        if not root:
+            if not context.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+            root = "file://" + tempfile.gettempdir()
+        found = _FOLDERS[context.applicationId] = f"{root.rstrip('/')}/tamisol-{context.applicationId}-{uuid.uuid4().hex[:8]}"
+        fs, place = _file_system(spark, found)
+        fs.mkdirs(place)
+        fs.deleteOnExit(place)
+    return found
+
+
+def release(spark: SparkSession) -> None:
+    """Delete all that ``materialise`` has written for this application; results that weren't read yet can't be read any more."""
+    found = _FOLDERS.pop(spark.sparkContext.applicationId, None)
+    if found:
+        fs, place = _file_system(spark, found)
+        fs.delete(place, True)
+
+
+def is_folder(spark: SparkSession, path: str) -> bool:
+    """Whether ``path`` is a folder of files, on whatever file system it lies."""
+    fs, place = _file_system(spark, path)
+    return fs.exists(place) and fs.getFileStatus(place).isDirectory()
 
 
 def materialise(df: DataFrame, what: str = "step") -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: cuts the lineage in a way that survives the loss of executors."""
+    """Write ``df`` as Parquet in the shared folder and read it back: cuts the lineage in a way that survives the loss of executors.
+
+    It runs at once, so a query that uses it starts its work while it is being built.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tamisol-{what}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -51,27 +87,5 @@ def ship(spark: SparkSession) -> None:
                     full = os.path.join(folder, f)
                     z.write(full, os.path.join("tamisol", os.path.relpath(full, root)))
     context.addPyFile(path)
+    atexit.register(shutil.rmtree, os.path.dirname(path), ignore_errors=True)  # executors that come later fetch it from here
     _SHIPPED.add(context.applicationId)
-
-
-def spread(df: DataFrame, rows_per_task: int = 2_000) -> DataFrame:
-    """Give CPU-heavy Python stages enough tasks: a round-robin shuffle where the scan yields fewer splits than the cluster has cores."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    splits = df.rdd.getNumPartitions()
-    return df if splits >= cores else df.repartition(max(cores, splits))
-
-
-def safe_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
-    """Broadcast hint only after counting that ``df`` holds at most ``max_rows`` rows; otherwise the plain frame (a shuffled join)."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
-
-
-def chain(df: DataFrame, *steps: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    for s in steps:
-        df = s(df)
-    return df
-
-
-def blank(c: Column | str) -> Column:
-    """Null as the empty string."""
-    return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
