@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Callable
 from difflib import SequenceMatcher
+from functools import lru_cache
+from math import sqrt
 
 import pandas as pd
 from pyspark.sql import Column, SparkSession
@@ -192,6 +195,27 @@ def sequence_ratio(a: str, b: str) -> float:
     return SequenceMatcher(None, a, b).ratio()
 
 
+@lru_cache(50_000)
+def _bag(text: str, n: int) -> tuple[Counter, float]:
+    """The n-grams of a text with a blank on either side, and the length of their vector."""
+    t = f" {text} "
+    grams = Counter(t[i : i + n] for i in range(max(1, len(t) - n + 1)))
+    return grams, sqrt(sum(v * v for v in grams.values()))
+
+
+def _cosine(a: str, b: str, n: int) -> float:
+    (x, p), (y, q) = _bag(a, n), _bag(b, n)
+    return sum(v * y[g] for g, v in x.items() if g in y) / (p * q)
+
+
+def bigram_cos(a: str, b: str) -> float:
+    return _cosine(a, b, 2)
+
+
+def trigram_cos(a: str, b: str) -> float:
+    return _cosine(a, b, 3)
+
+
 def of_pairs(f: Callable[[str, str], float]) -> Callable[[Column, Column], Column]:
     """An Arrow function of two text columns; null counts as ''."""
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tamisol.functions import arrow_metrics as A
 from tamisol.functions.text import initials, tokens
 
 # Weights of the 21 similarities.
@@ -100,17 +101,8 @@ def token_set_ratio(na: Column, nb: Column) -> Column:
 
 
 def ngram_cosine(na: Column, nb: Column, n: int) -> Column:
-    """Cosine of the bags of character n-grams of the names with a blank on either side; a text shorter than n is one gram."""
-    def grams(c: Column) -> Column:
-        padded = F.concat(F.lit(" "), c, F.lit(" "))
-        last = F.length(padded) - (n - 1)
-        return F.when(last < 1, F.array(padded)).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.substring(padded, i, F.lit(n))))
-
-    x, y = grams(na), grams(nb)
-    count = lambda g, t: F.size(F.filter(t, lambda v: v == g))
-    dot = F.aggregate(F.array_intersect(x, y), F.lit(0.0), lambda acc, g: acc + count(g, x) * count(g, y))
-    norm = lambda t: F.aggregate(F.array_distinct(t), F.lit(0.0), lambda acc, g: acc + count(g, t) * count(g, t))
-    return dot / F.sqrt(norm(x) * norm(y))
+    """Cosine of the bags of character n-grams of the names with a blank on either side; a text shorter than n is one gram. An Arrow stage, as built-ins can only count grams by comparing each with all."""
+    return A.of_pairs(A.bigram_cos if n == 2 else A.trigram_cos)(na, nb)
 
 
 def combined(similarities: dict[str, Column]) -> Column:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -30,37 +33,94 @@ def containing(needles: DataFrame, texts: DataFrame) -> DataFrame:
     that holds it must have, and the pairs of that equi-join are verified. Null and '' have no pairs here.
     """
     n, t = needles.select("needle").filter("needle <> ''").distinct(), texts.select("text").filter("text <> ''").distinct()
+    own = n.select("needle", F.explode(F.when(F.length("needle") < GRAM, F.array("needle")).otherwise(_grams(F.col("needle"), GRAM))).alias("part"))
     sizes = F.array(*(F.lit(k) for k in range(1, GRAM + 1)))
     parts = t.select("text", F.explode(sizes).alias("k")).select("text", F.explode(F.when(F.col("k") == 1, _grams(F.col("text"), 1)).when(F.col("k") == 2, _grams(F.col("text"), 2)).otherwise(_grams(F.col("text"), GRAM))).alias("part"))
+    # only parts that some needle has can bring a pair; they are written once, for counting and for joining
+    parts = materialise(parts.join(own.select("part").distinct(), "part", "left_semi"), "parts")
     counts = parts.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
-    own = n.select("needle", F.explode(F.when(F.length("needle") < GRAM, F.array("needle")).otherwise(_grams(F.col("needle"), GRAM))).alias("part"))
     rarest = own.join(counts, "part", "left").groupBy("needle").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "part")).alias("m")).filter("m.n > 0").select("needle", F.col("m.part").alias("part"))
     return rarest.join(parts, "part").filter(F.col("text").contains(F.col("needle"))).select("needle", "text")
 
 
+def _pieces(strings: DataFrame) -> DataFrame:
+    """(side, s, parts, bits) from the columns side and s: the parts of two characters of each string, numbered where they repeat, so that they are a set;
+    and which characters it has once, and which twice, as bits of a number."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            parts, bits = [], []
+            for s in b.column(1).to_pylist():
+                has = 0
+                for c, n in Counter(s).items():
+                    has |= (3 if n > 1 else 1) << 2 * (ord(c) % 31)
+                bits.append(has)
+                seen: Counter[str] = Counter()
+                own = []
+                for i in range(len(s) - 1):
+                    g = s[i : i + 2]
+                    seen[g] += 1
+                    own.append(f"{g}{seen[g]}")
+                parts.append(own)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(parts, pa.list_(pa.string())), pa.array(bits, pa.int64())], ["side", "s", "parts", "bits"])
+
+    return strings.select("side", "s").mapInArrow(scan, "side int, s string, parts array<string>, bits long")
+
+
+def _alike(pairs: DataFrame, least: float) -> DataFrame:
+    """(a, b, ratio) of the pairs with a difflib ratio of at least ``least``; their common characters are counted first."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bag = lru_cache(100_000)(Counter)
+        for batch in batches:
+            keep, ratios = [], []
+            for i, (a, b) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                x, y, need = bag(a), bag(b), least * (len(a) + len(b)) / 2 - 1e-9
+                if sum(min(n, y[c]) for c, n in x.items() if c in y) >= need and (r := A.sequence_ratio(a, b)) >= least:
+                    keep.append(i)
+                    ratios.append(r)
+            at = pa.array(keep, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(ratios, pa.float64())], ["a", "b", "ratio"])
+
+    return pairs.select("a", "b").mapInArrow(scan, "a string, b string, ratio double")
+
+
 def similar_sequences(left: DataFrame, right: DataFrame, least: float = 0.8) -> DataFrame:
     """(a, b, ratio): pairs of distinct strings (columns a and b) with a difflib ratio of at least ``least``.
 
-    Strings that alike share a part of two characters unless they are very short, have lengths in a fixed proportion and most characters in
-    common; these bounds, none of which loses a pair, come before the Arrow function.
+    Strings that alike have lengths in a fixed proportion, and share at least their matching characters less the number of matching blocks of their
+    parts of two characters. So each string is looked up by its rarest parts only, as many as it takes to hold one that is shared; shared parts
+    and characters are counted before the Arrow function sees a pair. None of these bounds loses a pair. Null has no partner, '' only ''.
     """
     x, y = left.select("a").filter("a is not null").distinct(), right.select("b").filter("b is not null").distinct()
-    # parts of two characters, numbered where they repeat: alike strings share at least their matching characters less the matching blocks
-    two = lambda c: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 1, F.lit(1))), lambda i: F.substring(F.col(c), i, F.lit(2)))
-    numbered = lambda c: F.transform(two(c), lambda g, i: F.concat(g, F.size(F.filter(F.slice(two(c), F.lit(1), i + 1), lambda v: v == g)).cast("string")))
     bound = lambda p, q: 2 * F.least(F.length(p), F.length(q)) >= least * (F.length(p) + F.length(q))
-    long = x.select("a", F.explode(numbered("a")).alias("part")).join(y.select("b", F.explode(numbered("b")).alias("part")), "part").filter(bound("a", "b")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
-    long = long.filter(F.col("n") >= (least - 0.6) * (F.length("a") + F.length("b")) - 1).select("a", "b") if least > 0.6 else long.select("a", "b")
-    # strings too short for that bound, by their length
-    short = lambda d, c: d.filter(F.length(c) < 12).withColumn("len", F.length(c))
-    some = short(x, "a").join(short(y, "b").withColumn("len", F.explode(F.sequence(F.greatest(F.lit(0), F.col("len") - 5), F.col("len") + 5))), "len").filter(bound("a", "b") & (F.length("a") + F.length("b") < 12)).select("a", "b")
-    pairs = long.unionByName(some).distinct()
-    spare = F.length(F.col("a")) + F.length(F.col("b"))
-    chars = lambda c: F.filter(F.split(c, ""), lambda v: v != "")
-    shared = F.aggregate(F.array_intersect(chars("a"), chars("b")), F.lit(0), lambda acc, v: acc + F.least(F.size(F.filter(chars("a"), lambda z: z == v)), F.size(F.filter(chars("b"), lambda z: z == v))))
-    pairs = pairs.filter(2 * shared >= least * spare)
+    # of both lengths together, least / 2 match, and every block but one follows a character that doesn't
+    shared_parts = lambda total: (1.5 * least - 1) * total - 1
+    if 1.5 * least - 1 > 0:
+        both = x.select(F.lit(0).alias("side"), F.col("a").alias("s")).unionByName(y.select(F.lit(1).alias("side"), F.col("b").alias("s")))
+        both = materialise(_pieces(both.filter(F.length("s") > 1)), "pieces")
+        each = both.select("side", "s", "bits", F.explode("parts").alias("part"))
+        counts = each.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+        # one row per string; as many parts as it has characters
+        lists = each.join(counts, "part").groupBy("side", "s", "bits").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "part"))), lambda p: p["part"]).alias("parts"))
+        # what it must share with its shortest possible partner
+        fewest = F.ceil(shared_parts(F.length("s") * (1 + least / (2 - least))) - 1e-9)
+        rare = F.slice("parts", F.lit(1), F.greatest(F.lit(1), F.least(F.size("parts"), (F.size("parts") - fewest + 1).cast("int"))))
+        lists = materialise(lists.select("side", "s", "bits", rare.alias("rare")), "lists")
+        side = lambda k, c: lists.filter(F.col("side") == k).select(F.col("s").alias(c), F.col("bits").alias(f"bits_{c}"), F.explode("rare").alias("part"))
+        # every bit that differs stands for a character that doesn't match
+        spare = F.bit_count(F.col("bits_a").bitwiseXOR(F.col("bits_b"))) <= (1 - least) * (F.length("a") + F.length("b")) + 1e-9
+        long = side(0, "a").join(side(1, "b"), "part").filter(bound("a", "b") & spare).select("a", "b").distinct()
+        enough = int(1 / (1.5 * least - 1)) + 1  # beyond this length of both together, at least one part is shared
+    else:  # so unlike strings needn't share a part: every pair of lengths in proportion
+        long, enough = x.join(y, F.lit(False)).select("a", "b"), None
+    size = F.length("b")
+    lengths = F.explode(F.sequence(F.floor(size * least / (2 - least)).cast("int"), F.ceil(size * (2 - least) / least).cast("int")))
+    short = x.withColumn("__n", F.length("a")).join(y.withColumn("__n", lengths), "__n").filter(bound("a", "b"))
+    short = short.filter(F.length("a") + F.length("b") <= enough) if enough else short
+    pairs = long.unionByName(short.select("a", "b")).distinct()
     both_empty = x.filter("a = ''").join(y.filter("b = ''"), F.lit(True)).select("a", "b", F.lit(1.0).alias("ratio"))  # one row each at most
-    return pairs.filter("a <> '' and b <> ''").withColumn("ratio", A.of_pairs(A.sequence_ratio)("a", "b")).filter(F.col("ratio") >= least).unionByName(both_empty)
+    return _alike(pairs.filter((F.col("a") != "") & (F.col("b") != "")), least).unionByName(both_empty)
 
 
 def screen_exact(names: DataFrame, lists: DataFrame, top: int = 10) -> DataFrame:
@@ -73,9 +133,20 @@ def screen_exact(names: DataFrame, lists: DataFrame, top: int = 10) -> DataFrame
     return wanted.join(hits, "name", "left").select("name", F.coalesce("hits", F.array().cast("array<bigint>")).alias("hits"), F.when(F.col("hits").isNotNull(), "BLOCKED").otherwise("CLEAR").alias("verdict"))
 
 
-def candidates(names: DataFrame, lists: DataFrame) -> DataFrame:
-    """(name, id): entries whose lower-case full name holds any word of the name as a part."""
-    words = names.select("name").distinct().select("name", F.explode(F.array_distinct(tokens(low("name")))).alias("needle"))
+#: Letters that a word must have to be looked up by itself.
+TELLING = 3
+
+
+def looked_up(name: Column, telling: int = TELLING) -> Column:
+    """The words of a name by which entries are looked up: those of at least ``telling`` letters; all of them where none is so long."""
+    words = F.array_distinct(tokens(low(name)))
+    long = F.filter(words, lambda w: F.length(w) >= telling)
+    return F.when(F.size(long) > 0, long).otherwise(words)
+
+
+def candidates(names: DataFrame, lists: DataFrame, telling: int = TELLING) -> DataFrame:
+    """(name, id): entries whose lower-case full name holds any word of the name that is ``looked_up`` as a part. ``telling`` = 1: any word at all, single letters too."""
+    words = names.select("name").distinct().select("name", F.explode(looked_up(F.col("name"), telling)).alias("needle"))
     texts = lists.select("id", low("full_name").alias("text"))
     return words.join(containing(words, texts), "needle").join(texts, "text").select("name", "id").distinct()
 
@@ -100,6 +171,7 @@ def _arrow_sum(a: str, b: str, p: str, q: str) -> float:
     while prefix < 4 and prefix < min(len(p), len(q)) and p[prefix] == q[prefix]:
         prefix += 1
     s = (w["metaphone_eq"] + w["dmetaphone_eq"]) * (A.metaphone(a) == A.metaphone(b)) + w["nysiis_eq"] * (A.nysiis(a) == A.nysiis(b)) + w["damerau_sim"] * A.damerau_sim(p, q) + w["lcs_sim"] * A.lcs_sim(p, q)
+    s += w["bigram_cos"] * A.bigram_cos(p, q) + w["trigram_cos"] * A.trigram_cos(p, q)
     return s + w["jaro"] * jaro + w["jaro_winkler"] * (jaro + 0.1 * prefix * (1 - jaro)) + w["smith_waterman"] * A.smith_waterman(p, q) + w["needleman_wunsch"] * A.needleman_wunsch(p, q)
 
 
@@ -121,7 +193,7 @@ def with_name_score(pairs: DataFrame, a: str, b: str, na: str, nb: str) -> DataF
     return rows.mapInPandas(scan, rows.schema)
 
 
-ARROW = ("metaphone_eq", "dmetaphone_eq", "nysiis_eq", "damerau_sim", "lcs_sim", "jaro", "jaro_winkler", "smith_waterman", "needleman_wunsch")
+ARROW = ("bigram_cos", "trigram_cos", "metaphone_eq", "dmetaphone_eq", "nysiis_eq", "damerau_sim", "lcs_sim", "jaro", "jaro_winkler", "smith_waterman", "needleman_wunsch")
 
 
 def scored(pairs: DataFrame) -> DataFrame:
@@ -131,17 +203,42 @@ def scored(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("score", M.probability(F.col("name_score"), F.col("dob_score"), F.col("nationality_score")))
 
 
-def screen_fuzzy(people: DataFrame, lists: DataFrame, threshold: float = 0.65, top: int = 10) -> DataFrame:
+def _best_unequal() -> float:
+    """The highest name score of two names that aren't the same when normalised."""
+    return 1 - M.WEIGHTS["exact"] / sum(M.WEIGHTS.values())
+
+
+def screen_fuzzy(people: DataFrame, lists: DataFrame, threshold: float = 0.65, top: int = 10, telling: int = TELLING) -> DataFrame:
     """The best ``top`` entries of each person (name, dob, nationality) with a score of at least ``threshold``, ties by id.
 
-    Each distinct name is normalised once. Entries are compared when they hold one of the name's words as a part and their best possible score,
-    with a full name score, reaches the threshold; the long way is taken for those only. Blank names give nothing.
+    Entries are compared when they hold one of the name's words as a part (``candidates``). Each distinct name is normalised once. An entry whose
+    normalised name is another one can't have more than a certain name score, and then not reach the threshold unless dates of birth or
+    nationalities agree well enough; those entries are looked for among entries of the same year or the same nationality only, equal names by equality. Blank names give nothing.
     """
     distinct = people.select("name").filter("trim(name) <> ''").distinct().withColumn("norm", normalise("name"))
-    entries = lists.select("id", "full_name", F.col("dob").alias("list_dob"), F.col("nationality").alias("list_nationality"), "source")
-    normed = lists.select("full_name").distinct().withColumn("list_norm", normalise("full_name"))
-    pairs = candidates(distinct, lists).join(entries, "id").join(people.select("name", "dob", "nationality").distinct(), "name")
-    possible = M.probability(F.lit(1.0), M.dob_score(F.col("dob"), F.col("list_dob")), M.nationality_score(F.col("nationality"), F.col("list_nationality")))
-    pairs = materialise(pairs.filter(possible >= threshold).join(distinct, "name").join(normed, "full_name"), "pairs")
+    normed = lists.select("full_name").filter("full_name is not null").distinct().withColumn("list_norm", normalise("full_name"))
+    names, entries = materialise(distinct, "names"), materialise(normed, "entries")
+    who = people.select("name", "dob", "nationality").distinct()
+    listed = lists.select("id", "full_name", F.col("dob").alias("list_dob"), F.col("nationality").alias("list_nationality"), "source")
+    agree = M.probability(F.lit(_best_unequal()), M.dob_score(F.col("dob"), F.col("list_dob")), M.nationality_score(F.col("nationality"), F.col("list_nationality"))) >= threshold
+    holds = F.exists(looked_up(F.col("name"), telling), lambda w: low("full_name").contains(w))
+    equal = names.join(entries, F.col("norm") == F.col("list_norm")).filter(holds).join(listed, "full_name").join(who, "name")
+    # scores of 0.5 for what is missing: can names that differ be enough then, or must something agree?
+    missing = people.sparkSession.range(1).select((M.probability(F.lit(_best_unequal()), F.lit(0.5), F.lit(0.5)) >= threshold).alias("v")).collect()[0].v
+    if missing:
+        other = candidates(names, lists, telling).join(listed, "id").join(who, "name").join(names, "name").join(entries, "full_name")
+    else:
+        year = lambda c: F.regexp_extract(c, r"\b((?:19|20)\d{2})\b", 1)
+        nation = lambda c: F.substring(F.lower(F.trim(c)), 1, 2)
+        # what must agree, in front of the words that are looked up and of the names they are looked up in
+        keys = lambda d, n: F.explode(F.filter(F.array(F.concat(F.lit("y"), F.nullif(year(F.col(d)), F.lit(""))), F.when(F.col(n) != "", F.concat(F.lit("n"), nation(F.col(n))))), lambda k: k.isNotNull()))
+        wanted = who.withColumn("agreed", keys("dob", "nationality"))
+        some = listed.withColumn("agreed", keys("list_dob", "list_nationality"))
+        held = containing(wanted.select(F.explode(looked_up(F.col("name"), telling)).alias("needle")), some.select(low("full_name").alias("text")))
+        words = wanted.withColumn("needle", F.explode(looked_up(F.col("name"), telling))).join(held, "needle")
+        other = words.join(some.withColumn("text", low("full_name")), ["agreed", "text"]).drop("agreed", "text", "needle").distinct().join(names, "name").join(entries, "full_name")
+    other = other.filter((F.col("norm") != F.col("list_norm")) & agree)
+    columns = ["name", "dob", "nationality", "id", "full_name", "list_dob", "list_nationality", "source", "norm", "list_norm"]
+    pairs = materialise(equal.select(*columns).unionByName(other.select(*columns)), "pairs")
     rank = W.partitionBy("name", "dob", "nationality").orderBy(F.desc("score"), "id")
     return scored(pairs).filter(F.col("score") >= threshold).withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= top).select("name", "dob", "nationality", "id", "full_name", "source", "name_score", "dob_score", "nationality_score", "score", "rank")
