@@ -24,6 +24,8 @@ WORD = re.compile(r"\w+")
 #: Shortest shared span in words; share of an item's words that makes a leak; share of them that must lie outside common passages; share and
 #: least number of documents that make a passage common; longest change, in words, that doesn't end a stretch.
 MIN_SPAN, COVERAGE, OWN, COMMON_SHARE, COMMON_LEAST, CHANGE = 4, 1 / 3, 0.16, 0.005, 8, 3
+#: Share of an item from which a text holds the item and not a common passage, whatever its sentences. Words of one span that are a leak by themselves, however long the item.
+WHOLE, LONGEST = 0.6, 50
 #: Shortest span that is removed from a leaking document although the share doesn't rest on it.
 REMOVED = 6
 #: Items of more words than this are split into blocks, each with its own automaton; every document is streamed through all of them.
@@ -180,9 +182,12 @@ def sentences(text: str) -> list[int]:
 
 
 def holds_passage(chain: list[tuple[int, int, int]], size: int, of: list[int]) -> bool:
-    """Whether a chain of spans is a passage of the item itself: a third of it, with at least MIN_SPAN words of each of two sentences."""
-    if stretched(chain) < COVERAGE * size:
+    """Whether a chain of spans is a passage of the item itself: most of it, or a third with at least MIN_SPAN words of each of two sentences."""
+    n = stretched(chain)
+    if n < COVERAGE * size:
         return False
+    if n >= WHOLE * size:
+        return True
     held = Counter(of[p] for p in {p for _, i, n in chain for p in range(i, i + n)})
     return sum(n >= MIN_SPAN for n in held.values()) > 1
 
@@ -194,8 +199,8 @@ def digest(tokens: list[str]) -> int:
 _SHARED = "doc_id long, item_id long, spans array<struct<d:int,i:int,n:int>>, i int, n int, text long"
 
 
-def shared_spans(docs: DataFrame, items: list[tuple[int, list[str]]], parts: dict[int, list[int]]) -> DataFrame:
-    """Three kinds of row: (doc_id, item_id, spans) where the spans could cover enough of the item, (item_id, i, n, text) for each text that shares
+def shared_spans(docs: DataFrame, items: list[tuple[int, list[str]]], parts: dict[int, list[int]], longest: int) -> DataFrame:
+    """Three kinds of row: (doc_id, item_id, spans) where the spans could cover enough of the item or one has ``longest`` words, (item_id, i, n, text) for each text that shares
     item words i to i + n but isn't a passage of the item, and (text) for each text; ``parts`` has the sentences of the items' words by item_id."""
     kinds = [pa.int64(), pa.int64(), pa.list_(pa.struct([("d", pa.int32()), ("i", pa.int32()), ("n", pa.int32())])), pa.int32(), pa.int32(), pa.int64()]
     names = ["doc_id", "item_id", "spans", "i", "n", "text"]
@@ -216,16 +221,16 @@ def shared_spans(docs: DataFrame, items: list[tuple[int, list[str]]], parts: dic
                     if not holds_passage(chain, size, parts[item]):
                         for i, n in {(i, n) for _, i, n in spans}:
                             add(None, item, None, i, n, same)
-                    if sum(n for _, _, n in spans) >= 0.7 * COVERAGE * size and stretched(chain) >= COVERAGE * size:
+                    if stretched(chain) >= COVERAGE * size or max(n for _, _, n in spans) >= longest:
                         add(key, item, [{"d": d, "i": i, "n": n} for d, i, n in sorted(set(spans))], None, None, None)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(scan, _SHARED)
 
 
-def leaks(docs: DataFrame, items: DataFrame, documents: int | None = None) -> DataFrame:
-    """(doc_id, item_id, share, spans, shared) of every document that repeats at least COVERAGE of an item's words in order: the spans that
-    make up the share, and all spans of REMOVED words and more that both have in common.
+def leaks(docs: DataFrame, items: DataFrame, documents: int | None = None, longest: int = LONGEST) -> DataFrame:
+    """(doc_id, item_id, reason, share, spans, shared) of every document that repeats at least COVERAGE of an item's words in order (reason
+    'share'), or else a span of ``longest`` words and more ('length'): the spans that make it up, and all spans of REMOVED words and more in common.
 
     A share of OWN of the item's words must lie outside passages common to COMMON_SHARE of all different texts (at least COMMON_LEAST; ``documents``
     overrides how many there are). Copies count once, and texts that hold a third of the item over several of its sentences don't count, however many there are. Null and empty texts share nothing; items shorter
@@ -237,18 +242,18 @@ def leaks(docs: DataFrame, items: DataFrame, documents: int | None = None) -> Da
     of = {k: sentences(re.sub(r"(?<=\w)-\n(?=\w)", "", t)) for k, t in wanted}
     parts = None
     for block in _blocks(listed):
-        part = shared_spans(docs, block, of)
+        part = shared_spans(docs, block, of, longest)
         parts = part if parts is None else parts.unionByName(part)
     shared = materialise(parts, "spans")
     if documents is None:
         documents = shared.filter("item_id is null").select("text").distinct().count()
     common = max(COMMON_LEAST, COMMON_SHARE * documents)
-    # at most (item words) squared rows, whatever the corpus
-    counts = shared.filter("i is not null").select("item_id", "i", "n", "text").distinct().groupBy("item_id", "i", "n").agg(F.count(F.lit(1)).alias("texts")).collect()
+    # where matches of different texts begin and end; summed by position, so as many rows as the items have words reach the driver
+    spans = shared.filter("i is not null").select("item_id", "i", "n", "text").distinct()
+    turns = spans.select("item_id", F.inline(F.array(F.struct(F.col("i").alias("p"), F.lit(1).alias("d")), F.struct((F.col("i") + F.col("n")).alias("p"), F.lit(-1).alias("d")))))
     matched = {k: [0] * (len(t) + 1) for k, t in listed}
-    for r in counts:
-        matched[r.item_id][r.i] += r.texts
-        matched[r.item_id][r.i + r.n] -= r.texts
+    for r in turns.groupBy("item_id", "p").agg(F.sum("d").alias("d")).filter("d <> 0").collect():
+        matched[r.item_id][r.p] = r.d
     usable = {}
     for k, t in listed:
         running, total, depth = [0], 0, 0
@@ -260,21 +265,27 @@ def leaks(docs: DataFrame, items: DataFrame, documents: int | None = None) -> Da
 
     def decide(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keep, shares, chosen, long = [], [], [], []
+            keep, why, shares, chosen, long = [], [], [], [], []
             for k, (item, spans) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)):
-                size = len(usable[item]) - 1
+                size, own = len(usable[item]) - 1, usable[item]
                 found = [(s["d"], s["i"], s["n"]) for s in spans]
                 used = covered(found)[1]
                 n = stretched(used)
-                if n >= COVERAGE * size and covered(found, usable[item])[0] >= OWN * size:
+                if n >= COVERAGE * size and covered(found, own)[0] >= OWN * size:
+                    reason = "share"
+                else:  # long spans of which at least half aren't common
+                    used = [(d, i, m) for d, i, m in found if m >= longest and own[i + m] - own[i] >= m / 2]
+                    n, reason = sum(m for _, _, m in used[:1]), "length"
+                if used and n:
                     keep.append(k)
+                    why.append(reason)
                     shares.append(min(1.0, n / size))
                     chosen.append([{"d": d, "i": i, "n": m} for d, i, m in used])
                     long.append([s for s in spans if s["n"] >= REMOVED])
             at = pa.array(keep, pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(shares, pa.float64()), pa.array(chosen, b.column(2).type), pa.array(long, b.column(2).type)], ["doc_id", "item_id", "share", "spans", "shared"])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(why, pa.string()), pa.array(shares, pa.float64()), pa.array(chosen, b.column(2).type), pa.array(long, b.column(2).type)], ["doc_id", "item_id", "reason", "share", "spans", "shared"])
 
-    rows = shared.filter("spans is not null").select("doc_id", "item_id", "spans").mapInArrow(decide, "doc_id long, item_id long, share double, spans array<struct<d:int,i:int,n:int>>, shared array<struct<d:int,i:int,n:int>>")
+    rows = shared.filter("spans is not null").select("doc_id", "item_id", "spans").mapInArrow(decide, "doc_id long, item_id long, reason string, share double, spans array<struct<d:int,i:int,n:int>>, shared array<struct<d:int,i:int,n:int>>")
     return rows.dropDuplicates(["doc_id", "item_id"])
 
 

@@ -63,7 +63,7 @@ def p8_leaks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    return p8_leaks(spark, d).select("doc_id", "item_id")
+    return p8_leaks(spark, d).filter("reason = 'share'").select("doc_id", "item_id")
 
 
 def p8_cleaned(spark: SparkSession, d: str) -> DataFrame:

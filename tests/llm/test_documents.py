@@ -101,6 +101,21 @@ def test_leaks_of_copied_documents(spark):
     assert {(r.doc_id, r.item_id) for r in rows} == truth
 
 
+def test_popular_items_and_long_spans(spark):
+    rng = random.Random(9)
+    noise = lambda n: [rng.choice(WORDS) for _ in range(n)]
+    one, long = noise(40), noise(1000)  # one sentence; far longer than what is repeated
+    for often in (7, 8, 12, 60):
+        docs = [(d, " ".join([*noise(60), *(one if d < often else []), *noise(20)])) for d in range(300)]
+        rows = leakage.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, " ".join(one))], "item_id long, text string")).collect()
+        assert sorted(r.doc_id for r in rows) == list(range(often))
+    docs = spark.createDataFrame([(1, " ".join([*noise(50), *long[200:500]])), (2, " ".join([*noise(50), *long[200:230]])), (3, " ".join(long[100:600]))], "doc_id long, text string")
+    items = spark.createDataFrame([(5, " ".join(long))], "item_id long, text string")
+    assert {(r.doc_id, r.reason) for r in leakage.leaks(docs, items).collect()} == {(1, "length"), (3, "share")}
+    assert {(r.doc_id, r.reason) for r in leakage.leaks(docs, items, longest=20).collect()} == {(1, "length"), (2, "length"), (3, "share")}
+    assert {r.doc_id: r.removed_words for r in leakage.cleaned(docs, items).collect()} == {1: 300, 3: 500}
+
+
 def test_leaks_in_blocks(spark, monkeypatch):
     docs, items, truth = leak_tables(spark)
     monkeypatch.setattr(leakage, "BLOCK_WORDS", 200)
