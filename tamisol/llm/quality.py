@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import random
 import re
+import warnings
 from collections.abc import Iterable, Iterator
 from operator import and_
 
@@ -87,11 +88,9 @@ def statistics(text: str | None, common: list[frozenset[str]]) -> list[float]:
 def with_statistics(docs: DataFrame, common_words: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, STATISTICS...) of every row; one row per row of ``docs``, repeated rows included, extra columns ignored.
 
-    ``common_words`` is a word list of stated size; it goes to the driver and is refused beyond 100,000 rows.
+    ``common_words`` is a word list of stated size; it goes to the driver and to every task.
     """
-    listed = common_words.select("lang", "word").filter("word is not null").limit(100_001).collect()
-    if len(listed) > 100_000:
-        raise ValueError("more than 100,000 common words")
+    listed = common_words.select("lang", "word").filter("word is not null").collect()
     by: dict[str, set[str]] = {}
     for r in listed:
         by.setdefault(r.lang or "", set()).add(r.word.lower())
@@ -110,6 +109,7 @@ class Mixture:
     """Full-covariance Gaussian mixture over transformed, standardised statistics."""
 
     def __init__(self, centre: np.ndarray, scale: np.ndarray, weights: np.ndarray, means: np.ndarray, covariances: np.ndarray):
+        self.rounds, self.converged = 0, False
         self.centre, self.scale, self.weights, self.means, self.covariances = centre, scale, weights, means, covariances
         self.roots = np.linalg.cholesky(covariances)
         self.inverse = np.linalg.inv(self.roots)
@@ -137,18 +137,18 @@ class Mixture:
 
 
 def _sums(rows: DataFrame, width: int, each) -> np.ndarray:
-    """Sum over all rows of what ``each`` makes of a batch's matrix: one vector of ``width`` numbers per task reaches the driver."""
+    """Sum over all rows of what ``each`` makes of a batch's matrix. Tasks' vectors are added up by position, so ``width`` numbers reach the driver, however many tasks there are."""
 
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(width)
         for b in batches:
             if b.num_rows:
                 total += each(np.column_stack([b.column(i).to_numpy(zero_copy_only=False) for i in range(b.num_columns)]))
-        yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64()))], ["v"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(width, dtype=np.int32)), pa.array(total)], ["k", "v"])
 
     out = np.zeros(width)
-    for r in rows.select(*STATISTICS).mapInArrow(scan, "v array<double>").collect():
-        out += np.asarray(r.v)
+    for r in rows.select(*STATISTICS).mapInArrow(scan, "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).collect():
+        out[r.k] = r.v
     return out
 
 
@@ -186,12 +186,13 @@ def fit(rows: DataFrame, key: str = "doc_id", common: list[frozenset[str]] | Non
     for kind, t in examples():
         kinds.setdefault(kind, []).append(statistics(t, common or []))
     anchors = np.stack([(Mixture.transform(np.asarray(v)).mean(0) - centre) / scale for v in kinds.values()])
-    # an anchor without rows near it would only be in the way
-    anchors = anchors[[i for i, m in enumerate(anchors) if (((z - m) ** 2).sum(1) < 4 * z.shape[1]).any()]] if common else anchors[:0]
-    k = min(COMPONENTS, max(3, int(n) // 30), len(np.unique(z.round(6), axis=0)))
+    # an anchor without any row near it would only be in the way
+    near = _sums(rows, len(anchors), lambda x: np.array([((((Mixture.transform(x) - centre) / scale - m) ** 2).sum(1) < 4 * d).sum() for m in anchors], float))
+    anchors = anchors[near > 0] if common else anchors[:0]
+    k = min(COMPONENTS, len(np.unique(z.round(6), axis=0)))
     model = Mixture(centre, scale, *_initial(z, k, anchors if len(anchors) else z[[int(np.argmin((z**2).sum(1)))]]))
     before = -np.inf
-    for _ in range(ITERATIONS):
+    for round_ in range(1, ITERATIONS + 1):
 
         def step(x: np.ndarray, model: Mixture = model) -> np.ndarray:
             z = model.standardised(x)
@@ -206,9 +207,12 @@ def fit(rows: DataFrame, key: str = "doc_id", common: list[frozenset[str]] | Non
         low = np.linalg.eigvalsh(spread)[:, 0]
         spread += np.maximum(0, RIDGE - low)[:, None, None] * np.eye(d)
         model = Mixture(centre, scale, mass / mass.sum(), means, spread)
-        if s[-1] / n - before < GAIN:
+        gain, before = s[-1] / n - before, s[-1] / n
+        model.rounds, model.converged = round_, bool(gain < GAIN)
+        if model.converged:
             break
-        before = s[-1] / n
+    if not model.converged:
+        warnings.warn(f"the mixture still gained {gain:.4f} in its round {model.rounds}", stacklevel=2)
     return model
 
 
