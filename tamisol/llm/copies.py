@@ -51,23 +51,26 @@ class Unordered(list):
     """Children whose order carries no meaning."""
 
 
-def tree(record: dict) -> list:
-    """The record as nested lists: leaves are strings, Unordered nodes ignore order, objects are Unordered nodes of (key, value)."""
+def tree(record: dict, loose: frozenset[str] = frozenset()) -> list:
+    """The record as nested lists: leaves are strings, Unordered nodes ignore order, objects are Unordered nodes of (key, value). Fields in
+    ``loose`` are normalised like names; 'raw_data' there normalises the texts inside the record."""
     raw = record.get("raw_data")
     value = parse(raw) if raw else None
     return [
-        *(record.get(k) or "" for k in ("source", "dob", "nationality", "entity_type", "program", "listed_on")),
+        *(Unordered(words(record.get(k))) if k in loose else record.get(k) or "" for k in ("source", "dob", "nationality", "entity_type", "program", "listed_on")),
         Unordered(words(record.get("full_name"))),
         Unordered([*words(record.get("last_name")), *words(record.get("first_name"))]),
-        _json(value) if value is not None else [raw or ""],
+        _json(value, "raw_data" in loose) if value is not None else [raw or ""],
     ]
 
 
-def _json(v):
+def _json(v, loose: bool = False):
     if isinstance(v, dict):
-        return Unordered([[k, _json(x)] for k, x in v.items()])
+        return Unordered([[k, _json(x, loose)] for k, x in v.items()])
     if isinstance(v, list):
-        return [_json(x) for x in v]
+        return [_json(x, loose) for x in v]
+    if loose and isinstance(v, str):
+        return Unordered(words(v))
     return v if isinstance(v, str) else f"{v!r}"
 
 
@@ -94,39 +97,40 @@ def _canonical(node):
     return sorted(children, key=repr) if isinstance(node, Unordered) else children
 
 
-def same(a: dict, b: dict) -> bool:
-    return _canonical(tree(a)) == _canonical(tree(b))
+def same(a: dict, b: dict, loose: frozenset[str] = frozenset()) -> bool:
+    return _canonical(tree(a, loose)) == _canonical(tree(b, loose))
 
 
 FIELDS = ["source", "dob", "nationality", "entity_type", "program", "listed_on", "full_name", "last_name", "first_name", "raw_data"]
 
 
-def digests(df: DataFrame, key: str = "id") -> DataFrame:
+def digests(df: DataFrame, key: str = "id", loose: frozenset[str] = frozenset()) -> DataFrame:
     """(key, digest) of every record."""
 
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             cols = {c: b.column(i + 1).to_pylist() for i, c in enumerate(FIELDS)}
-            out = [digest(tree({c: cols[c][i] for c in FIELDS})) for i in range(b.num_rows)]
+            out = [digest(tree({c: cols[c][i] for c in FIELDS}, loose)) for i in range(b.num_rows)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], [key, "digest"])
 
     return df.select(F.col(key).cast("long").alias(key), *FIELDS).mapInArrow(scan, f"{key} long, digest binary")
 
 
-def copies(df: DataFrame, key: str = "id") -> DataFrame:
-    """(kept_id, copy_id): each record that repeats another one in a different layout, with the smallest key of its group.
+def copies(df: DataFrame, key: str = "id", loose: frozenset[str] = frozenset()) -> DataFrame:
+    """(kept_id, copy_id): each record that repeats another one in a different layout, with the smallest key of its group. Names are
+    normalised; ``loose``: other fields that are, too.
 
     The grouping aggregates (smallest key, count) before the shuffle, so a group of any size moves one row per task. Null equals ''; records
     without a name are compared by their other fields; an invalid raw record is compared as text; a row whose key repeats is the same record.
     """
-    each = materialise(digests(df, key), "digests")
+    each = materialise(digests(df, key, loose), "digests")
     groups = each.groupBy("digest").agg(F.min(key).alias("kept_id"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     groups = materialise(groups, "groups")
     pairs = materialise(join_groups(each, groups, "digest", "n").filter(F.col(key) != F.col("kept_id")).select("kept_id", F.col(key).alias("copy_id"), "n").distinct(), "pairs")
-    return confirmed(df, pairs, key)
+    return confirmed(df, pairs, key, loose)
 
 
-def confirmed(df: DataFrame, pairs: DataFrame, key: str) -> DataFrame:
+def confirmed(df: DataFrame, pairs: DataFrame, key: str, loose: frozenset[str] = frozenset()) -> DataFrame:
     """The pairs whose records are equal node by node. A kept record meets its copies by join_groups, so hot groups don't gather in one task."""
     record = F.struct(*FIELDS)
     source = df.select(F.col(key).cast("long").alias(key), *FIELDS).dropDuplicates([key])
@@ -136,16 +140,16 @@ def confirmed(df: DataFrame, pairs: DataFrame, key: str) -> DataFrame:
 
     def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            equal = [same(x, y) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
+            equal = [same(x, y, loose) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
             keep = [i for i, e in enumerate(equal) if e]
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keep, pa.int64())), b.column(1).take(pa.array(keep, pa.int64()))], ["kept_id", "copy_id"])
 
     return both.mapInArrow(compare, "kept_id long, copy_id long")
 
 
-def collapsed(df: DataFrame, key: str = "id") -> DataFrame:
+def collapsed(df: DataFrame, key: str = "id", loose: frozenset[str] = frozenset()) -> DataFrame:
     """(id, copies): one record per entry with the number of records it stands for, itself included."""
-    pairs = copies(df, key)
+    pairs = copies(df, key, loose)
     gone = materialise(pairs, "gone")
     counts = gone.groupBy(F.col("kept_id").alias(key)).agg((F.count(F.lit(1)) + 1).alias("copies"))
     kept = df.select(F.col(key).cast("long").alias(key)).distinct().join(gone.select(F.col("copy_id").alias(key)), key, "left_anti")

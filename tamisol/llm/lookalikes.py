@@ -20,10 +20,12 @@ from pyspark.sql import functions as F
 
 from tamisol.llm import garbled
 
-# Letters that look alike, Latin first, then Cyrillic and Greek.
+# Letters that look alike, Latin first, then Cyrillic, Greek, Armenian and Cherokee.
 SAME_SHAPE = """
 A А Α|B В Β|C С|E Е Ε|H Н Η|I І Ι|J Ј|K К Κ|M М Μ|N Ν|O О Ο|P Р Ρ|S Ѕ|T Т Τ|X Х Χ|Y У Υ|Z Ζ|a а α|c с|e е|i і ι|j ј|k к κ|o о ο|p р ρ|s ѕ
 v ν|x х χ|y у γ|u υ|h һ|d ԁ|q ԛ|w ԝ|n п|r г|Ï Ї|ï ї|Ë Ё|ë ё|ō ӧ|g ɡ|l ӏ|İ Ӏ|m м|t т|b Ь|n η
+A Ꭺ|B Ᏼ|C Ϲ Ꮯ|D Ꭰ|E Ꭼ|G Ԍ Ꮐ|H Ꮋ|J Ϳ Ꭻ|K Ꮶ|L Լ Ꮮ|M Ꮇ|O Օ|P Ꮲ|Q Ԛ|R Ꭱ|S Տ Ꮪ|T Ꭲ|U Ս|V Ѵ Ꮩ|W Ԝ Ꮃ|Y Ү Ꮍ|Z Ꮓ|I Ӏ
+c ϲ|f ք|g ց|h հ|i Ꭵ|j ϳ յ|n ո|o օ|q զ|u ս|v ѵ|w ω|y ү|g ԍ
 """
 #: What a character class contributes to the reasons for a rewrite.
 COMPATIBILITY, ACCENT, INVISIBLE, SPACE, MIXED = "compatibility", "accent", "invisible", "space", "mixed"
@@ -75,6 +77,28 @@ def compatibility(c: str) -> str | None:
     return plain if wide else None
 
 
+def _automaton(patterns: Iterable[tuple[str, tuple[int, str, str]]]) -> ahocorasick.Automaton | None:
+    made = ahocorasick.Automaton()
+    for pattern, value in patterns:
+        made.add_word(pattern, value)
+    if not len(made):
+        return None
+    made.make_automaton()
+    return made
+
+
+def _rewritten(text: str, automaton: ahocorasick.Automaton | None, why: set[str]) -> str:
+    """The text with every pattern of the automaton written as its target, longest match first; the kinds of what was found join ``why``."""
+    if automaton is None:
+        return text
+    out, at = [], 0
+    for end, (n, target, kind) in automaton.iter_long(text):
+        out += [text[at : end - n + 1], target]
+        at = end + 1
+        why.add(kind)
+    return "".join([*out, text[at:]])
+
+
 class Rewriter:
     """Classes, representatives and automata for texts whose characters occur as often as ``counts`` says."""
 
@@ -124,11 +148,10 @@ class Rewriter:
             for m in members:
                 if len(m) == 1:
                     self.by_script[m] = best
-        self.automaton = ahocorasick.Automaton()
-        for pattern, target in self.plain.items():
-            self.automaton.add_word(pattern, (len(pattern), target, self.kinds[pattern]))
-        if self.plain:
-            self.automaton.make_automaton()
+        self.automaton = _automaton((p, (len(p), target, self.kinds[p])) for p, target in self.plain.items())
+        #: script -> automaton that writes look-alike letters of other scripts with the representatives of their classes in it
+        scripts = {s for best in self.by_script.values() for s in best}
+        self.shapes = {s: _automaton((c, (len(c), best[s], MIXED)) for c, best in self.by_script.items() if s in best and script(c) != s) for s in scripts}
 
     def _word(self, m: re.Match, why: set[str]) -> str:
         word = m[0]
@@ -142,20 +165,14 @@ class Rewriter:
         # the script most letters can be written in; of equals the one with more letters there already, then Latin
         fits = lambda s: sum(script(c) == s or s in self.by_script.get(c, {}) for c in letters)
         to = max(sorted(scripts), key=lambda s: (fits(s), scripts[s], s == "LATIN"))
-        return "".join(c if script(c) == to else self.by_script.get(c, {}).get(to, c) for c in word)
+        return _rewritten(word, self.shapes.get(to), why)
 
     def rewrite(self, text: str) -> tuple[str, set[str]]:
         """(the consistent form, why it differs)."""
         if text.isascii():
             return text, set()
         why: set[str] = set()
-        if self.plain:
-            out, at = [], 0
-            for end, (n, target, kind) in self.automaton.iter_long(text):
-                out += [text[at : end - n + 1], target]
-                at = end + 1
-                why.add(kind)
-            text = "".join([*out, text[at:]])
+        text = _rewritten(text, self.automaton, why)
         composed = unicodedata.normalize("NFC", text)
         if composed != text:
             why.add(ACCENT)
