@@ -241,8 +241,10 @@ def matches(sanctions: DataFrame, conventions: DataFrame) -> DataFrame:
     Profiles are compared once, however many rows have them; only the result lists every pair of rows. Rows without a name, source or id match
     none; missing dates and countries neither agree nor contradict; repeated rows of one id count once.
     """
-    rows = materialise(records(sanctions, conventions).dropDuplicates(["id"]).withColumn("profile", F.xxhash64("packed", "dob", "nation")), "records")
-    profiles = materialise(rows.groupBy("profile").agg(F.first("packed").alias("packed"), F.first("dob").alias("dob"), F.first("nation").alias("nation")), "profiles")
+    rows = materialise(records(sanctions, conventions).dropDuplicates(["id"]), "records")
+    # a profile is known by the smallest id that has it
+    profiles = materialise(rows.groupBy("packed", "dob", "nation").agg(F.min("id").alias("profile")), "profiles")
+    rows = materialise(rows.join(profiles, ["packed", "dob", "nation"]).select("id", "source", "profile"), "members")
     linked = materialise(profile_links(profiles).select("a", "b", "confidence"), "linked")
     member = rows.select("profile", "id", "source")
     both = linked.join(member.select(F.col("profile").alias("a"), F.col("id").alias("x"), F.col("source").alias("source_x")), "a").join(member.select(F.col("profile").alias("b"), F.col("id").alias("y"), F.col("source").alias("source_y")), "b")
