@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from tamisol.functions.text import word_count
-from tamisol.operators.review import verdict_margin
+from tamisol.operators.review import current, entity_of, verdict_margin
 
 # The tools of a review, those the model may leave out, the policy-blocked one, and the margin below which a verdict is fragile.
 TOOLS = ("sanctions_screening", "dynamodb_kyc", "adverse_media", "company_registry", "ubo_chain", "prior_cases")
@@ -73,6 +73,54 @@ def output_summary(output: Column, kind: dict[str, str]) -> Column:
     return F.left(F.to_json(F.struct(*cols)), F.lit(600))
 
 
+def tool_summary(output: Column, keys: list[str]) -> Column:
+    """The chosen keys of a tool's output as JSON, cut at 600 characters."""
+    return F.left(F.to_json(F.struct(*(output[k].alias(k) for k in keys))), F.lit(600))
+
+
+def covers(have: Column, want: Column) -> Column:
+    """Whether every element of ``want`` is in ``have``; null counts as empty."""
+    none = F.array().cast("array<string>")
+    return F.size(F.array_except(F.coalesce(want, none), F.coalesce(have, none))) == 0
+
+
+def timeline(events: DataFrame, category: str | None = None, text: str | None = None, category_column: str = "category", text_column: str = "text") -> DataFrame:
+    """Events of a category whose text holds ``text``, whatever the case; None doesn't restrict."""
+    rows = events if category is None else events.filter(F.col(category_column) == category)
+    return rows if not text else rows.filter(F.lower(text_column).contains(text.lower()))
+
+
+def recent(events: DataFrame, order: str, key: str, most: int = 500) -> DataFrame:
+    """The newest ``most`` events, as a bounded buffer holds them; ties by key."""
+    return events.orderBy(F.desc(order), F.desc(key)).limit(most)
+
+
+def snapshot(log: DataFrame, path: str) -> None:
+    """A copy of the audit trail as it is now; an existing one is an error, as snapshots aren't overwritten."""
+    log.write.mode("error").parquet(path)
+
+
+def needed_calls(alerts: DataFrame, calls: DataFrame) -> DataFrame:
+    """(alert_id, tool, reason): what must be run again after a review. Screening only if it wasn't run, the customer's data if they weren't fetched or for
+    another customer, and every other tool always, with the alert's own names, as long as these aren't empty.
+
+    Calls: alert_id, tool, customer_id. The first tool of TOOLS is the screening, the second the customer's data.
+    """
+    screening, customer, *others = TOOLS
+    made = calls.groupBy("alert_id").agg(F.bool_or(F.col("tool") == screening).alias("screened"), F.collect_set(F.when(F.col("tool") == customer, F.col("customer_id"))).alias("fetched"))
+    a = current(alerts).join(made, "alert_id", "left")
+    no = lambda c: ~F.coalesce(c, F.lit(False))
+    fetched = F.coalesce("fetched", F.array().cast("array<string>"))
+    filled = lambda c: F.coalesce(c, F.lit("")) != ""
+    row = lambda tool, when, reason: F.when(when, F.struct(F.lit(tool).alias("tool"), reason.alias("reason")))
+    wanted = F.array(
+        row(screening, no(F.col("screened")), F.lit("missing")),
+        row(customer, no(F.array_contains(fetched, F.col("customer_id"))), F.when(F.size(fetched) == 0, "missing").otherwise("other customer")),
+        *(row(t, filled(F.col("customer_id")) & filled(entity_of()), F.lit("always")) for t in others),
+    )
+    return a.select("alert_id", F.inline(F.filter(wanted, lambda w: w.isNotNull())))
+
+
 def close_attempts(alerts: DataFrame, ts: str) -> DataFrame:
     """The attempts to close each alert that policy blocks."""
     rows = alerts.select("alert_id", F.explode(F.sequence(F.lit(1), F.lit(ATTEMPTS))).alias("attempt"))
@@ -110,6 +158,23 @@ def coverage(events: DataFrame, want: int = len(TOOLS)) -> DataFrame:
     return events.groupBy("alert_id").agg(F.count_distinct(F.when(F.col("source") == "llm", F.col("tool"))).alias("llm_tools"), F.count_distinct("tool").alias("all_tools")).withColumn("complete", F.col("all_tools") >= want)
 
 
+def coverage_totals(rows: DataFrame) -> DataFrame:
+    """(alerts, mean_llm_tools, mean_all_tools, all_complete) of what ``coverage`` gives."""
+    return rows.agg(F.count(F.lit(1)).alias("alerts"), F.avg("llm_tools").alias("mean_llm_tools"), F.avg("all_tools").alias("mean_all_tools"), F.coalesce(F.bool_and("complete"), F.lit(False)).alias("all_complete"))
+
+
+def fills_by_tool(events: DataFrame) -> DataFrame:
+    """(tool, calls, fills, fill_share): how often each tool was called, and by a fill."""
+    filled = F.count_if(F.col("source") == "fill")
+    return events.groupBy("tool").agg(F.count(F.lit(1)).alias("calls"), filled.alias("fills"), (filled / F.count(F.lit(1))).alias("fill_share"))
+
+
+def narrative_overall(checked: DataFrame) -> DataFrame:
+    """(narratives, hard_passes, passed) of what ``narrative_checks`` gives: passed if there are any and all pass."""
+    n = F.count(F.lit(1))
+    return checked.agg(n.alias("narratives"), F.count_if("hard_pass").alias("hard_passes"), ((n > 0) & F.coalesce(F.bool_and("hard_pass"), F.lit(False))).alias("passed"))
+
+
 def consistency(runs: DataFrame, want: int) -> DataFrame:
     """(alert_id, ok_runs, verdicts, spread, verdict_consistent, score_consistent, margin, fragile) over repeated runs; failed runs have an error."""
     ok = F.coalesce(F.col("error"), F.lit("")) == ""

@@ -124,17 +124,26 @@ def similar_sequences(left: DataFrame, right: DataFrame, least: float = 0.8) ->
 
 
 def screen_exact(names: DataFrame, lists: DataFrame, top: int = 10) -> DataFrame:
-    """(name, hits, verdict): entries whose full or last name holds the name, whatever the case; at most ``top`` ids in their order. BLOCKED if there are any, else CLEAR."""
-    wanted = names.select("name").distinct().withColumn("needle", low("name"))
-    texts = lists.select("id", F.explode(F.array(low("full_name"), low("last_name"))).alias("text")).filter("text <> ''").distinct()
-    found = wanted.join(containing(wanted.select("needle"), texts.select("text")), "needle").join(texts, "text").select("name", "id").distinct()
-    first = found.withColumn("n", F.row_number().over(W.partitionBy("name").orderBy("id"))).filter(F.col("n") <= top)
-    hits = first.groupBy("name").agg(F.array_sort(F.collect_list("id")).alias("hits"))
-    return wanted.join(hits, "name", "left").select("name", F.coalesce("hits", F.array().cast("array<bigint>")).alias("hits"), F.when(F.col("hits").isNotNull(), "BLOCKED").otherwise("CLEAR").alias("verdict"))
+    """(name, hits, verdict): entries whose full or last name holds the name, whatever the case; at most ``top`` ids in their order. BLOCKED if there are any, else CLEAR.
 
-
-#: Letters that a word must have to be looked up by itself.
-TELLING = 3
+    Where ``names`` has a column dob, it's in the result too, and a date that is given must be the entry's dob_normalized.
+    """
+    own = ["name", "dob"] if "dob" in names.columns else ["name"]
+    wanted = names.select(*own).distinct().withColumn("needle", low("name"))
+    texts = lists.select("id", *(["dob_normalized"] if len(own) > 1 else []), F.explode(F.array(low("full_name"), low("last_name"))).alias("text")).filter("text <> ''").distinct()
+    found = wanted.join(containing(wanted.select("needle"), texts.select("text")), "needle").join(texts, "text")
+    if len(own) > 1:
+        found = found.filter(F.coalesce(F.nullif(F.col("dob"), F.lit("")), F.col("dob_normalized")).eqNullSafe(F.col("dob_normalized")))
+    found = found.select(*own, "id").distinct()
+    first = found.withColumn("n", F.row_number().over(W.partitionBy(*own).orderBy("id"))).filter(F.col("n") <= top)
+    hits = first.groupBy(*own).agg(F.array_sort(F.collect_list("id")).alias("hits"))
+    w, h = wanted.alias("w"), hits.alias("h")
+    both = w.join(h, [F.col(f"w.{c}").eqNullSafe(F.col(f"h.{c}")) for c in own], "left").select(*(f"w.{c}" for c in own), "h.hits")
+    return both.select(*own, F.coalesce("hits", F.array().cast("array<bigint>")).alias("hits"), F.when(F.col("hits").isNotNull(), "BLOCKED").otherwise("CLEAR").alias("verdict"))
+
+
+#: Letters that a word must have to be looked up by itself: 1 looks up all words; with more, candidates grow far slower with both tables.
+TELLING = 1
 
 
 def looked_up(name: Column, telling: int = TELLING) -> Column:

@@ -159,9 +159,10 @@ def watchlist_hits(alerts: DataFrame, sanctions: DataFrame, top: int = 10) -> Da
     An alert without any name meets every entry, hence the first ``top`` ones.
     """
     a = current(alerts).select("alert_id", low(entity_of()).alias("needle"))
-    s = sanctions.select("id", "full_name", "program", "source").withColumn("text", low("full_name"))
-    found = a.join(containing(a.select("needle"), s.select("text")), "needle").join(s, "text").select("alert_id", "id", "full_name", "program", "source")
-    some = F.broadcast(s.orderBy("id").limit(top).select("id", "full_name", "program", "source"))  # ``top`` rows
+    shown = ["id", "full_name", "program", "source", *(c for c in ("nationality", "listed_on") if c in sanctions.columns)]
+    s = sanctions.select(*shown).withColumn("text", low("full_name"))
+    found = a.join(containing(a.select("needle"), s.select("text")), "needle").join(s, "text").select("alert_id", *shown)
+    some = F.broadcast(s.orderBy("id").limit(top).select(*shown))  # ``top`` rows
     found = found.unionByName(a.filter("needle = ''").select("alert_id").join(some))
     return found.withColumn("hit_no", F.row_number().over(W.partitionBy("alert_id").orderBy("id"))).filter(F.col("hit_no") <= top)
 
@@ -181,11 +182,22 @@ def transaction_flags(transactions: DataFrame) -> DataFrame:
     return out.withColumn("suspicious_pattern", (F.col("large_count") > 1) | (F.col("international_count") > 0))
 
 
-def name_counts(alerts: DataFrame, records: DataFrame, name: str, top: int, entity: Column | None = None) -> DataFrame:
-    """(alert_id, n): records whose ``name`` holds the alert's name exactly, at most ``top``: media by customer, registry and ownership by entity."""
-    a = current(alerts).select("alert_id", (entity if entity is not None else entity_of()).alias("needle"))
-    r = records.select(F.col(name).alias("text"))
-    counted = containing(a.select("needle"), r.select("text")).join(r.groupBy("text").agg(F.count(F.lit(1)).alias("c")), "text").groupBy("needle").agg(F.sum("c").alias("c"))
+def name_counts(alerts: DataFrame, records: DataFrame, name: str | list[str], top: int, entity: Column | None = None, key: str | None = None, kyc: DataFrame | None = None) -> DataFrame:
+    """(alert_id, n): records that hold the alert's name exactly in ``name``, or in any one of several columns, at most ``top``: media by customer, registry and ownership by entity.
+
+    ``entity``: the name looked for, else the matched or the customer's. With several columns, ``key`` tells records apart. ``kyc``: customers whose
+    full_name, there called kyc_name, ``entity`` may fall back on.
+    """
+    a = current(alerts)
+    if kyc is not None:
+        a = a.join(kyc.select("customer_id", F.col("full_name").alias("kyc_name")).dropDuplicates(["customer_id"]), "customer_id", "left")
+    a = a.select("alert_id", (entity if entity is not None else entity_of()).alias("needle"))
+    if isinstance(name, str):
+        r = records.select(F.col(name).alias("text"))
+        counted = containing(a.select("needle"), r.select("text")).join(r.groupBy("text").agg(F.count(F.lit(1)).alias("c")), "text").groupBy("needle").agg(F.sum("c").alias("c"))
+    else:
+        r = records.select(F.col(key).alias("key"), F.explode(F.array(*name)).alias("text")).filter("text <> ''").distinct()
+        counted = containing(a.select("needle"), r.select("text")).join(r, "text").select("needle", "key").distinct().groupBy("needle").agg(F.count(F.lit(1)).alias("c"))
     return a.join(counted, "needle", "left").select("alert_id", F.least(F.coalesce("c", F.lit(0)), F.lit(top)).cast("bigint").alias("n"))
 
 
@@ -255,26 +267,36 @@ def triage(alerts: DataFrame, kyc: DataFrame, transactions: DataFrame, cases: Da
     final, context, adjust = rule_score(F.col("base"), counts)
     rows = rows.withColumns({"context_score": context, "confidence_adjustment": adjust, "final_risk_score": final})
     missing = F.col("kyc_name").isNull()
-    return rows.withColumns({"recommendation": F.when(~missing, verdict(F.col("final_risk_score"))), "confidence_pct": F.bround(F.col("final_risk_score") * 100).cast("int"), "error": F.when(missing, F.concat(F.lit("no customer "), F.coalesce("customer_id", F.lit("")))), "margin": verdict_margin(F.col("final_risk_score"))})
+    return rows.withColumns({"recommendation": F.when(~missing, verdict(F.col("final_risk_score"))), "confidence_pct": F.bround(F.col("final_risk_score") * 100).cast("int"), "components": F.struct(F.bround(F.col("base"), 3).alias("base"), F.bround("context_score", 3).alias("context"), F.bround("confidence_adjustment", 3).alias("adjustment")), "error": F.when(missing, F.concat(F.lit("no customer "), F.coalesce("customer_id", F.lit("")))), "margin": verdict_margin(F.col("final_risk_score"))})
 
 
 def worksheet(triaged: DataFrame, hits: DataFrame) -> DataFrame:
     """The nested result per alert: hits, payments, prior cases, scores, narrative, citations of the hits used."""
-    listed = hits.groupBy("alert_id").agg(F.array_sort(F.collect_list(F.struct("hit_no", "full_name", "program", "source"))).alias("sanctions_db_hits"))
-    rows = triaged.join(listed, "alert_id", "left").withColumn("sanctions_db_hits", F.coalesce("sanctions_db_hits", F.array().cast("array<struct<hit_no:int,full_name:string,program:string,source:string>>")))
+    shown = ["hit_no", "full_name", "program", "source", *(c for c in ("nationality", "listed_on") if c in hits.columns)]
+    listed = hits.groupBy("alert_id").agg(F.array_sort(F.collect_list(F.struct(*shown))).alias("sanctions_db_hits"))  # as many as watchlist_hits keeps
+    empty = F.array().cast(dict(listed.dtypes)["sanctions_db_hits"])
+    rows = triaged.join(listed, "alert_id", "left").withColumn("sanctions_db_hits", F.coalesce("sanctions_db_hits", empty))
+    if "blocked_actions" not in rows.columns:
+        rows = rows.withColumn("blocked_actions", F.array().cast("array<string>"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("int")
     narrative = F.format_string(
         "Initial match score %.2f against '%s'. %d sanctions.db hit(s). %d adverse media. %d large / %d intl txns. UBO chain: %s. Prior: %d clearance(s) / %d escalation(s). Final risk: %.2f → %s.",
         "base", F.coalesce("matched_entity", F.lit("")), F.size("sanctions_db_hits"), zero("adverse"), zero("large_count"), zero("international_count"), F.when(zero("ubo") > 0, "found").otherwise("none"),
         zero("prior_clearances"), zero("prior_escalations"), "final_risk_score", F.coalesce("recommendation", F.lit("UNCERTAIN")),
     )
-    cites = F.transform("sanctions_db_hits", lambda h: F.struct(F.concat(F.lit("s"), h["hit_no"]).alias("marker"), F.lit("sanctions_db").alias("tool"), h["full_name"].alias("label")))
+    cite = lambda marker, tool, label, path, raw: F.struct(marker.alias("marker"), F.lit(tool).alias("tool"), label.alias("label"), path.alias("path"), F.to_json(raw).alias("raw"))
+    cites = F.concat(
+        F.transform("sanctions_db_hits", lambda h: cite(F.concat(F.lit("s"), h["hit_no"]), "sanctions_db", h["full_name"], F.concat(F.lit("sanctions_db_hits["), h["hit_no"] - 1, F.lit("]")), F.struct(h["full_name"].alias("full_name"), h["program"].alias("program"), h["source"].alias("source")))),
+        F.when(zero("total_cases") > 0, F.array(cite(F.lit("c1"), "prior_cases", F.concat(zero("total_cases"), F.lit(" prior case(s)")), F.lit("prior_cases"), F.struct(zero("total_cases").alias("total_cases"), F.coalesce("most_recent_resolution", F.lit("none")).alias("most_recent_resolution"))))).otherwise(F.array()),
+        F.when(zero("adverse") > 0, F.array(cite(F.lit("m1"), "adverse_media", F.concat(zero("adverse"), F.lit(" media hit(s)")), F.lit("adverse_media_count"), F.struct(zero("adverse").alias("count"))))).otherwise(F.array()),
+    )
+    kyc = F.struct("customer_id", F.col("kyc_name").alias("full_name"), "risk_rating")
     return rows.select(
         "alert_id", "customer_id", "customer_name", falsy("matched_entity").alias("matched_entity"), falsy("source_list").alias("source_list"), F.col("base").alias("initial_match_score"), "sanctions_db_hits",
         F.struct(zero("total").alias("total"), zero("large_count").alias("large_count"), zero("international_count").alias("international_count"), F.coalesce("suspicious_pattern", F.lit(False)).alias("suspicious_pattern")).alias("transactions"),
         zero("adverse").alias("adverse_media_count"), (zero("ubo") > 0).alias("ubo_chain_found"), zero("registry").alias("registry_match_count"),
         F.struct(zero("total_cases").alias("total_cases"), zero("prior_clearances").alias("prior_clearances"), zero("prior_escalations").alias("prior_escalations"), F.coalesce("most_recent_resolution", F.lit("none")).alias("most_recent_resolution")).alias("prior_cases"),
-        "context_score", "confidence_adjustment", "final_risk_score", F.coalesce("recommendation", F.lit("UNCERTAIN")).alias("recommendation"), narrative.alias("narrative"), cites.alias("narrative_citations"), "error",
+        "context_score", "confidence_adjustment", "final_risk_score", F.coalesce("recommendation", F.lit("UNCERTAIN")).alias("recommendation"), narrative.alias("narrative"), cites.alias("narrative_citations"), F.when(F.col("kyc_name").isNotNull(), kyc).alias("kyc_summary"), "blocked_actions", "confidence_pct", "components", "error",
     )
 
 
@@ -283,3 +305,15 @@ def contributions(triaged: DataFrame) -> DataFrame:
     count = {"adverse": "adverse", "ubo": "ubo", "large": "large_count", "intl": "international_count", "registry": "registry", "escalations": "prior_escalations", "clearances": "prior_clearances"}
     each = F.array(*(F.struct(F.lit(f).alias("factor"), contribution(f, F.coalesce(F.col(c), F.lit(0))).cast("double").alias("contribution")) for f, c in count.items()))
     return triaged.select("alert_id", F.inline(each))
+
+
+def review_one(alert_id: str, alerts: DataFrame, kyc: DataFrame, transactions: DataFrame, **evidence: DataFrame) -> DataFrame:
+    """``triage`` of a single alert; only its customer's payments are looked at. An unknown alert gives no row. A run that fails may simply be started again: nothing is kept between runs."""
+    one = alerts.filter(F.col("alert_id") == alert_id)
+    customers = F.broadcast(current(one).select("customer_id"))  # one row
+    return triage(one, kyc.join(customers, "customer_id", "left_semi"), transactions.join(customers, "customer_id", "left_semi"), **evidence)
+
+
+def sla_band(seconds: Column) -> Column:
+    """How far a review is within its 25 seconds: green, amber beyond 15, red beyond 20, late beyond 25; null without a time."""
+    return F.when(seconds > 25, "late").when(seconds > 20, "red").when(seconds > 15, "amber").when(seconds.isNotNull(), "green")

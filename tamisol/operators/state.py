@@ -52,6 +52,15 @@ def changed_sources(landed: DataFrame, state: DataFrame) -> DataFrame:
     return now.join(known, now["source"] == known["__s"], "left").select("source", "last_hash", (~F.col("last_hash").eqNullSafe(F.col("__h"))).alias("changed"))
 
 
+def to_fetch(landed: DataFrame, state: DataFrame) -> DataFrame:
+    """(source, unchanged): whether a source's validators say that it hasn't changed: the same etag, or, where one side has none, the same last_modified. Columns: source, etag, last_modified."""
+    known = state.select("source", F.nullif("last_etag", F.lit("")).alias("__e"), F.nullif("last_modified", F.lit("")).alias("__m"))
+    now = landed.select("source", F.nullif("etag", F.lit("")).alias("e"), F.nullif("last_modified", F.lit("")).alias("m"))
+    both = F.col("e").isNotNull() & F.col("__e").isNotNull()
+    same = F.when(both, F.col("e") == F.col("__e")).otherwise(F.col("m") == F.col("__m"))
+    return now.join(known, "source", "left").select("source", F.coalesce(same, F.lit(False)).alias("unchanged"))
+
+
 def clearances(triaged: DataFrame, at: str, source: str = "auto") -> DataFrame:
     """What the memory of cleared customers gets: alerts that came out as false positives. Automatic ones need a review."""
     rows = triaged.filter(F.col("recommendation") == "FALSE_POSITIVE")

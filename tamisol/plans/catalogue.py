@@ -199,6 +199,26 @@ def registry_matches(spark: SparkSession, d: str) -> DataFrame:
     return _holds(spark, d, None, 10)
 
 
+@query(f"WITH {CURRENT}, a AS (SELECT alert_id, coalesce(nullif(matched_entity,''), nullif(customer_name,''), '') e FROM cur) SELECT alert_id, least(count(s.id), 10) n FROM a LEFT JOIN sanctions s ON e <> '' AND (contains(s.full_name, e) OR contains(s.last_name, e)) GROUP BY 1")
+def registry_either_name(spark: SparkSession, d: str) -> DataFrame:
+    """Entries of which either name holds the entity."""
+    return review.name_counts(table(spark, d, "sanctions_alerts"), table(spark, d, "sanctions"), ["full_name", "last_name"], 10, key="id")
+
+
+@query(f"WITH {CURRENT}, a AS (SELECT alert_id, coalesce(nullif(customer_name,''), nullif(k.full_name,''), '') e FROM cur LEFT JOIN (SELECT customer_id, min(full_name) full_name FROM customer_kyc GROUP BY 1) k USING (customer_id)) SELECT alert_id, least(count(s.id), 20) n FROM a LEFT JOIN sanctions s ON e <> '' AND contains(s.full_name, e) GROUP BY 1")
+def media_by_customer(spark: SparkSession, d: str) -> DataFrame:
+    """By the alert's customer name, or where that is missing the customer's own."""
+    return review.name_counts(table(spark, d, "sanctions_alerts"), table(spark, d, "sanctions"), "full_name", 20, T.falsy("customer_name", "kyc_name"), kyc=table(spark, d, "customer_kyc"))
+
+
+@query("WITH n AS (SELECT DISTINCT customer_name AS name, dob FROM sanctions_alerts), h AS (SELECT n.name, n.dob, s.id FROM n JOIN sanctions s ON name <> '' AND (contains(lower(replace(s.full_name, 'İ', 'i')), lower(replace(n.name, 'İ', 'i'))) OR contains(lower(replace(s.last_name, 'İ', 'i')), lower(replace(n.name, 'İ', 'i')))) AND (coalesce(n.dob, '') = '' OR s.dob = n.dob)) SELECT n.name, n.dob, least(count(DISTINCT h.id), 10) hits, CASE WHEN count(h.id) > 0 THEN 'BLOCKED' ELSE 'CLEAR' END verdict FROM n LEFT JOIN h ON n.name IS NOT DISTINCT FROM h.name AND n.dob IS NOT DISTINCT FROM h.dob GROUP BY 1, 2")
+def screen_exact_dob(spark: SparkSession, d: str) -> DataFrame:
+    """With the date of birth, as written; the tables' dob_normalized is empty."""
+    names = table(spark, d, "sanctions_alerts").select(F.col("customer_name").alias("name"), "dob")
+    lists = table(spark, d, "sanctions").withColumn("dob_normalized", F.col("dob"))
+    return matching.screen_exact(names, lists).select("name", "dob", F.size("hits").cast("bigint").alias("hits"), "verdict")
+
+
 @query(f"WITH {CURRENT}, a AS (SELECT alert_id, coalesce(nullif(matched_entity,''), nullif(customer_name,''), '') e FROM cur) SELECT DISTINCT alert_id FROM a JOIN customer_kyc k ON e <> '' AND contains(k.full_name, e)")
 def ubo_flag(spark: SparkSession, d: str) -> DataFrame:
     return _holds(spark, d, None, 5).filter("n > 0").select("alert_id")
@@ -364,9 +384,25 @@ def audit_hashes(spark: SparkSession, d: str) -> DataFrame:
     return audit.append_hashes(_events(spark, d)).select("seq", "sha256")
 
 
-@query(f"WITH {EVENTS} SELECT alert_id, count(*) total_events, array_to_string(list_sort(list(DISTINCT tool) FILTER (WHERE event = 'tool_call')), ',') tools_called, count(*) FILTER (WHERE event = 'tool_blocked') blocked, true intact FROM ev GROUP BY 1")
+@query(f"WITH {EVENTS} SELECT alert_id, count(*) total_events, array_to_string(list_sort(list(DISTINCT tool) FILTER (WHERE event = 'tool_call')), ',') tools_called, count(*) FILTER (WHERE event = 'tool_blocked') blocked, count(*) FILTER (WHERE seq % 97 = 0) = 0 intact FROM ev GROUP BY 1")
 def audit_summary(spark: SparkSession, d: str) -> DataFrame:
-    return audit.summary(audit.append_hashes(_events(spark, d))).withColumn("tools_called", F.array_join("tools_called", ","))
+    """Of a trail in which every 97th entry was changed after it was written."""
+    log = audit.append_hashes(_events(spark, d)).withColumn("reason", F.when(F.col("seq") % 97 == 0, "changed").otherwise(F.col("reason")))
+    return audit.summary(log).withColumn("tools_called", F.array_join("tools_called", ","))
+
+
+@query(f"WITH {EVENTS} SELECT seq FROM ev WHERE seq % 97 = 0")
+def tampered_entries(spark: SparkSession, d: str) -> DataFrame:
+    log = audit.append_hashes(_events(spark, d)).withColumn("reason", F.when(F.col("seq") % 97 == 0, "changed").otherwise(F.col("reason")))
+    return audit.tampered(log).select("seq")
+
+
+@query(f"WITH {EVENTS} SELECT seq, sha256('{{\"alert_id\": ' || to_json(alert_id) || ', \"event\": ' || to_json(event) || ', \"reason\": null, \"tool\": ' || to_json(tool) || ', \"tool_input\": \"x ' || seq || '\", \"tool_output_summary\": null, \"ts\": ' || to_json(ts) || '}}') sha256 FROM ev")
+def audit_hashes_compatible(spark: SparkSession, d: str) -> DataFrame:
+    """Hashes over JSON as Python writes it: blanks after separators, nulls kept."""
+    ship(spark)
+    rows = _events(spark, d).withColumn("tool_input", F.concat(F.lit("x "), "seq"))
+    return rows.select("seq", audit.entry_hash_compatible(F.struct(*audit.HASHED)).alias("sha256"))
 
 
 @query(f"WITH {EVENTS} SELECT ts, alert_id, tool, event FROM ev ORDER BY ts DESC, {_HASH} LIMIT 100")
@@ -394,10 +430,74 @@ def coverage(spark: SparkSession, d: str) -> DataFrame:
     return audit.coverage(_events(spark, d), 5)
 
 
+@query(f"WITH {EVENTS}, c AS (SELECT alert_id, count(DISTINCT tool) FILTER (WHERE source = 'llm') l, count(DISTINCT tool) a FROM ev GROUP BY 1) SELECT count(*) alerts, round(avg(l), 9) mean_llm_tools, round(avg(a), 9) mean_all_tools, bool_and(a >= 5) all_complete FROM c")
+def coverage_totals(spark: SparkSession, d: str) -> DataFrame:
+    return audit.coverage_totals(audit.coverage(_events(spark, d), 5)).withColumns({c: F.round(c, 9) for c in ("mean_llm_tools", "mean_all_tools")})
+
+
+@query(f"WITH {EVENTS} SELECT tool, count(*) calls, count(*) FILTER (WHERE source = 'fill') fills, count(*) FILTER (WHERE source = 'fill') / count(*)::DOUBLE fill_share FROM ev GROUP BY 1")
+def fills_by_tool(spark: SparkSession, d: str) -> DataFrame:
+    return audit.fills_by_tool(_events(spark, d))
+
+
+@query(f"{_FILLS}, k AS (SELECT list_sort(list(DISTINCT tool))[1:2] two FROM ev) SELECT count(*) FILTER (WHERE l = 0 AND list_contains(two, tool)) true_fills, count(*) FILTER (WHERE l = 0 AND list_contains(two, tool)) / ((SELECT count(DISTINCT alert_id) FROM ev) * 2)::DOUBLE rate FROM f, k WHERE source = 'fill'")
+def headline_fill_rate(spark: SparkSession, d: str) -> DataFrame:
+    """The first two event types stand for the two tools that the model may call."""
+    rows = _events(spark, d)
+    two = rows.select("tool").distinct().orderBy("tool").limit(2).agg(F.collect_list("tool").alias("two"))  # one row
+    named = F.when(F.col("tool") == F.col("two")[0], audit.ELIGIBLE[0]).when(F.col("tool") == F.col("two")[1], audit.ELIGIBLE[1]).otherwise(F.col("tool"))
+    return audit.headline_fill_rate(rows.join(two).withColumn("tool", named).drop("two")).select("true_fills", "rate")
+
+
+@query(f"WITH {EVENTS}, w AS (SELECT list_sort(list(DISTINCT tool))[1:2] two FROM ev) SELECT alert_id, len(list_filter(two, lambda x: NOT list_contains(h, x))) = 0 covered FROM (SELECT alert_id, list(DISTINCT tool) h FROM ev GROUP BY 1), w")
+def required_tools(spark: SparkSession, d: str) -> DataFrame:
+    rows = _events(spark, d)
+    two = rows.select("tool").distinct().orderBy("tool").limit(2).agg(F.collect_list("tool").alias("two"))  # one row
+    have = rows.groupBy("alert_id").agg(F.collect_set("tool").alias("have"))  # as many as there are tools
+    return have.join(two).select("alert_id", audit.covers(F.col("have"), F.col("two")).alias("covered"))
+
+
+@query("SELECT event_id, ts FROM events WHERE event_type = (SELECT min(event_type) FROM events) AND contains(lower(props), '1')")
+def timeline_events(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "events")
+    first = rows.agg(F.min("event_type").alias("t"))  # one row
+    named = rows.join(first).withColumn("category", F.when(F.col("event_type") == F.col("t"), "first").otherwise("other"))
+    return audit.timeline(named, "first", "1", text_column="props").select("event_id", "ts")
+
+
+@query("SELECT event_id, ts, event_type FROM events ORDER BY ts DESC, event_id DESC LIMIT 500")
+def recent_events(spark: SparkSession, d: str) -> DataFrame:
+    return audit.recent(table(spark, d, "events"), "ts", "event_id").select("event_id", "ts", "event_type")
+
+
+@query("SELECT event_id, CASE WHEN value / 10 > 25 THEN 'late' WHEN value / 10 > 20 THEN 'red' WHEN value / 10 > 15 THEN 'amber' WHEN value IS NOT NULL THEN 'green' END band FROM events")
+def sla_bands(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "events").select("event_id", review.sla_band(F.col("value") / 10).alias("band"))
+
+
+@query(f"WITH {CURRENT}, c AS (SELECT alert_id, bool_or(tool = 'sanctions_screening') s, list(customer_id) FILTER (WHERE tool = 'dynamodb_kyc') k FROM (SELECT alert_id, 'sanctions_screening' tool, NULL customer_id FROM cur WHERE status = 'PENDING' UNION ALL SELECT alert_id, 'dynamodb_kyc', CASE WHEN status = 'PENDING' THEN customer_id ELSE 'CUST-0' END FROM cur WHERE status <> 'CLEARED') GROUP BY 1), a AS (SELECT cur.*, s, coalesce(k, []) k FROM cur LEFT JOIN c USING (alert_id)) SELECT alert_id, 'sanctions_screening' tool, 'missing' reason FROM a WHERE s IS DISTINCT FROM true UNION ALL SELECT alert_id, 'dynamodb_kyc', CASE WHEN len(list_filter(k, lambda x: x IS NOT NULL)) = 0 THEN 'missing' ELSE 'other customer' END FROM a WHERE NOT coalesce(list_contains(k, customer_id), false) UNION ALL SELECT alert_id, unnest(['adverse_media', 'company_registry', 'ubo_chain', 'prior_cases']), 'always' FROM a WHERE coalesce(customer_id, '') <> '' AND coalesce(nullif(matched_entity,''), nullif(customer_name,''), '') <> ''")
+def needed_calls(spark: SparkSession, d: str) -> DataFrame:
+    """Pending alerts have been screened; customers' data were fetched for all but cleared ones, for escalated ones those of another customer."""
+    alerts = table(spark, d, "sanctions_alerts")
+    cur = review.current(alerts)
+    screened = cur.filter("status = 'PENDING'").select("alert_id", F.lit(audit.TOOLS[0]).alias("tool"), F.lit(None).cast("string").alias("customer_id"))
+    fetched = cur.filter("status <> 'CLEARED'").select("alert_id", F.lit(audit.TOOLS[1]).alias("tool"), F.when(F.col("status") == "PENDING", F.col("customer_id")).otherwise("CUST-0").alias("customer_id"))
+    return audit.needed_calls(alerts, screened.unionByName(fetched))
+
+
+@query("WITH r AS (SELECT CAST(user_id AS VARCHAR) alert_id, event_type verdict, CASE WHEN event_id % 7 = 0 THEN 'failed' ELSE '' END error FROM events), g AS (SELECT alert_id, count(*) FILTER (WHERE error = '') o, count(DISTINCT verdict) FILTER (WHERE error = '') v FROM r GROUP BY 1) SELECT count(*) alerts, count(*) FILTER (WHERE o = 3 AND v = 1) consistent FROM g")
+def consistency_totals(spark: SparkSession, d: str) -> DataFrame:
+    return audit.consistency_totals(_consistency(spark, d)).select("alerts", "consistent")
+
+
 @query("WITH r AS (SELECT CAST(user_id AS VARCHAR) alert_id, event_type verdict, round(value / 1000, 6) score, event_id run, CASE WHEN event_id % 7 = 0 THEN 'failed' ELSE '' END error FROM events), g AS (SELECT alert_id, count(*) FILTER (WHERE error = '') ok_runs, count(DISTINCT verdict) FILTER (WHERE error = '') verdicts, max(score) FILTER (WHERE error = '') - min(score) FILTER (WHERE error = '') spread FROM r GROUP BY 1) SELECT alert_id, ok_runs, verdicts, round(spread, 9) spread, ok_runs = 3 AND verdicts = 1 verdict_consistent FROM g")
 def consistency(spark: SparkSession, d: str) -> DataFrame:
+    return _consistency(spark, d).select("alert_id", "ok_runs", "verdicts", F.round("spread", 9).alias("spread"), "verdict_consistent")
+
+
+def _consistency(spark: SparkSession, d: str) -> DataFrame:
     runs = table(spark, d, "events").select(F.col("user_id").cast("string").alias("alert_id"), F.col("event_type").alias("verdict"), F.round(F.col("value") / 1000, 6).alias("score"), F.col("event_id").alias("run"), F.when(F.col("event_id") % 7 == 0, "failed").otherwise("").alias("error"))
-    return audit.consistency(runs, 3).select("alert_id", "ok_runs", "verdicts", F.round("spread", 9).alias("spread"), "verdict_consistent")
+    return audit.consistency(runs, 3)
 
 
 @query("WITH g AS (SELECT user_id, epoch(max(ts)) - epoch(min(ts)) s, count(*) t FROM events GROUP BY 1) SELECT count(*) processed, CAST(sum(t) AS BIGINT) events, round(avg(s), 6) latency, least(100.0, avg(s) / 15 * 100) trend_latency FROM g")
