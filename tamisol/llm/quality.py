@@ -9,7 +9,7 @@ from __future__ import annotations
 import random
 import re
 import warnings
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from operator import and_
 
 import numpy as np
@@ -52,18 +52,14 @@ def statistics(text: str | None, common: list[frozenset[str]]) -> list[float]:
     hits = list(map(best.__contains__, letters))
     symbols, digits = len(_SYMBOL.findall(text)), len(_DIGIT.findall(text))
     lines = [x.strip() for x in text.split("\n") if x.strip()]
-    plain, frequent = [], []
-    for t in text.lower().split():
-        core = t.strip(_EDGES)
-        if core.isalpha():
-            plain.append(True)
-            frequent.append(core in best)
-        elif core and core.translate(_INNER).isalpha():
-            plain.append(True)
-            frequent.append(sum(map(best.__contains__, _LETTERS.findall(core))))
-        else:
-            plain.append(False)
-            frequent.append(0)
+    cores = [x.strip(_EDGES) for x in text.lower().split()]
+    plain = list(map(str.isalpha, cores))
+    frequent = list(map(best.__contains__, cores))
+    for i, core in enumerate(cores):
+        if not plain[i]:
+            inner = core.translate(_INNER).isalpha() if core else False
+            plain[i] = inner
+            frequent[i] = sum(map(best.__contains__, _LETTERS.findall(core))) if inner else 0
     running = 0
     for i, j in _windows(n):
         size = j - i
@@ -85,16 +81,40 @@ def statistics(text: str | None, common: list[frozenset[str]]) -> list[float]:
     ]
 
 
+def by_language(common_words: DataFrame) -> list[frozenset[str]]:
+    """The frequent words of each language; a list of stated size, which goes to the driver and to every task."""
+    by: dict[str, set[str]] = {}
+    for r in common_words.select("lang", "word").filter("word is not null").collect():
+        by.setdefault(r.lang or "", set()).add(r.word.lower())
+    return [frozenset(by[k]) for k in sorted(by)]
+
+
+def prose_judge(docs: DataFrame, common: list[frozenset[str]], rows: int = 5_000, key: str = "doc_id", text: str = "text") -> Callable[[list[str | None]], np.ndarray]:
+    """A function from texts to their posteriors of prose, by a mixture fitted on a sample of some ``rows`` documents; with fewer documents, on all.
+
+    The sample is taken by a hash of the key, so it's the same each time; blank texts get 0.
+    """
+    total = docs.count()
+    part = F.pmod(F.xxhash64(F.lit(1), F.col(key)), F.lit(1_000_000)) < int(1_000_000 * min(1.0, rows / max(total, 1))) + 1
+    sampled = sorted(((r[0], r[1]) for r in docs.select(F.col(key), F.col(text)).filter(part).collect()), key=lambda r: (hash(r[0]), r[1] or ""))
+    model = fit(np.asarray([statistics(t, common) for _, t in sampled]), key, common) if sampled else None
+    prose = np.asarray([label == "prose" for label in labelled(model, common)], float) if model else None
+
+    def judge(texts: list[str | None]) -> np.ndarray:
+        x = np.asarray([statistics(t, common) for t in texts])
+        if model is None or not len(x):
+            return np.zeros(len(texts))
+        return np.where(x[:, 0] == 0, 0.0, model.posterior(model.standardised(x))[0] @ prose)
+
+    return judge
+
+
 def with_statistics(docs: DataFrame, common_words: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, STATISTICS...) of every row; one row per row of ``docs``, repeated rows included, extra columns ignored.
 
     ``common_words`` is a word list of stated size; it goes to the driver and to every task.
     """
-    listed = common_words.select("lang", "word").filter("word is not null").collect()
-    by: dict[str, set[str]] = {}
-    for r in listed:
-        by.setdefault(r.lang or "", set()).add(r.word.lower())
-    common = [frozenset(by[k]) for k in sorted(by)]
+    common = by_language(common_words)
 
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -136,7 +156,7 @@ class Mixture:
         return e / total, (top + np.log(total))[:, 0]
 
 
-def _sums(rows: DataFrame, width: int, each) -> np.ndarray:
+def _sums(rows: DataFrame | np.ndarray, width: int, each) -> np.ndarray:
     """Sum over all rows of what ``each`` makes of a batch's matrix. Tasks' vectors are added up by position, so ``width`` numbers reach the driver, however many tasks there are."""
 
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,6 +166,8 @@ def _sums(rows: DataFrame, width: int, each) -> np.ndarray:
                 total += each(np.column_stack([b.column(i).to_numpy(zero_copy_only=False) for i in range(b.num_columns)]))
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(width, dtype=np.int32)), pa.array(total)], ["k", "v"])
 
+    if isinstance(rows, np.ndarray):
+        return each(rows) if len(rows) else np.zeros(width)
     out = np.zeros(width)
     for r in rows.select(*STATISTICS).mapInArrow(scan, "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).collect():
         out[r.k] = r.v
@@ -170,8 +192,8 @@ def _initial(z: np.ndarray, k: int, anchors: np.ndarray) -> tuple[np.ndarray, np
     return share / share.sum(), means, spread + 0.1 * np.eye(z.shape[1])
 
 
-def fit(rows: DataFrame, key: str = "doc_id", common: list[frozenset[str]] | None = None) -> Mixture | None:
-    """Expectation-maximisation over all rows with STATISTICS; None for an empty table. Only the first means come from a sample of SEED_ROWS rows
+def fit(rows: DataFrame | np.ndarray, key: str = "doc_id", common: list[frozenset[str]] | None = None) -> Mixture | None:
+    """Expectation-maximisation over all rows with STATISTICS, or over a matrix of them; None for an empty table. Only the first means come from a sample of SEED_ROWS rows
     and from the inspected examples, one mean for each kind of them."""
     d = len(STATISTICS) - 1
     moments = _sums(rows, 1 + 2 * d, lambda x: np.concatenate([[len(x)], Mixture.transform(x).sum(0), (Mixture.transform(x) ** 2).sum(0)]))
@@ -180,8 +202,8 @@ def fit(rows: DataFrame, key: str = "doc_id", common: list[frozenset[str]] | Non
         return None
     centre = moments[1 : d + 1] / n
     scale = np.sqrt(np.maximum(moments[d + 1 :] / n - centre**2, 1e-4))
-    seeds = rows.orderBy(F.xxhash64(key, "word_count"), key).limit(SEED_ROWS).select(*STATISTICS).collect()
-    z = (Mixture.transform(np.asarray([list(r) for r in seeds])) - centre) / scale
+    seeds = rows[:SEED_ROWS] if isinstance(rows, np.ndarray) else np.asarray([list(r) for r in rows.orderBy(F.xxhash64(key, "word_count"), key).limit(SEED_ROWS).select(*STATISTICS).collect()])
+    z = (Mixture.transform(seeds) - centre) / scale
     kinds: dict[str, list[list[float]]] = {}
     for kind, t in examples():
         kinds.setdefault(kind, []).append(statistics(t, common or []))
@@ -299,10 +321,7 @@ def labelled(model: Mixture, common: list[frozenset[str]]) -> list[str]:
 def classified(docs: DataFrame, common_words: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, STATISTICS..., label, prose): label is prose, list, table or junk; prose the posterior of prose. Blank texts are junk with prose 0."""
     rows = materialise(with_statistics(docs, common_words, key, text), "statistics")
-    by: dict[str, set[str]] = {}
-    for r in common_words.select("lang", "word").filter("word is not null").collect():
-        by.setdefault(r.lang or "", set()).add(r.word.lower())
-    common = [frozenset(by[k]) for k in sorted(by)]
+    common = by_language(common_words)
     model = fit(rows, key, common)
     schema = f"{key} long, " + ", ".join(f"{s} double" for s in STATISTICS) + ", label string, prose double"
     if model is None:

@@ -73,7 +73,7 @@ def p8_cleaned(spark: SparkSession, d: str) -> DataFrame:
 
 def p9_selection(spark: SparkSession, d: str) -> DataFrame:
     ship(spark)
-    return mixing.selection(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+    return mixing.selection(table(spark, d, "documents"), table(spark, d, "mix_targets"), table(spark, d, "common_words"))
 
 
 def p9_shares(spark: SparkSession, d: str) -> DataFrame:

@@ -167,6 +167,14 @@ def test_mix_prefix_sums_are_exact(spark, monkeypatch):
     assert mixing.selection(df.limit(0), targets).count() == 0 and mixing.selection(df, targets.limit(0)).count() == 0
 
 
+def test_prose_weighs_more(spark):
+    docs, common, truth = quality_tables(spark)
+    rows = mixing.with_tokens(docs.withColumn("source", F.lit("s")), common).collect()
+    prose = [r.weight for r in rows if r.doc_id not in truth and r.doc_id < 5000]
+    assert len(rows) == 903 and min(r.weight for r in rows) == mixing.LEAST and np.mean(prose) > 0.9 and np.mean([r.weight for r in rows if r.doc_id in truth]) < 0.1
+    assert mixing.with_tokens(docs.limit(0).withColumn("source", F.lit("s")), common).count() == 0
+
+
 def test_heavier_documents_come_first_more_often(spark):
     rows = spark.range(20_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 2 == 0, 0.9).otherwise(0.3).alias("weight"))
     first = mixing._keys(rows).orderBy("key").limit(2000).groupBy((F.col("doc_id") % 2).alias("odd")).count().collect()
