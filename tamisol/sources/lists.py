@@ -108,15 +108,17 @@ def eu_xml(spark: SparkSession, path: str, source: str = "eu_xml", authority: st
 
 def uk_csv(spark: SparkSession, path: str, source: str = "uk_csv", authority: str = "UK Treasury / OFSI", region: str = "UK") -> DataFrame:
     """The UK list behind its preamble: the header is the line that begins with Last Updated; of rows with one id and name the first counts."""
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", r"\r?\n")).alias("pos", "line")).filter("trim(line) <> ''")
-    header = lines.filter(F.lower("line").startswith("last updated")).orderBy("pos").limit(1).collect()
-    if not header:
-        header = lines.orderBy("pos").limit(1).collect()
+    lines = spark.read.text(path).select("value", F.monotonically_increasing_id().alias("pos")).filter("trim(value) <> ''")
+    header = lines.filter(F.lower("value").startswith("last updated")).orderBy("pos").limit(1).collect() or lines.orderBy("pos").limit(1).collect()
     if not header:
         return as_entries(spark.createDataFrame([], "source string"))
-    names = [r for r in spark.range(1).select(F.from_csv(F.lit(header[0].line), ", ".join(f"c{i} string" for i in range(header[0].line.count(",") + 1))).alias("h")).collect()[0].h if r is not None]
-    schema = ", ".join(f"c{i} string" for i in range(len(names)))
-    rows = lines.filter(F.col("pos") > header[0].pos).select("pos", F.from_csv("line", schema, {"quote": '"', "escape": '"'}).alias("r"))
+    line = header[0].value
+    names = [r for r in spark.range(1).select(F.from_csv(F.lit(line), ", ".join(f"c{i} string" for i in range(line.count(",") + 1))).alias("h")).collect()[0].h if r is not None]
+    # records, not lines: a quoted field may hold line ends; one file is one task, in the file's order
+    records = spark.read.option("multiLine", "true").option("quote", '"').option("escape", '"').schema(", ".join(f"c{i} string" for i in range(len(names)))).csv(path)
+    records = records.select(F.monotonically_increasing_id().alias("pos"), F.struct(*records.columns).alias("r"))
+    first = records.filter(F.trim("r.c0") == names[0].strip()).agg(F.min("pos").alias("__first"))  # one row
+    rows = records.join(first).filter(F.col("pos") > F.col("__first")).drop("__first")
     at = {n.strip(): i for i, n in enumerate(names)}
     get = lambda n: _t(F.col(f"r.c{at[n]}")) if n in at else F.lit("")
     given = F.trim(F.concat_ws(" ", *(get(f"Name {i}") for i in range(1, 6))))  # empty parts keep their blank inside
@@ -138,10 +140,11 @@ class _Page(HTMLParser):
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.rows: list[list[str]] = []
+        self.rows: list[tuple[list[str], int]] = []
         self.lines: list[str] = []
         self.links: list[tuple[str, str]] = []
-        self._stack: list[tuple[str, bool]] = []
+        self._stack: list[tuple[str, bool, bool]] = []
+        self._tables = 0
         self._row: list[list[str]] | None = None
         self._link: tuple[str, list[str]] | None = None
 
@@ -149,7 +152,9 @@ class _Page(HTMLParser):
         a = dict(attrs)
         if tag not in self.VOID:
             classes = (a.get("class") or "").split()
-            self._stack.append((tag, tag in self.SKIPPED or bool({"menu", "navbar", "sidebar"} & set(classes))))
+            if tag == "table" and self._inside("field-content") and not self._inside("table"):
+                self._tables += 1
+            self._stack.append((tag, tag in self.SKIPPED or bool({"menu", "navbar", "sidebar"} & set(classes)), "field-content" in classes))
         if tag == "tr":
             self._row = []
         elif tag in ("td", "th") and self._row is not None:
@@ -157,19 +162,23 @@ class _Page(HTMLParser):
         elif tag == "a" and a.get("href"):
             self._link = (a["href"], [])
 
+    def _inside(self, what: str) -> bool:
+        return any(c if what == "field-content" else x == what for x, _, c in self._stack)
+
     def handle_endtag(self, tag):
         while self._stack:
             if self._stack.pop()[0] == tag:
                 break
         if tag == "tr" and self._row is not None:
-            self.rows.append([" ".join(" ".join(c).split()) for c in self._row])
+            scope = self._tables if self._inside("field-content") and self._inside("table") else 0
+            self.rows.append(([" ".join(" ".join(c).split()) for c in self._row], scope))
             self._row = None
         elif tag == "a" and self._link:
             self.links.append((self._link[0], " ".join(" ".join(self._link[1]).split())))
             self._link = None
 
     def handle_data(self, data):
-        if any(skip for _, skip in self._stack) or not data.strip():
+        if any(skip for _, skip, _ in self._stack) or not data.strip():
             return
         self.lines += [x.strip() for x in data.split("\n") if x.strip()]
         if self._row:
@@ -179,7 +188,10 @@ class _Page(HTMLParser):
 
 
 def html_parts(pages: DataFrame) -> DataFrame:
-    """(kind, pos, cells, href) of pages (column html): rows of tables, lines of text, links, in the order of each page. Broken pages give what can be read."""
+    """(kind, pos, cells, href, scope) of pages (column html): rows of tables, lines of text, links, in the order of each page. Broken pages give what can be read.
+
+    scope: of a row, which table inside an element of the class field-content it is in, counted from 1; 0 outside of these.
+    """
 
     def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -188,10 +200,10 @@ def html_parts(pages: DataFrame) -> DataFrame:
                 p = _Page()
                 p.feed(html or "")
                 p.close()
-                out += [("row", i, c, "") for i, c in enumerate(p.rows)] + [("line", i, [t], "") for i, t in enumerate(p.lines)] + [("link", i, [t], h) for i, (h, t) in enumerate(p.links)]
-            yield pd.DataFrame(out, columns=["kind", "pos", "cells", "href"])
+                out += [("row", i, c, "", s) for i, (c, s) in enumerate(p.rows)] + [("line", i, [t], "", 0) for i, t in enumerate(p.lines)] + [("link", i, [t], h, 0) for i, (h, t) in enumerate(p.links)]
+            yield pd.DataFrame(out, columns=["kind", "pos", "cells", "href", "scope"])
 
-    return pages.select("html").mapInPandas(scan, "kind string, pos int, cells array<string>, href string")
+    return pages.select("html").mapInPandas(scan, "kind string, pos int, cells array<string>, href string, scope int")
 
 
 def _pages(spark: SparkSession, path: str) -> DataFrame:
@@ -209,9 +221,9 @@ def _listed(rows: DataFrame, program: str, raw: dict[str, str], source: str, aut
 
 
 def banned_organisations_html(spark: SparkSession, path: str, source: str = "mha_uapa", authority: str = "Ministry of Home Affairs", region: str = "INDIA") -> DataFrame:
-    """Tables of a serial number and a name, which is the longest cell that isn't a number."""
+    """The first table of the page's content, with a serial number and a name, which is the longest cell that isn't a number."""
     cells = F.filter("cells", lambda c: c != "")
-    rows = html_parts(_pages(spark, path)).filter("kind = 'row'").withColumn("cells", cells).filter(F.size("cells") >= 2)
+    rows = html_parts(_pages(spark, path)).filter("kind = 'row' and scope = 1").withColumn("cells", cells).filter(F.size("cells") >= 2)
     joined = F.lower(F.array_join("cells", " "))
     words = F.filter("cells", lambda c: ~c.rlike(r"^\d+$"))
     longest = F.array_max(F.transform(words, lambda c, i: F.struct(F.length(c).alias("n"), (-i).alias("i"), c.alias("c"))))["c"]
@@ -222,7 +234,7 @@ def banned_organisations_html(spark: SparkSession, path: str, source: str = "mha
 
 def banned_individuals_html(spark: SparkSession, path: str, source: str = "mha_uapa", authority: str = "Ministry of Home Affairs", region: str = "INDIA") -> DataFrame:
     """The same for people: the name is the first cell that isn't a number."""
-    rows = html_parts(_pages(spark, path)).filter("kind = 'row'").withColumn("cells", F.filter("cells", lambda c: c != "")).filter(F.size("cells") >= 2)
+    rows = html_parts(_pages(spark, path)).filter("kind = 'row' and scope = 1").withColumn("cells", F.filter("cells", lambda c: c != "")).filter(F.size("cells") >= 2)
     name = F.try_element_at(F.filter("cells", lambda c: ~c.rlike(r"^\d+$")), F.lit(1))
     joined = F.lower(F.array_join("cells", " "))
     rows = rows.filter(~(joined.contains("name") & joined.contains("sl"))).select("pos", name.alias("full_name")).filter(valid_entity_name(F.col("full_name"))).withColumn("entity_type", F.lit("individual"))
@@ -241,6 +253,25 @@ def debarred_html(spark: SparkSession, path: str, source: str = "sebi_debarred",
     return _listed(numbered_names(lines), "SEBI_DEBARRED", {"source_list": "SEBI_DEBARRED"}, source, authority, region)
 
 
+def table_names(rows: DataFrame) -> DataFrame:
+    """(pos, full_name, entity_type) from tables that were cut out of an order: (table, pos, cells), the first row of each being its header.
+
+    The name stands in the column whose heading says so, else in the second one; tables of a single row or column give nothing.
+    """
+    first = rows.groupBy("table").agg(F.min_by("cells", "pos").alias("__head"), F.min("pos").alias("__at"))
+    heads = F.transform("__head", lambda h: F.lower(F.coalesce(h, F.lit(""))))
+    named = F.array_position(F.transform(heads, lambda h: h.contains("name")), True)
+    column = F.when(named > 0, named).when(F.size("__head") >= 2, 2).cast("int")
+    name = clean_text(name_before_status(clean_text(F.coalesce(F.try_element_at("cells", F.col("__column")), F.lit("")))))
+    found = rows.join(first, "table").withColumn("__column", column).filter((F.col("pos") > F.col("__at")) & F.col("__column").isNotNull()).select("pos", name.alias("full_name"))
+    return found.filter(is_name_line(F.col("full_name")) & valid_entity_name(F.col("full_name"))).withColumn("entity_type", entity_class(F.col("full_name")))
+
+
+def debarred_tables(rows: DataFrame, source: str = "sebi_debarred", authority: str = "Securities regulator", region: str = "INDIA") -> DataFrame:
+    """Entries from the tables of an order (table, pos, cells)."""
+    return _listed(table_names(rows), "SEBI_DEBARRED", {"source_list": "SEBI_DEBARRED", "extracted_via": "table"}, source, authority, region)
+
+
 def debarred_text(spark: SparkSession, path: str, source: str = "sebi_debarred", authority: str = "Securities regulator", region: str = "INDIA") -> DataFrame:
     """The same from the text of an order, one line per row; decoding PDF files is outside of this library."""
     lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", r"\r?\n")).alias("pos", "line"))

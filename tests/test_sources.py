@@ -43,14 +43,22 @@ def test_csv_lists(spark, tmp_path):
     rows = lists.uk_csv(spark, put(tmp_path, "uk.csv", uk)).orderBy("full_name").collect()
     assert [(r.full_name, r.dob, r.nationality, r.program) for r in rows] == [("Anna  Lena BERG", "01/01/1960", "German", "R"), ("Firm", "", "", "UK_SANCTIONS")]
     assert lists.uk_csv(spark, put(tmp_path, "none.csv", "")).count() == 0
+    torn = 'Last Updated,Unique ID,Name 6,Regime Name\n1,U1,"BERG\nHANSEN, ""X""",R\n2,U2,Firm,"a, b"\n'
+    assert [(" ".join(r.full_name.split()), r.program) for r in lists.uk_csv(spark, put(tmp_path, "torn.csv", torn)).orderBy("full_name").collect()] == [('BERG HANSEN, "X"', "R"), ("Firm", "a, b")]
 
 
 PAGE = """<html><nav><table><tr><td>1</td><td>Menu Home Entry</td></tr></table></nav><div class="field-content"><table><tr><th>Sl No</th><th>Organisation</th></tr><tr><td>1</td><td>Long <b>Organised</b> Front</td></tr><tr><td>2</td><td>long organised front</td></tr><tr><td>3</td><td>Second&nbsp;Army</td><td>x</td></tr><tr><td>4</td></tr></table></div>
 <p>1. Some Person Kumar debarred from trading</p><p>2) Acme Projects Ltd.</p><p>no number</p><a href="/files/a.pdf">Alpha Traders Limited</a><a href="http://h/b.PDF">Beta Person Name</a><a href="c.html">Gamma Person</a><a href="/files/a.pdf">again same</a></html>"""
 
 
+def test_tables_of_orders(spark):
+    rows = [("a", 0, ["S.No", "Status", "Name of the person"]), ("a", 1, ["1", "x", "Ravi Kumar Menon debarred from trading"]), ("a", 2, ["2", "x"]), ("b", 0, ["1", "Party"]), ("b", 1, ["2", "Acme Projects Limited"]), ("c", 0, ["Lone Column"]), ("c", 1, ["Nobody Here"])]
+    got = lists.debarred_tables(spark.createDataFrame(rows, "table string, pos int, cells array<string>")).collect()
+    assert {r.full_name: r.entity_type for r in got} == {"Ravi Kumar Menon": "individual", "Acme Projects Limited": "organisation"}
+
+
 def test_html_lists(spark, tmp_path):
-    path = put(tmp_path, "p.html", PAGE)
+    path = put(tmp_path, "p.html", PAGE.replace("<p>1.", "<table><tr><td>9</td><td>Outside Army Front</td></tr></table><p>1.", 1))
     assert sorted(r.full_name for r in lists.banned_organisations_html(spark, path).collect()) == ["Long Organised Front", "Second Army"]
     people = lists.banned_individuals_html(spark, path).filter("full_name = 'Second Army'").collect()[0]
     assert (people.first_name, people.last_name, people.entity_type) == ("Second", "Army", "individual")
