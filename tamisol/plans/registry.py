@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tamisol.plans import catalogue, preparation
+from tamisol.plans import catalogue, landed, preparation  # noqa: F401 (landed adds its queries to the catalogue)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
