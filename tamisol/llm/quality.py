@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from tamisol.session import materialise
 
-#: Components, most iterations, least gain of the mean log likelihood, ridge on covariances, rows that seed the means.
+#: Components, most iterations, least gain of the mean log likelihood, ridge on covariances, rows (about) that seed the means.
 COMPONENTS, ITERATIONS, GAIN, RIDGE, SEED_ROWS = 24, 20, 2e-3, 0.08, 4_000
 
 #: Squared distance, in a component's own units, up to which an example speaks for it.
@@ -202,7 +202,12 @@ def fit(rows: DataFrame | np.ndarray, key: str = "doc_id", common: list[frozense
         return None
     centre = moments[1 : d + 1] / n
     scale = np.sqrt(np.maximum(moments[d + 1 :] / n - centre**2, 1e-4))
-    seeds = rows[:SEED_ROWS] if isinstance(rows, np.ndarray) else np.asarray([list(r) for r in rows.orderBy(F.xxhash64(key, "word_count"), key).limit(SEED_ROWS).select(*STATISTICS).collect()])
+    if isinstance(rows, np.ndarray):
+        seeds = rows[:SEED_ROWS]
+    else:  # by a share of the hash values, so that every task sends its part only
+        part = F.pmod(F.xxhash64(key, "word_count"), F.lit(1_000_000)) <= int(1_000_000 * min(1.0, SEED_ROWS / n))
+        seeds = np.asarray(sorted(list(r) for r in rows.filter(part).select(*STATISTICS).collect()))
+        seeds = seeds if len(seeds) else np.asarray([list(r) for r in rows.select(*STATISTICS).limit(1).collect()])
     z = (Mixture.transform(seeds) - centre) / scale
     kinds: dict[str, list[list[float]]] = {}
     for kind, t in examples():
