@@ -236,7 +236,15 @@ def normalised_names(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "sanctions").select("full_name").distinct().withColumn("norm", T.normalise("full_name"))
 
 
-@query()
+_ISO, _DMY = "regexp_extract(s, '^(\\d{4})-(\\d{1,2})-(\\d{1,2})', ['a', 'b', 'c'])", "regexp_extract(s, '^(\\d{1,2})[/.-](\\d{1,2})[/.-](\\d{4})', ['c', 'b', 'a'])"
+_MADE = "CASE WHEN try_cast({x}.b AS INT) BETWEEN 1 AND 12 AND try_cast({x}.c AS INT) BETWEEN 1 AND 31 THEN {x}.a || '-' || lpad(CAST(try_cast({x}.b AS INT) AS VARCHAR), 2, '0') || '-' || lpad(CAST(try_cast({x}.c AS INT) AS VARCHAR), 2, '0') END"
+_MONTH = "MAP {" + ", ".join(f"'{m}': {n}" for m, n in T._MONTHS.items()) + "}"
+
+
+@query(f"""WITH v AS (SELECT id, dob, trim(coalesce(dob, ''), ' ') s FROM sanctions), w AS (SELECT *, {_ISO} i, {_DMY} j, regexp_extract_all(lower(s), '([a-z]+|\\d+)') w FROM v),
+n AS (SELECT *, list_filter(list_transform(w, lambda x: try_cast(x AS INT)), lambda x: x IS NOT NULL) nums, list_filter(list_transform(w, lambda x: {_MONTH}[x]), lambda x: x IS NOT NULL)[-1] m FROM w),
+y AS (SELECT *, list_filter(nums, lambda x: x BETWEEN 1900 AND 2100)[1] y, list_filter(nums, lambda x: x BETWEEN 1 AND 31)[1] d FROM n)
+SELECT id, dob, coalesce({_MADE.format(x='i')}, {_MADE.format(x='j')}, CASE WHEN y IS NOT NULL AND m IS NOT NULL AND d IS NOT NULL THEN y || '-' || lpad(CAST(m AS VARCHAR), 2, '0') || '-' || lpad(CAST(d AS VARCHAR), 2, '0') WHEN y IS NOT NULL AND m IS NOT NULL THEN y || '-' || lpad(CAST(m AS VARCHAR), 2, '0') || '-01' WHEN y IS NOT NULL THEN y || '-01-01' END, '') dob_normalized FROM y""")
 def dob_simple(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "sanctions").select("id", "dob", T.simple_dob(F.col("dob")).alias("dob_normalized"))
 
