@@ -235,18 +235,28 @@ def profile_links(profiles: DataFrame) -> DataFrame:
     return compared.join(known, ["business", "names", "dates", "nations"]).filter(F.col("confidence") >= ACCEPT)
 
 
-def matches(sanctions: DataFrame, conventions: DataFrame) -> DataFrame:
-    """(id_a, id_b, confidence), id_a < id_b: rows of different source that describe the same person or organisation.
+def linked(sanctions: DataFrame, conventions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(members, links): (id, source, profile) of every row with a name, source and id, and (a, b, confidence) of the profiles that match, one with itself included.
 
-    Profiles are compared once, however many rows have them; only the result lists every pair of rows. Rows without a name, source or id match
-    none; missing dates and countries neither agree nor contradict; repeated rows of one id count once.
+    A profile stands for all rows of the same name, date and country and is known by the smallest id of these; profiles are compared once, however
+    many rows have them. Missing dates and countries neither agree nor contradict; repeated rows of one id count once.
     """
     rows = materialise(records(sanctions, conventions).dropDuplicates(["id"]), "records")
-    # a profile is known by the smallest id that has it
     profiles = materialise(rows.groupBy("packed", "dob", "nation").agg(F.min("id").alias("profile")), "profiles")
-    rows = materialise(rows.join(profiles, ["packed", "dob", "nation"]).select("id", "source", "profile"), "members")
-    linked = materialise(profile_links(profiles).select("a", "b", "confidence"), "linked")
-    member = rows.select("profile", "id", "source")
-    both = linked.join(member.select(F.col("profile").alias("a"), F.col("id").alias("x"), F.col("source").alias("source_x")), "a").join(member.select(F.col("profile").alias("b"), F.col("id").alias("y"), F.col("source").alias("source_y")), "b")
+    members = materialise(rows.join(profiles, ["packed", "dob", "nation"]).select("id", "source", "profile"), "members")
+    return members, materialise(profile_links(profiles).select("a", "b", "confidence"), "linked")
+
+
+def matches(sanctions: DataFrame, conventions: DataFrame) -> DataFrame:
+    """(id_a, id_b, confidence), id_a < id_b: rows of different source that describe the same person or organisation, each pair of rows of what ``linked`` gives."""
+    member, links = linked(sanctions, conventions)
+    both = links.join(member.select(F.col("profile").alias("a"), F.col("id").alias("x"), F.col("source").alias("source_x")), "a").join(member.select(F.col("profile").alias("b"), F.col("id").alias("y"), F.col("source").alias("source_y")), "b")
     both = both.filter("source_x <> source_y and (a <> b or x < y)")
     return both.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"), "confidence")
+
+
+def classes(sanctions: DataFrame, conventions: DataFrame) -> DataFrame:
+    """(relation, id_a, id_b, confidence): 'match' between profiles, and 'member' from each profile to every other row of it; nothing is written once for every pair of rows."""
+    member, links = linked(sanctions, conventions)
+    pairs = links.filter("a <> b").select(F.lit("match").alias("relation"), F.least("a", "b").alias("id_a"), F.greatest("a", "b").alias("id_b"), "confidence")
+    return pairs.unionByName(member.filter("id <> profile").select(F.lit("member").alias("relation"), F.col("profile").alias("id_a"), F.col("id").alias("id_b"), F.lit(1.0).alias("confidence")))

@@ -43,6 +43,11 @@ NICKNAMES = {
         "alejandro": "ale", "aleksandr": "sasha", "alexander": "sasha alex", "anatoly": "tolya", "antonio": "toninho", "deepak": "deepu", "dmitri": "dima mitya", "dolores": "lola", "ekaterina": "katya", "fatima": "fattoum", "francisco": "paco pancho", "galina": "galya",
         "grigory": "grisha", "guadalupe": "lupe", "ibrahim": "barhoum", "irina": "ira", "johannes": "hannes", "jose": "pepe", "kamran": "kami", "khalid": "khaloud", "krishnan": "kichu", "mikhail": "misha", "natalia": "natasha", "parisa": "pari", "pavel": "pasha",
         "rosario": "charo", "sergei": "seryozha", "valentina": "valya", "venkatesh": "venky", "vladimir": "vova volodya", "yevgeny": "zhenya", "behrouz": "behi", "sanjay": "sanju", "ivan": "vanya", "konstantin": "kostya", "nikolai": "kolya", "fyodor": "fedya", "ludmila": "lyuda", "svetlana": "sveta",
+        "william": "bill billy will", "robert": "bob bobby rob", "richard": "dick rick", "james": "jim jimmy", "john": "jack johnny", "thomas": "tom tommy", "michael": "mike mick", "joseph": "joe", "charles": "charlie chuck", "edward": "ed ted eddie",
+        "henry": "harry hank", "anthony": "tony", "andrew": "andy drew", "daniel": "dan danny", "david": "dave", "samuel": "sam", "christopher": "chris", "nicholas": "nick", "stephen": "steve", "peter": "pete", "frederick": "fred", "lawrence": "larry",
+        "matthew": "matt", "philip": "phil", "ronald": "ron", "donald": "don", "kenneth": "ken", "gerald": "gerry jerry", "francis": "frank", "elizabeth": "liz beth betty", "margaret": "maggie peggy meg", "katherine": "kate kathy", "patricia": "pat trish",
+        "jennifer": "jen jenny", "susan": "sue", "barbara": "barb", "dorothy": "dot", "manuel": "manolo", "ignacio": "nacho", "enrique": "quique", "mercedes": "merche", "consuelo": "chelo", "heinrich": "heinz", "friedrich": "fritz", "wilhelm": "willi",
+        "johann": "hans", "giuseppe": "beppe", "giovanni": "gianni", "luigi": "gigi", "anna": "anya", "maria": "masha", "elena": "lena", "olga": "olya", "tatiana": "tanya", "pyotr": "petya", "mehmet": "memo", "rajendra": "raju", "mohammed": "hamoudi",
     }.items()
     for n in many.split()
 }

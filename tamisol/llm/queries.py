@@ -22,20 +22,22 @@ def p1_canonical(spark: SparkSession, d: str) -> DataFrame:
 
 def p2_links(spark: SparkSession, d: str) -> DataFrame:
     ship(spark)
-    return variants.entity_and_case_links(table(spark, d, "sanctions_alerts"), table(spark, d, "sanctions"), table(spark, d, "prior_cases"))
+    return variants.name_classes(table(spark, d, "sanctions_alerts"), table(spark, d, "sanctions"), table(spark, d, "prior_cases"))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return p2_links(spark, d).select("link", "left_key", "right_key")
+    ship(spark)
+    return variants.entity_and_case_links(table(spark, d, "sanctions_alerts"), table(spark, d, "sanctions"), table(spark, d, "prior_cases")).select("link", "left_key", "right_key")
 
 
 def p3_matches(spark: SparkSession, d: str) -> DataFrame:
     ship(spark)
-    return linkage.matches(table(spark, d, "sanctions"), table(spark, d, "list_conventions"))
+    return linkage.classes(table(spark, d, "sanctions"), table(spark, d, "list_conventions"))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return p3_matches(spark, d).select("id_a", "id_b")
+    ship(spark)
+    return linkage.matches(table(spark, d, "sanctions"), table(spark, d, "list_conventions")).select("id_a", "id_b")
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:

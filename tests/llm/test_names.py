@@ -154,7 +154,7 @@ def test_radius_join_equals_brute_force(spark, halves, monkeypatch):
 
 SAME = [
     ("Al-Thalkhanein, Hoosein", "Husseeen AlThalkhanein"), ("A. Maksimovich Smyarsunevich", "Anatoly Smyarsunevich"), ("Maryam Ghaalfoulāwī", "ماريام غالفولاوي"), ("Irina Krikrorin", "Ирина Крикрорин"),
-    ("Gen Nokkucan Invest Estab.", "M/s General Nokkucan Investment Establishment"), ("Mr. Dima Zhorayuk", "Zhorayuk, Dmitri Romanovna"), ("YUSUFTAINRANAVI", "Yusuf Tainranawi"), ("KariÃ±a Nora", "Kariña Nora"),
+    ("Gen Nokkucan Invest Estab.", "M/s General Nokkucan Investment Establishment"), ("Mr. Dima Zhorayuk", "Zhorayuk, Dmitri Romanovna"), ("YUSUFTAINRANAVI", "Yusuf Tainranawi"), ("KariÃ±a Nora", "Kariña Nora"), ("Bill Ashworth", "Ashworth, William"), ("Bob Tarrington", "Robert Tarrington"), ("Liz Pemberton", "Elizabeth Pemberton"), ("A (B C) (D E) (F G) (H I) (J Kowalczyk)", "J. Kowalczyk"),
 ]
 OTHER = [("Irina Smitson", "Olga Smitson"), ("Textiles Beerodula FZE", "Beerodula Mining FZE"), ("Omar Wahidi", "Anatoly Smyarsunevich"), ("", "x")]
 
@@ -173,7 +173,12 @@ def test_links(spark):
     c = spark.createDataFrame(cases, "case_id string, name_queried string")
     got = sorted((r.link, r.left_key, r.right_key) for r in variants.entity_and_case_links(a, s, c).collect())
     assert got == [("case", "K1", "C1"), ("entity", "A1", "1"), ("entity", "A1", "2"), ("entity", "A4", "3")]
-    assert variants.entity_and_case_links(a.limit(0), s.limit(0), c.limit(0)).count() == 0
+    rows = sorted((r.link, r.relation, r.left_key, r.right_key) for r in variants.name_classes(a, s, c).collect() if r.right_key not in ("4", "5"))
+    assert rows == [("case", "link", "K1", "C1"), ("entity", "link", "A1", "1"), ("entity", "link", "A1", "2"), ("entity", "link", "A4", "3")]
+    twice = s.union(spark.createDataFrame([(9, "L1", "anatoly  SMYARSUNEVICH")], s.schema))
+    rows = {(r.relation, r.left_key, r.right_key) for r in variants.name_classes(a, twice, c).collect() if r.link == "entity"}
+    assert {("link", "A1", "1"), ("link", "A1", "2"), ("listed", "1", "9")} <= rows and ("link", "A1", "9") not in rows
+    assert variants.entity_and_case_links(a.limit(0), s.limit(0), c.limit(0)).count() == variants.name_classes(a.limit(0), s.limit(0), c.limit(0)).count() == 0
 
 
 # --- linkage ---------------------------------------------------------------------------------------------------------
@@ -211,6 +216,18 @@ def test_matches_and_namesakes(spark):
     right = len(truth & set(got))
     assert right >= 0.95 * len(truth) and right >= 0.95 * len(got) and all(0.5 <= c <= 1 for c in got.values())
     assert linkage.matches(df.limit(0), conv).count() == 0
+    # pairs of profiles and their members say the same
+    rows = linkage.classes(df, conv).collect()
+    source, profile = {r[0]: r[1] for r in rows_of(df)}, {r.id_b: r.id_a for r in rows if r.relation == "member"}
+    group = {}
+    for i in source:
+        group.setdefault(profile.get(i, i), []).append(i)
+    linked = {(a, a) for a in group} | {(r.id_a, r.id_b) for r in rows if r.relation == "match"}
+    assert {(min(x, y), max(x, y)) for a, b in linked for x in group.get(a, ()) for y in group.get(b, ()) if source[x] and source[y] and source[x] != source[y]} == set(got)
+
+
+def rows_of(df):
+    return [tuple(r) for r in df.filter("full_name <> ''").select("id", "source").collect()]
 
 
 def test_common_words_misspelt_still_meet(spark):
