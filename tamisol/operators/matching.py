@@ -82,7 +82,9 @@ def _alike(pairs: DataFrame, least: float) -> DataFrame:
             at = pa.array(keep, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(ratios, pa.float64())], ["a", "b", "ratio"])
 
-    return pairs.select("a", "b").mapInArrow(scan, "a string, b string, ratio double")
+    # pairs are few bytes and much work: joined into large partitions they'd leave cores idle
+    many = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return pairs.select("a", "b").repartition(many).mapInArrow(scan, "a string, b string, ratio double")
 
 
 def similar_sequences(left: DataFrame, right: DataFrame, least: float = 0.8) -> DataFrame:
@@ -116,8 +118,8 @@ def similar_sequences(left: DataFrame, right: DataFrame, least: float = 0.8) ->
         long, enough = x.join(y, F.lit(False)).select("a", "b"), None
     size = F.length("b")
     lengths = F.explode(F.sequence(F.floor(size * least / (2 - least)).cast("int"), F.ceil(size * (2 - least) / least).cast("int")))
-    short = x.withColumn("__n", F.length("a")).join(y.withColumn("__n", lengths), "__n").filter(bound("a", "b"))
-    short = short.filter(F.length("a") + F.length("b") <= enough) if enough else short
+    p, q = (x.filter(F.length("a") <= enough), y.filter(F.length("b") <= enough)) if enough else (x, y)
+    short = p.withColumn("__n", F.length("a")).join(q.withColumn("__n", lengths), "__n").filter(bound("a", "b"))
     pairs = long.unionByName(short.select("a", "b")).distinct()
     both_empty = x.filter("a = ''").join(y.filter("b = ''"), F.lit(True)).select("a", "b", F.lit(1.0).alias("ratio"))  # one row each at most
     return _alike(pairs.filter((F.col("a") != "") & (F.col("b") != "")), least).unionByName(both_empty)

@@ -170,7 +170,7 @@ def latest_entries(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {CURRENT}, a AS (SELECT alert_id, lower(replace(coalesce(nullif(matched_entity,''), nullif(customer_name,''), ''), 'İ', 'i')) needle FROM cur), h AS (SELECT alert_id, id, full_name, program, source, row_number() OVER (PARTITION BY alert_id ORDER BY id) n FROM a JOIN sanctions s ON contains(lower(replace(s.full_name, 'İ', 'i')), a.needle)) SELECT alert_id, id, full_name, program, source, CAST(n AS INT) hit_no FROM h WHERE n <= 10")
 def alert_watchlist_hits(spark: SparkSession, d: str) -> DataFrame:
-    return review.watchlist_hits(table(spark, d, "sanctions_alerts"), table(spark, d, "sanctions"))
+    return review.watchlist_hits(table(spark, d, "sanctions_alerts"), table(spark, d, "sanctions").drop("nationality", "listed_on"))
 
 
 @query("SELECT name, least(count(DISTINCT id), 10) hits, CASE WHEN count(id) > 0 THEN 'BLOCKED' ELSE 'CLEAR' END verdict FROM (SELECT DISTINCT name_queried name FROM prior_cases) LEFT JOIN sanctions s ON contains(lower(replace(s.full_name, 'İ', 'i')), lower(replace(name, 'İ', 'i'))) OR contains(lower(replace(s.last_name, 'İ', 'i')), lower(replace(name, 'İ', 'i'))) GROUP BY 1")
