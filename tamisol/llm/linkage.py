@@ -9,10 +9,12 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from py4j.protocol import Py4JError
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tamisol.llm import metric, names, variants
@@ -22,7 +24,7 @@ from tamisol.session import materialise
 #: Posterior that makes a match; rounds of expectation-maximisation; weight of the prior counts that keep probabilities off 0 and 1.
 ACCEPT, ROUNDS, PRIOR = 0.5, 60, 0.5
 
-# Code, country, what its people are called, and other names.
+# Code, country, what its people are called, and other names, for lists that write these; all other countries are known by code and English name.
 COUNTRIES = """
 AE|UNITED ARAB EMIRATES|EMIRATI|UAE
 AF|AFGHANISTAN|AFGHAN
@@ -64,10 +66,30 @@ _YEAR = re.compile(r"(?:1[89]|20)\d\d")
 _ABOUT = re.compile(r"circa|\bca?\.|\bc\b|approx|about|around", re.IGNORECASE)
 
 
-def country(text: str | None) -> str:
+@lru_cache(4)
+def _country_codes(application: str, spark: SparkSession) -> dict[str, str]:
+    locale, english = spark._jvm.java.util.Locale, spark._jvm.java.util.Locale.ENGLISH
+    out = {}
+    for code in locale.getISOCountries():
+        place = locale("", code)
+        out[code] = code
+        out[place.getDisplayCountry(english).upper()] = code
+        try:
+            out[place.getISO3Country()] = code
+        except Py4JError:  # a country without a code of three letters
+            continue
+    return out | _CODES
+
+
+def country_codes(spark: SparkSession) -> dict[str, str]:
+    """Codes of all countries by their codes of two and three letters and their English names, as the JVM's locale data have them, and what COUNTRIES adds."""
+    return _country_codes(spark.sparkContext.applicationId, spark)
+
+
+def country(text: str | None, codes: dict[str, str] = _CODES) -> str:
     """A country's code from its code, name or adjective; other texts in upper case; '' where missing."""
     t = " ".join((text or "").upper().split())
-    return _CODES.get(t, t)
+    return codes.get(t, t)
 
 
 def birth(raw: str | None, norm: str | None) -> str:
@@ -156,11 +178,13 @@ def records(sanctions: DataFrame, conventions: DataFrame) -> DataFrame:
     rows = timestamps.with_conventions(rows, conventions, "source").withColumn("__day", F.lit(False))
     rows = timestamps.normalise(rows, "dob", "__day", "__order", "__zone", "norm").select("id", "source", "full_name", "nationality", "dob", "norm")
 
+    codes = country_codes(sanctions.sparkSession)
+
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names.quiet()
         for b in batches:
             _, _, full, nation, dob, norm = (c.to_pylist() for c in b.columns)
-            cols = [[names.packed(t) for t in full], [birth(x, y) for x, y in zip(dob, norm, strict=True)], [country(n) for n in nation]]
+            cols = [[names.packed(t) for t in full], [birth(x, y) for x, y in zip(dob, norm, strict=True)], [country(n, codes) for n in nation]]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c, pa.string()) for c in cols)], ["id", "source", "packed", "dob", "nation"])
 
     return rows.mapInArrow(scan, "id long, source string, packed string, dob string, nation string").filter("packed <> ''")

@@ -230,6 +230,11 @@ def rows_of(df):
     return [tuple(r) for r in df.filter("full_name <> ''").select("id", "source").collect()]
 
 
+def test_countries(spark):
+    codes = linkage.country_codes(spark)
+    assert [linkage.country(x, codes) for x in ("NO", "norway", "NOR", " Sri  Lankan ", "Wonderland", None, "Egypt")] == ["NO", "NO", "NO", "LK", "WONDERLAND", "", "EG"] and len(set(codes.values())) > 240
+
+
 def test_common_words_misspelt_still_meet(spark):
     # given and family name are common, so rows of just these two have no telling word; one typo makes one
     common = variants.Common(names.spelling(w) for w in ("marina", "petrenko", "olga", "sidorova"))
