@@ -18,9 +18,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tamisol.llm.names import edits, quiet
+from tamisol.llm.names import distance, edits, quiet
 
-RADIUS, STEP = 1, 3
+RADIUS, STEP = 1, 3  # the radius unless a caller gives another
 #: Strings that a cell may hold on average before there is another pivot.
 CELL = 40_000
 #: Letters of names in the order in which halves of the alphabet are cut from them.
@@ -48,28 +48,32 @@ def distance_to_half(text: str, half: frozenset[str], length: int) -> int:
     return length - sum(c in half for c in text)
 
 
-def cells(text: str, halves: list[frozenset[str]], replicate: bool) -> list[str]:
-    """The cell of a string, or, for a query, every cell that can hold a string within RADIUS of it."""
+def cells(text: str, halves: list[frozenset[str]], replicate: bool, radius: int = RADIUS) -> list[str]:
+    """The cell of a string, or, for a query, every cell that can hold a string within ``radius`` of it."""
     out = [("", 0)]
     for k, d in enumerate((len(text), *(sum(c in h for c in text) for h in halves))):  # up to a constant, the distances to the pivots
-        own, at = divmod(d, STEP)
-        moves = [0]
-        if replicate and at == STEP - 1:
-            moves.append(1)
-        elif replicate and at == 0 and d:
-            moves.append(-1)
-        # ``way`` is where the length moved: the counts of letters can't move the other way then
-        out = [(f"{x}{own + m:x}.", m if k == 0 else way) for x, way in out for m in moves if not way or k == 0 or m != -way]
+        own = d // STEP
+        moves = range(max(0, d - radius) // STEP - own, (d + radius) // STEP - own + 1) if replicate else (0,)
+        # at radius 1, ``way`` is where the length moved: the counts of letters can't move the other way then
+        out = [(f"{x}{own + m:x}.", m if k == 0 and radius == 1 else way) for x, way in out for m in moves if not way or k == 0 or m != -way]
     return [x for x, _ in out]
 
 
-def shortened(text: str) -> set[str]:
-    """The string and what is left of it without one character: strings within distance 1 share one of these."""
-    return {text, *(text[:i] + text[i + 1 :] for i in range(len(text)))}
+def shortened(text: str, radius: int = RADIUS) -> set[str]:
+    """The string and what is left of it without up to ``radius`` characters: strings within that distance share one of these."""
+    out = {text}
+    for _ in range(radius):
+        out |= {t[:i] + t[i + 1 :] for t in out for i in range(len(t))}
+    return out
 
 
-def within_radius(queries: DataFrame, members: DataFrame) -> DataFrame:
-    """(query, member, apart): all pairs of a string of ``queries`` and one of ``members`` (columns named text) at a distance, apart, of at most RADIUS.
+def apart(a: str, b: str, radius: int) -> int:
+    """Their distance, or any number above ``radius``."""
+    return edits(a, b, radius) if radius <= 1 else distance(a, b) if abs(len(a) - len(b)) <= radius else radius + 1
+
+
+def within_radius(queries: DataFrame, members: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(query, member, apart): all pairs of a string of ``queries`` and one of ``members`` (columns named text) at a distance, apart, of at most ``radius``.
 
     Both sides are made distinct; null strings have no partner, '' has those of length 1. Cells are streamed one after the other, sorted, so a task
     holds the members of one cell at a time. Nothing is capped.
@@ -82,7 +86,7 @@ def within_radius(queries: DataFrame, members: DataFrame) -> DataFrame:
             for b in batches:
                 cell, text = [], []
                 for t in b.column(0).to_pylist():
-                    for c in cells(t, halves, side == 1):
+                    for c in cells(t, halves, side == 1, radius):
                         cell.append(c)
                         text.append(t)
                 yield pa.RecordBatch.from_arrays([pa.array(cell, pa.string()), pa.array([side] * len(text), pa.int32()), pa.array(text, pa.string())], ["cell", "side", "text"])
@@ -98,30 +102,30 @@ def within_radius(queries: DataFrame, members: DataFrame) -> DataFrame:
         index: dict[str, list[str]] = {}
         get = index.get
         for b in batches:
-            left, right, apart = [], [], []
+            left, right, far = [], [], []
             for c, side, t in zip(*(x.to_pylist() for x in b.columns), strict=True):
                 if c != cell:
                     cell, index = c, {}
                     get = index.get
                 if side == 0:
-                    for s in shortened(t):
+                    for s in shortened(t, radius):
                         index.setdefault(s, []).append(t)
                 elif index:
-                    found = [m for s in shortened(t) if (m := get(s)) is not None]
+                    found = [m for s in shortened(t, radius) if (m := get(s)) is not None]
                     for x in set(found[0]).union(*found[1:]) if found else ():
-                        if (e := edits(t, x, RADIUS)) <= RADIUS:
+                        if (e := apart(t, x, radius)) <= radius:
                             left.append(t)
                             right.append(x)
-                            apart.append(e)
-            yield pa.RecordBatch.from_arrays([pa.array(left, pa.string()), pa.array(right, pa.string()), pa.array(apart, pa.int32())], ["query", "member", "apart"])
+                            far.append(e)
+            yield pa.RecordBatch.from_arrays([pa.array(left, pa.string()), pa.array(right, pa.string()), pa.array(far, pa.int32())], ["query", "member", "apart"])
 
     # a pair can only meet in the one cell its member is in, so pairs are distinct
     return both.repartition("cell").sortWithinPartitions("cell", "side").mapInArrow(join, "query string, member string, apart int")
 
 
-def brute(queries: Iterable[str], members: Iterable[str]) -> set[tuple[str, str]]:
+def brute(queries: Iterable[str], members: Iterable[str], radius: int = RADIUS) -> set[tuple[str, str]]:
     """All pairs by comparison, for tests."""
-    return {(a, b) for a in queries for b in members if edits(a, b, RADIUS) <= RADIUS}
+    return {(a, b) for a in queries for b in members if apart(a, b, radius) <= radius}
 
 
 def brute_self(texts: list[str]) -> set[tuple[str, str]]:

@@ -152,6 +152,17 @@ def test_radius_join_equals_brute_force(spark, halves, monkeypatch):
         assert all(abs(metric.distance_to_half(a, h, 20) - metric.distance_to_half(b, h, 20)) <= 1 for h in chosen)
 
 
+@pytest.mark.parametrize("halves", [0, 3])
+def test_wider_radius(spark, halves, monkeypatch):
+    rng = random.Random(11)
+    texts = sorted({"".join(rng.choice("rnlmtskd") for _ in range(rng.randrange(8))) for _ in range(150)})
+    monkeypatch.setattr(metric, "pivots", lambda rows: [metric.half(k) for k in range(halves)])
+    q = spark.createDataFrame([(t,) for t in texts[::2]], "text string")
+    m = spark.createDataFrame([(t,) for t in texts], "text string")
+    rows = metric.within_radius(q, m, 2).collect()
+    assert {(r.query, r.member) for r in rows} == metric.brute(texts[::2], texts, 2) and len(rows) == len(set(rows)) and all(r.apart == names.distance(r.query, r.member) for r in rows)
+
+
 SAME = [
     ("Al-Thalkhanein, Hoosein", "Husseeen AlThalkhanein"), ("A. Maksimovich Smyarsunevich", "Anatoly Smyarsunevich"), ("Maryam Ghaalfoulāwī", "ماريام غالفولاوي"), ("Irina Krikrorin", "Ирина Крикрорин"),
     ("Gen Nokkucan Invest Estab.", "M/s General Nokkucan Investment Establishment"), ("Mr. Dima Zhorayuk", "Zhorayuk, Dmitri Romanovna"), ("YUSUFTAINRANAVI", "Yusuf Tainranawi"), ("KariÃ±a Nora", "Kariña Nora"), ("Bill Ashworth", "Ashworth, William"), ("Bob Tarrington", "Robert Tarrington"), ("Liz Pemberton", "Elizabeth Pemberton"), ("A (B C) (D E) (F G) (H I) (J Kowalczyk)", "J. Kowalczyk"),
