@@ -123,3 +123,10 @@ def test_snapshot_and_progress(spark, tmp_path):
     listener = live.Progress(lambda kind, facts: heard.append(kind) or 1 / 0)
     listener._tell("batch", rows=1)
     assert heard == ["batch"] and isinstance(listener.errors[0], ZeroDivisionError)
+
+
+def test_years_and_short_outputs(spark):
+    rows = spark.createDataFrame([("12/05/1978",), ("1978-1990",), ("78",), ("2150",), (None,), ("",)], "d string").select(T.safe_year(F.col("d"), 1900).alias("y")).collect()
+    assert [r.y for r in rows] == [1978, 1978, 1900, 1900, 1900, 1900]
+    out = spark.createDataFrame([((["a", "b"], "x", 3),)], "o struct<hits: array<string>, name: string, n: int>")
+    assert out.select(audit.output_summary(F.col("o"), {"hits": "array<string>", "name": "string", "n": "int"}).alias("s")).collect()[0].s == '{"hits__count":2,"name":"x","n":3}'
