@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tamisol.llm import copies, garbled, leakage, linkage, lookalikes, mixing, quality, variants
 from tamisol.session import ship, table
@@ -56,7 +57,9 @@ def p6_restored(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    return p6_restored(spark, d).select("id", "field")
+    # a text whose search was given up without finding anything isn't known to be garbled
+    rows = p6_restored(spark, d).filter(F.col("complete") | (F.col("restored") != F.col("original")) | F.col("original").contains("\ufffd"))
+    return rows.select("id", "field")
 
 
 def p8_leaks(spark: SparkSession, d: str) -> DataFrame:
