@@ -3,6 +3,7 @@
 import random
 import string
 
+import numpy as np
 import pytest
 
 from tamisol.llm import copies, garbled, linkage, lookalikes, metric, names, variants
@@ -259,3 +260,25 @@ def test_common_words_misspelt_still_meet(spark):
     c = spark.createDataFrame([], "case_id string, name_queried string")
     got = {r.right_key for r in variants.entity_and_case_links(a, s, c).collect() if r.link == "entity"}
     assert str(next(k for k, (t, _) in enumerate(listed) if t == "Marina Petrenko a")) in got
+
+
+def test_matches_do_not_depend_on_what_has_nothing_in_common():
+    """A larger table proposes ever more pairs by chance: those with nothing in common change no verdict, and a rare shared word counts more than a frequent one."""
+    rng = np.random.default_rng(3)
+    counts = np.zeros(linkage.SIZES)
+    for match in (True, False):
+        for _ in range(2_000 if match else 20_000):
+            name = rng.choice([3, 4, 5], p=[0.1, 0.3, 0.6]) if match else rng.choice([1, 2, 3, 4], p=[0.6, 0.1, 0.2, 0.1])
+            rare = rng.choice([0, 1, 2, 3]) if match else rng.choice([2, 4, 5, 6], p=[0.1, 0.3, 0.3, 0.3])
+            date = rng.choice([1, 3, 5], p=[0.4, 0.2, 0.4]) if match else rng.choice([0, 1], p=[0.6, 0.4])
+            counts[name, rare, date, rng.choice([1, 2]) if match else rng.choice([0, 1])] += 1
+    more = counts.copy()
+    more[0, 5, 1, 0] += 2_000_000
+    few, many = (linkage.posterior(*linkage.fit(c)) for c in (counts, more))
+    assert few == pytest.approx(many) and many[4, 1, 1, 1] >= 0.9 and many[4, 6, 1, 1] < 0.1 and not many[0].any()
+
+
+def test_rarity_of_shared_words(spark):
+    rows = [(i, f"Anna Kordovsky {'abcdefgh'[i % 8]}x{i}", "", "") for i in range(6)] + [(10, "Mira Plenzburg", "", ""), (11, "Mira Plenzburk", "", "")]
+    got = {(r.a, r.b): r.rare for r in linkage.candidate_pairs(spark.createDataFrame([(names.packed(n), d, c, i) for i, n, d, c in rows], "packed string, dob string, nation string, profile long")).collect()}
+    assert got[0, 1] == 1 and got[10, 11] == 0 and all((i, i) in got for i, *_ in rows)
