@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -43,86 +42,112 @@ def containing(needles: DataFrame, texts: DataFrame) -> DataFrame:
     return rarest.join(parts, "part").filter(F.col("text").contains(F.col("needle"))).select("needle", "text")
 
 
-def _pieces(strings: DataFrame) -> DataFrame:
-    """(side, s, parts, bits) from the columns side and s: the parts of two characters of each string, numbered where they repeat, so that they are a set;
-    and which characters it has once, and which twice, as bits of a number."""
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            parts, bits = [], []
-            for s in b.column(1).to_pylist():
-                has = 0
-                for c, n in Counter(s).items():
-                    has |= (3 if n > 1 else 1) << 2 * (ord(c) % 31)
-                bits.append(has)
-                seen: Counter[str] = Counter()
-                own = []
-                for i in range(len(s) - 1):
-                    g = s[i : i + 2]
-                    seen[g] += 1
-                    own.append(f"{g}{seen[g]}")
-                parts.append(own)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(parts, pa.list_(pa.string())), pa.array(bits, pa.int64())], ["side", "s", "parts", "bits"])
-
-    return strings.select("side", "s").mapInArrow(scan, "side int, s string, parts array<string>, bits long")
-
-
-def _alike(pairs: DataFrame, least: float) -> DataFrame:
-    """(a, b, ratio) of the pairs with a difflib ratio of at least ``least``; their common characters are counted first."""
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bag = lru_cache(100_000)(Counter)
-        for batch in batches:
-            keep, ratios = [], []
-            for i, (a, b) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
-                x, y, need = bag(a), bag(b), least * (len(a) + len(b)) / 2 - 1e-9
-                if sum(min(n, y[c]) for c, n in x.items() if c in y) >= need and (r := A.sequence_ratio(a, b)) >= least:
-                    keep.append(i)
-                    ratios.append(r)
-            at = pa.array(keep, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(ratios, pa.float64())], ["a", "b", "ratio"])
-
-    # pairs are few bytes and much work: joined into large partitions they'd leave cores idle
-    many = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return pairs.select("a", "b").repartition(many).mapInArrow(scan, "a string, b string, ratio double")
+#: Strings of either side in a cell of ``similar_sequences``; strings of one side compared with a cell at once; characters up to which common subsequences are counted.
+CELL, CHUNK, WORD = 8_192, 256, 64
+
+
+def _repeats(keys: np.ndarray) -> np.ndarray:
+    """How often each key stood before it."""
+    order = np.argsort(keys, kind="stable")
+    ordered, at = keys[order], np.arange(len(keys))
+    out = np.empty(len(keys), np.int64)
+    out[order] = at - np.maximum.accumulate(np.where(np.r_[True, ordered[1:] != ordered[:-1]], at, 0)) if len(keys) else at
+    return out
+
+
+class _Strings:
+    """Strings by length, with what bounds how alike they can be: counts of their numbered characters, and bits of their numbered parts of two characters, both by
+    a hash; where each character stands in them, as bits by a hash of it, and their characters' hashes."""
+
+    def __init__(self, strings: list[str]):
+        self.strings = sorted(strings, key=len)
+        n = len(self.strings)
+        self.length = np.array([len(s) for s in self.strings], np.int64)
+        code = np.frombuffer("".join(self.strings).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        row = np.repeat(np.arange(n), self.length)
+        at = np.arange(len(row)) - np.repeat(np.cumsum(self.length) - self.length, self.length)
+        self.bag = np.zeros((n, 128), np.float32)
+        np.add.at(self.bag, (row, code % 32 + 32 * np.minimum(_repeats(row << 21 | code), 3)), 1)
+        inside = row[1:] == row[:-1]
+        of, part = row[:-1][inside], (code[:-1] * 1_000_003 + code[1:])[inside] % (1 << 31)
+        bits = np.zeros((n, 256), bool)
+        bits[of, (part * 7 + _repeats(of << 31 | part) * 101) % 256] = True
+        self.parts = np.packbits(bits, axis=1).view(np.uint64)
+        self.places = np.zeros((n, 128), np.uint64)
+        early = at < WORD
+        np.bitwise_or.at(self.places, (row[early], code[early] % 128), np.uint64(1) << at[early].astype(np.uint64))
+        self.codes = np.zeros((n, 2 * WORD), np.int64)
+        early = at < 2 * WORD
+        self.codes[row[early], at[early]] = code[early] % 128
+
+
+def _subsequence(x: _Strings, y: _Strings, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """At least the lengths of the longest common subsequences of pairs, the first of WORD characters at most; bits in parallel."""
+    rest, length = np.full(len(i), ~np.uint64(0)), y.length[j]
+    for k in range(int(length.max(initial=0))):
+        match = np.where(k < length, x.places[i, y.codes[j, k]], np.uint64(0))
+        both = rest & match
+        rest = (rest + both) | (rest - both)
+    return np.bitwise_count(~rest)
+
+
+def _alike(x: _Strings, y: _Strings, least: float) -> Iterator[tuple[str, str, float]]:
+    """(a, b, ratio) of all pairs with a difflib ratio of at least ``least``."""
+    half = np.float32(least / 2)
+    one = lambda s: np.ones((len(s.strings), 1), np.float32)
+    # the product is how many characters are common, at least, less how many must be
+    left, right = np.hstack([x.bag, -half * x.length[:, None], one(x)]).astype(np.float32), np.hstack([y.bag, one(y), -half * y.length[:, None]]).astype(np.float32)
+    for first in range(0, len(x.strings), CHUNK):
+        last = min(first + CHUNK, len(x.strings))
+        low = int(np.searchsorted(y.length, x.length[first] * least / (2 - least) - 1e-6))
+        high = int(np.searchsorted(y.length, x.length[last - 1] * (2 - least) / least + 1e-6, "right"))
+        if low >= high:
+            continue
+        i, j = np.divmod(np.flatnonzero((left[first:last] @ right[low:high].T).ravel() >= -1e-2), high - low)
+        i, j = i + first, j + low
+        total = x.length[i] + y.length[j]
+        # every bit that differs stands for a part that isn't shared; of both lengths together, least / 2 match, and every block but one follows a character that doesn't
+        parts = np.maximum(x.length[i] - 1, 0) + np.maximum(y.length[j] - 1, 0) - np.bitwise_count(x.parts[i] ^ y.parts[j]).sum(1)
+        ok = parts / 2 >= (1.5 * least - 1) * total - 1 - 1e-6
+        i, j, total = i[ok], j[ok], total[ok]
+        ok = (x.length[i] > WORD) | (y.length[j] > 2 * WORD)
+        short = np.flatnonzero(~ok)
+        ok[short] = _subsequence(x, y, i[short], j[short]) >= least / 2 * total[short] - 1e-6
+        for p, q in zip(i[ok].tolist(), j[ok].tolist(), strict=True):
+            if (r := A.sequence_ratio(a := x.strings[p], b := y.strings[q])) >= least:
+                yield a, b, r
 
 
 def similar_sequences(left: DataFrame, right: DataFrame, least: float = 0.8) -> DataFrame:
     """(a, b, ratio): pairs of distinct strings (columns a and b) with a difflib ratio of at least ``least``.
 
-    Strings that alike have lengths in a fixed proportion, and share at least their matching characters less the number of matching blocks of their
-    parts of two characters. So each string is looked up by its rarest parts only, as many as it takes to hold one that is shared; shared parts
-    and characters are counted before the Arrow function sees a pair. None of these bounds loses a pair. Null has no partner, '' only ''.
+    Both sides are dealt into blocks, and each two blocks are a cell. Within a cell all pairs of lengths in proportion are bounded together: by their common characters, a
+    product of matrices; those left by their common parts of two characters and by their longest common subsequence, both as bits; the Arrow function only sees what
+    passes all three. None of these bounds loses a pair, and no pair is written before it is known to be alike. Null has no partner, '' only ''.
     """
-    x, y = left.select("a").filter("a is not null").distinct(), right.select("b").filter("b is not null").distinct()
-    bound = lambda p, q: 2 * F.least(F.length(p), F.length(q)) >= least * (F.length(p) + F.length(q))
-    # of both lengths together, least / 2 match, and every block but one follows a character that doesn't
-    shared_parts = lambda total: (1.5 * least - 1) * total - 1
-    if 1.5 * least - 1 > 0:
-        both = x.select(F.lit(0).alias("side"), F.col("a").alias("s")).unionByName(y.select(F.lit(1).alias("side"), F.col("b").alias("s")))
-        both = materialise(_pieces(both.filter(F.length("s") > 1)), "pieces")
-        each = both.select("side", "s", "bits", F.explode("parts").alias("part"))
-        counts = each.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
-        # one row per string; as many parts as it has characters
-        lists = each.join(counts, "part").groupBy("side", "s", "bits").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "part"))), lambda p: p["part"]).alias("parts"))
-        # what it must share with its shortest possible partner
-        fewest = F.ceil(shared_parts(F.length("s") * (1 + least / (2 - least))) - 1e-9)
-        rare = F.slice("parts", F.lit(1), F.greatest(F.lit(1), F.least(F.size("parts"), (F.size("parts") - fewest + 1).cast("int"))))
-        lists = materialise(lists.select("side", "s", "bits", rare.alias("rare")), "lists")
-        side = lambda k, c: lists.filter(F.col("side") == k).select(F.col("s").alias(c), F.col("bits").alias(f"bits_{c}"), F.explode("rare").alias("part"))
-        # every bit that differs stands for a character that doesn't match
-        spare = F.bit_count(F.col("bits_a").bitwiseXOR(F.col("bits_b"))) <= (1 - least) * (F.length("a") + F.length("b")) + 1e-9
-        long = side(0, "a").join(side(1, "b"), "part").filter(bound("a", "b") & spare).select("a", "b").distinct()
-        enough = int(1 / (1.5 * least - 1)) + 1  # beyond this length of both together, at least one part is shared
-    else:  # so unlike strings needn't share a part: every pair of lengths in proportion
-        long, enough = x.join(y, F.lit(False)).select("a", "b"), None
-    size = F.length("b")
-    lengths = F.explode(F.sequence(F.floor(size * least / (2 - least)).cast("int"), F.ceil(size * (2 - least) / least).cast("int")))
-    p, q = (x.filter(F.length("a") <= enough), y.filter(F.length("b") <= enough)) if enough else (x, y)
-    short = p.withColumn("__n", F.length("a")).join(q.withColumn("__n", lengths), "__n").filter(bound("a", "b"))
-    pairs = long.unionByName(short.select("a", "b")).distinct()
-    both_empty = x.filter("a = ''").join(y.filter("b = ''"), F.lit(True)).select("a", "b", F.lit(1.0).alias("ratio"))  # one row each at most
-    return _alike(pairs.filter((F.col("a") != "") & (F.col("b") != "")), least).unionByName(both_empty)
+    x = materialise(left.select(F.col("a").alias("s")).filter("s is not null").distinct(), "left")
+    y = materialise(right.select(F.col("b").alias("s")).filter("s is not null").distinct(), "right")
+    rows, columns = (max(1, -(-d.count() // CELL)) for d in (x, y))
+    block = lambda n: F.pmod(F.xxhash64("s"), F.lit(n).cast("long"))
+    cells = lambda n, of: F.explode(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), of)).alias("cell")
+    both = x.select(cells(columns, lambda k: block(rows) * columns + k), F.lit(0).alias("side"), "s").unionByName(y.select(cells(rows, lambda k: k * columns + block(columns)), F.lit(1).alias("side"), "s"))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def found(a: list[str], b: list[str]) -> pa.RecordBatch:
+            pairs = list(_alike(_Strings(a), _Strings(b), least)) if a and b else []
+            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], t) for k, t in enumerate((pa.string(), pa.string(), pa.float64()))], ["a", "b", "ratio"])
+
+        cell, sides = None, ([], [])
+        for batch in batches:
+            for c, side, s in zip(*(v.to_pylist() for v in batch.columns), strict=True):
+                if c != cell:
+                    yield found(*sides)
+                    cell, sides = c, ([], [])
+                sides[side].append(s)
+        yield found(*sides)
+
+    many = max(int(x.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows * columns)
+    return both.repartition(many, "cell").sortWithinPartitions("cell").mapInArrow(scan, "a string, b string, ratio double")
 
 
 def screen_exact(names: DataFrame, lists: DataFrame, top: int = 10) -> DataFrame:

@@ -130,3 +130,14 @@ def test_years_and_short_outputs(spark):
     assert [r.y for r in rows] == [1978, 1978, 1900, 1900, 1900, 1900]
     out = spark.createDataFrame([((["a", "b"], "x", 3),)], "o struct<hits: array<string>, name: string, n: int>")
     assert out.select(audit.output_summary(F.col("o"), {"hits": "array<string>", "name": "string", "n": "int"}).alias("s")).collect()[0].s == '{"hits__count":2,"name":"x","n":3}'
+
+
+def test_similar_sequences_writes_only_pairs_that_are_alike(spark):
+    """Names of few letters share parts with nearly all others: every pair is bounded, none is shuffled before it is known to be alike; strings beyond 64 characters too."""
+    rng = random.Random(9)
+    words = ["ali", "al", "li", "ila", "ana", "an", "ala", "nali"]
+    a, b = (sorted({" ".join(rng.choice(words) for _ in range(rng.choice([2, 4, 6, 30]))) for _ in range(150)} | {"", "ć" * 70, "李" * 3}) for _ in range(2))
+    df = matching.similar_sequences(spark.createDataFrame([(x,) for x in a], "a string"), spark.createDataFrame([(x,) for x in b], "b string"))
+    rows = df.collect()
+    assert {(r.a, r.b): r.ratio for r in rows} == pytest.approx({(x, y): r for x in a for y in b if (r := SequenceMatcher(None, x, y).ratio()) >= 0.8})
+    assert len(rows) == len({(r.a, r.b) for r in rows}) and df._jdf.queryExecution().executedPlan().toString().count("Join") == 0
