@@ -14,32 +14,89 @@ from pyspark.sql import functions as F
 from tamisol.functions import arrow_metrics as A
 from tamisol.functions import metrics as M
 from tamisol.functions.text import low, normalise, tokens
-from tamisol.session import materialise
+from tamisol.session import materialise, ship
 
 GRAM = 3
 
 
-def _grams(c: Column, n: int) -> Column:
-    """Distinct parts of n characters."""
-    last = F.length(c) - (n - 1)
-    return F.array_distinct(F.when(last >= 1, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.substring(c, i, F.lit(n)))).otherwise(F.array().cast("array<string>")))
+#: Buckets of a hash by which parts of texts are counted; as many numbers come to the driver.
+BUCKETS = 1 << 16
+
+
+def _parts(strings: list[str], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The parts of ``size`` characters, GRAM at most, of each string: their string, their start in it, themselves as a number, and their bucket."""
+    length = np.array([len(s) for s in strings], np.int64)
+    code = np.frombuffer("".join(strings).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    row = np.repeat(np.arange(len(strings)), length)
+    start = np.arange(len(row)) - np.repeat(np.cumsum(length) - length, length)
+    whole = np.flatnonzero(start + size <= length[row])
+    part = np.zeros(len(whole), np.int64)
+    for k in range(size):
+        part = part << 21 | code[whole + k]
+    return row[whole], start[whole], part, (part % 1_000_003 * 7919 + size * 31) % BUCKETS
 
 
 def containing(needles: DataFrame, texts: DataFrame) -> DataFrame:
     """(needle, text): all pairs of distinct non-empty strings in which text holds needle. Columns: needle, text.
 
-    No pair is compared blindly: each needle is looked up by its rarest part of GRAM characters (itself, if it is shorter), which every text
-    that holds it must have, and the pairs of that equi-join are verified. Null and '' have no pairs here.
+    No pair is compared blindly: each needle is looked up by one part of GRAM characters (itself, if it is shorter), which every text that holds it must have, and
+    the pairs of that equi-join are verified. Any part of a needle will do; the rarest one by counts of hashed parts is taken, so texts are only written with parts in the
+    buckets of those. Null and '' have no pairs here.
     """
-    n, t = needles.select("needle").filter("needle <> ''").distinct(), texts.select("text").filter("text <> ''").distinct()
-    own = n.select("needle", F.explode(F.when(F.length("needle") < GRAM, F.array("needle")).otherwise(_grams(F.col("needle"), GRAM))).alias("part"))
-    sizes = F.array(*(F.lit(k) for k in range(1, GRAM + 1)))
-    parts = t.select("text", F.explode(sizes).alias("k")).select("text", F.explode(F.when(F.col("k") == 1, _grams(F.col("text"), 1)).when(F.col("k") == 2, _grams(F.col("text"), 2)).otherwise(_grams(F.col("text"), GRAM))).alias("part"))
-    # only parts that some needle has can bring a pair; they are written once, for counting and for joining
-    parts = materialise(parts.join(own.select("part").distinct(), "part", "left_semi"), "parts")
-    counts = parts.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
-    rarest = own.join(counts, "part", "left").groupBy("needle").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "part")).alias("m")).filter("m.n > 0").select("needle", F.col("m.part").alias("part"))
-    return rarest.join(parts, "part").filter(F.col("text").contains(F.col("needle"))).select("needle", "text")
+    ship(needles.sparkSession)
+    n = materialise(needles.select("needle").filter("needle <> ''").distinct(), "needles")
+    t = materialise(texts.select("text").filter("text <> ''").distinct(), "texts")
+    # parts shorter than GRAM only where a needle is so short; at most GRAM lengths come to the driver
+    sizes = sorted(r.k for r in n.select(F.least(F.length("needle"), F.lit(GRAM)).alias("k")).distinct().collect())
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(BUCKETS, np.int64)
+        for b in batches:
+            strings = b.column(0).to_pylist()
+            for size in sizes:
+                total += np.bincount(_parts(strings, size)[3], minlength=BUCKETS)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], ["bucket", "n"])
+
+    counts = np.zeros(BUCKETS, np.int64)
+    for r in t.mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
+        counts[r.bucket] = r.n
+
+    def rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            strings = b.column(0).to_pylist()
+            needle, part, bucket = [], [], []
+            for size in sizes:
+                own = [s for s in strings if min(len(s), GRAM) == size]
+                row, start, _, at = _parts(own, size)
+                order = np.lexsort((start, counts[at], row))
+                first = order[np.r_[True, row[order][1:] != row[order][:-1]]] if len(order) else order
+                for i in first[counts[at[first]] > 0].tolist():  # else no text has it
+                    s = own[row[i]]
+                    needle.append(s)
+                    part.append(s[start[i] : start[i] + size])
+                    bucket.append(int(at[i]))
+            yield pa.RecordBatch.from_arrays([pa.array(needle, pa.string()), pa.array(part, pa.string()), pa.array(bucket, pa.int32())], ["needle", "part", "bucket"])
+
+    chosen = materialise(n.mapInArrow(rarest, "needle string, part string, bucket int"), "rarest")
+    wanted = np.zeros(BUCKETS, bool)
+    wanted[[r.bucket for r in chosen.select("bucket").distinct().collect()]] = True
+
+    def having(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            strings = b.column(0).to_pylist()
+            take, parts = [np.zeros(0, np.int64)], []
+            for size in sizes:
+                row, start, part, at = _parts(strings, size)
+                row, start, part = (v[wanted[at]] for v in (row, start, part))
+                order = np.lexsort((part, row))
+                once = order[np.r_[True, (row[order][1:] != row[order][:-1]) | (part[order][1:] != part[order][:-1])]] if len(order) else order
+                take.append(row[once])
+                parts += [strings[r][i : i + size] for r, i in zip(row[once].tolist(), start[once].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(np.concatenate(take))), pa.array(parts, pa.string())], ["text", "part"])
+
+    parts = t.mapInArrow(having, "text string, part string")
+    return chosen.select("needle", "part").join(parts, "part").filter(F.col("text").contains(F.col("needle"))).select("needle", "text")
 
 
 #: Strings of either side in a cell of ``similar_sequences``; strings of one side compared with a cell at once; characters up to which common subsequences are counted.

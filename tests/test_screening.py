@@ -141,3 +141,16 @@ def test_similar_sequences_writes_only_pairs_that_are_alike(spark):
     rows = df.collect()
     assert {(r.a, r.b): r.ratio for r in rows} == pytest.approx({(x, y): r for x in a for y in b if (r := SequenceMatcher(None, x, y).ratio()) >= 0.8})
     assert len(rows) == len({(r.a, r.b) for r in rows}) and df._jdf.queryExecution().executedPlan().toString().count("Join") == 0
+
+
+def test_containing_writes_few_parts(spark):
+    """Texts are shuffled with the parts that needles are looked up by, not with all of their parts; repeated parts, short needles and rare characters lose nothing."""
+    rng = random.Random(11)
+    texts = sorted({"".join(rng.choice("abcdefgh ") for _ in range(40)) for _ in range(300)} | {"aaaaaa", "𝐀b", "a", "İx", "ab\nab"})
+    needles = sorted({t[5 : 5 + rng.choice([1, 2, 3, 9, 20])] for t in texts[:60]} | {"aaa", "𝐀", "𝐀b", "zzz", "ab\na"} - {""})
+    df = matching.containing(spark.createDataFrame([(x,) for x in needles], "needle string"), spark.createDataFrame([(x,) for x in texts], "text string"))
+    rows = [tuple(r) for r in df.collect()]
+    assert set(rows) == {(n, t) for n in needles for t in texts if n and n in t} and len(rows) == len(set(rows))
+    long = matching.containing(spark.createDataFrame([(t[:20],) for t in texts[:10]], "needle string"), spark.createDataFrame([(x,) for x in texts], "text string"))
+    plan = long._jdf.queryExecution().executedPlan().toString()
+    assert long.count() >= 10 and plan.count("MapInArrow") == 1 and "Generate" not in plan
