@@ -10,7 +10,6 @@ from __future__ import annotations
 import base64
 from collections.abc import Iterable, Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -49,16 +48,23 @@ def with_tokens(docs: DataFrame, common_words: DataFrame | None = None, path: st
     posterior of prose that the mixture of ``quality`` gives, LEAST at least, or 1 for all where there are no ``common_words``."""
     made: list = []
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "text").filter(F.col("source").isNotNull() & F.col("doc_id").isNotNull())
-    judge = quality.prose_judge(rows, quality.by_language(common_words)) if common_words is not None else lambda texts: np.ones(len(texts))
+    common = quality.by_language(common_words) if common_words is not None else None
+    judged = quality.STATISTICS if common is not None else []
 
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not made:
             made.append(token_counter(path))
         for b in batches:
             texts = b.column(2).to_pylist()
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(made[0](texts), pa.int64()), pa.array(np.maximum(judge(texts), LEAST), pa.float64())], ["doc_id", "source", "tokens", "weight"])
-
-    return rows.mapInArrow(scan, "doc_id long, source string, tokens long, weight double")
+            stats = [quality.statistics(t, common) for t in texts] if judged else []
+            cols = zip(*stats, strict=True) if stats else [[]] * len(judged)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(made[0](texts), pa.int64()), *(pa.array(c, pa.float64()) for c in cols)], ["doc_id", "source", "tokens", *judged])
+
+    counted = rows.mapInArrow(scan, "doc_id long, source string, tokens long" + "".join(f", {s} double" for s in judged))
+    if not judged:
+        return counted.withColumn("weight", F.lit(1.0))
+    # texts are read once; the mixture is fitted on the numbers of all documents
+    return quality.with_prose(materialise(counted, "counted"), common).withColumn("weight", F.greatest("prose", F.lit(LEAST))).drop("prose")
 
 
 def _keys(rows: DataFrame) -> DataFrame:

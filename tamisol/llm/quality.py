@@ -9,7 +9,7 @@ from __future__ import annotations
 import random
 import re
 import warnings
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 from operator import and_
 
 import numpy as np
@@ -89,26 +89,6 @@ def by_language(common_words: DataFrame) -> list[frozenset[str]]:
     return [frozenset(by[k]) for k in sorted(by)]
 
 
-def prose_judge(docs: DataFrame, common: list[frozenset[str]], rows: int = 5_000, key: str = "doc_id", text: str = "text") -> Callable[[list[str | None]], np.ndarray]:
-    """A function from texts to their posteriors of prose, by a mixture fitted on a sample of some ``rows`` documents; with fewer documents, on all.
-
-    The sample is taken by a hash of the key, so it's the same each time; blank texts get 0.
-    """
-    total = docs.count()
-    part = F.pmod(F.xxhash64(F.lit(1), F.col(key)), F.lit(1_000_000)) < int(1_000_000 * min(1.0, rows / max(total, 1))) + 1
-    sampled = sorted(((r[0], r[1]) for r in docs.select(F.col(key), F.col(text)).filter(part).collect()), key=lambda r: (hash(r[0]), r[1] or ""))
-    model = fit(np.asarray([statistics(t, common) for _, t in sampled]), key, common) if sampled else None
-    prose = np.asarray([label == "prose" for label in labelled(model, common)], float) if model else None
-
-    def judge(texts: list[str | None]) -> np.ndarray:
-        x = np.asarray([statistics(t, common) for t in texts])
-        if model is None or not len(x):
-            return np.zeros(len(texts))
-        return np.where(x[:, 0] == 0, 0.0, model.posterior(model.standardised(x))[0] @ prose)
-
-    return judge
-
-
 def with_statistics(docs: DataFrame, common_words: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, STATISTICS...) of every row; one row per row of ``docs``, repeated rows included, extra columns ignored.
 
@@ -323,6 +303,21 @@ def labelled(model: Mixture, common: list[frozenset[str]]) -> list[str]:
     return out
 
 
+def with_prose(rows: DataFrame, common: list[frozenset[str]], key: str = "doc_id") -> DataFrame:
+    """``rows``, which have STATISTICS, with the column ``prose`` in place of these: the posterior of prose by a mixture fitted on all rows; 0 for blank texts."""
+    model = fit(rows, key, common)
+    prose = np.asarray([label == "prose" for label in labelled(model, common)], float) if model else None
+    kept = [c for c in rows.columns if c not in STATISTICS]
+
+    def judge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = np.column_stack([b.column(b.schema.get_field_index(s)).to_numpy(zero_copy_only=False) for s in STATISTICS])
+            share = np.where(x[:, 0] == 0, 0.0, model.posterior(model.standardised(x))[0] @ prose) if model and len(x) else np.zeros(len(x))
+            yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in kept), pa.array(share)], [*kept, "prose"])
+
+    return rows.mapInArrow(judge, ", ".join(f"`{n}` {t}" for n, t in rows.dtypes if n in kept) + ", prose double")
+
+
 def classified(docs: DataFrame, common_words: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, STATISTICS..., label, prose): label is prose, list, table or junk; prose the posterior of prose. Blank texts are junk with prose 0."""
     rows = materialise(with_statistics(docs, common_words, key, text), "statistics")

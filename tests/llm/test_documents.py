@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tamisol.llm import leakage, mixing, quality
@@ -245,3 +246,17 @@ def test_mixture_recovers_known_components(spark):
     post, _ = model.posterior(model.standardised(x))
     low, high = set(post[:600].argmax(1)), set(post[600:].argmax(1))
     assert not low & high
+
+
+def test_weights_come_from_all_documents(spark):
+    """With more documents than any sample holds, weights are what the mixture over all of them says of each."""
+    rng = random.Random(4)
+    words, small = [f"{a}{b}{c}" for a in "bdkl" for b in "aeo" for c in ("rin", "tal", "mos", "n")], ["the", "of", "and", "to", "in"]
+    prose = lambda n: " ".join(rng.choice(small if rng.random() < 0.4 else words) for _ in range(n)) + "."
+    table = lambda n: "\n".join(f"{rng.randrange(9999)} | {rng.choice(words)} | 0.{rng.randrange(99)}" for _ in range(n))
+    rows = [(i, "s", prose(rng.randrange(20, 60)) if i % 3 else table(rng.randrange(3, 9))) for i in range(6_500)] + [(7_000, "s", " "), (7_001, "s", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(4)
+    common = spark.createDataFrame([("en", w) for w in small], "lang string, word string")
+    want = {r.doc_id: max(r.prose, mixing.LEAST) for r in quality.classified(docs, common).collect()}
+    got = {r.doc_id: (r.weight, r.tokens) for r in mixing.with_tokens(docs, common).collect()}
+    assert {k: w for k, (w, _) in got.items()} == pytest.approx(want, abs=1e-6) and got[7_001] == (mixing.LEAST, 0)
