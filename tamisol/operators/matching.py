@@ -244,6 +244,100 @@ def candidates(names: DataFrame, lists: DataFrame, telling: int = TELLING) -> Da
     return words.join(containing(words, texts), "needle").join(texts, "text").select("name", "id").distinct()
 
 
+#: Names and entries of a cell of ``candidate_counts``; rows beyond which a word's entries are kept as bits.
+NAMES, ENTRIES, DENSE = 16_384, 65_536, 64
+
+
+def _holders(words: list[str], texts: list[str]) -> list[np.ndarray]:
+    """For each word, which of the texts hold it, ascending. Words hold no line end."""
+    blob = "\n".join(texts)
+    code = np.frombuffer(blob.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    row = np.repeat(np.arange(len(texts)), np.array([len(t) + 1 for t in texts], np.int64))[: len(code)]
+    out = [np.zeros(0, np.int64)] * len(words)
+    for size in range(1, GRAM + 1):
+        which = [k for k, w in enumerate(words) if min(len(w), GRAM) == size]
+        if not which or len(code) < size:
+            continue
+        # every part of the texts by its characters; of a word's parts, the one that stands in the fewest places
+        part = np.zeros(len(code) - size + 1, np.int64)
+        for k in range(size):
+            part = part << 21 | code[k : len(code) - size + 1 + k]
+        order = np.argsort(part, kind="stable")
+        part = part[order]
+        own, start, key, _ = _parts([words[k] for k in which], size)
+        low, high = np.searchsorted(part, key), np.searchsorted(part, key, "right")
+        rarest = np.lexsort((high - low, own))
+        for i in rarest[np.r_[True, own[rarest][1:] != own[rarest][:-1]]].tolist():
+            k, at = which[own[i]], order[low[i] : high[i]] - start[i]
+            if len(w := words[k]) > size:
+                at = np.array([p for p in at.tolist() if p >= 0 and blob.startswith(w, p)], np.int64)
+            out[k] = np.unique(row[at])
+    return out
+
+
+def _counts(names: list[tuple[str, list[str]]], texts: list[str]) -> Iterator[tuple[str, int]]:
+    """(name, how many texts hold any of its words), names without any left out."""
+    words = sorted({w for _, own in names for w in own})
+    holders = dict(zip(words, _holders(words, texts), strict=True))
+    sets, bits = {}, {}
+    for w, rows in holders.items():
+        if len(rows) <= DENSE:
+            sets[w] = frozenset(rows.tolist())
+        else:
+            flags = np.zeros(-(-len(texts) // 64) * 64, bool)
+            flags[rows] = True
+            bits[w] = np.packbits(flags, bitorder="little").view(np.uint64)
+    known: dict[tuple[str, ...], tuple[np.ndarray, int]] = {}
+    for name, own in names:
+        frequent = tuple(sorted(w for w in own if w in bits))
+        rare = frozenset().union(*(sets[w] for w in own if w in sets))
+        n = len(rare)
+        if frequent:
+            if frequent not in known:
+                any_ = np.bitwise_or.reduce([bits[w] for w in frequent])
+                known[frequent] = any_, int(np.bitwise_count(any_).sum())
+            any_, n = known[frequent]
+            n += sum(not int(any_[r >> 6]) >> (r & 63) & 1 for r in rare)
+        if n:
+            yield name, n
+
+
+def candidate_counts(names: DataFrame, lists: DataFrame, telling: int = TELLING) -> DataFrame:
+    """(name, candidates): the number of ``candidates`` of each name that has any; entries are told apart by id, null isn't counted.
+
+    Both sides are dealt into blocks, and each two blocks are a cell, in which entries are bits and those of a name's words are united. So no pair is written, though a word
+    of one letter stands in nearly all entries.
+    """
+    ship(names.sparkSession)
+    named = materialise(names.select("name").distinct().select("name", looked_up(F.col("name"), telling).alias("words")).filter(F.size("words") > 0), "names")
+    texts = lists.select("id", low("full_name").alias("text")).filter("text is not null").distinct()
+    # several texts of an id are one entry; entries without an id are one that isn't counted
+    texts = materialise(texts.groupBy("id").agg(F.array_sort(F.collect_list("text")).alias("texts")).select("id", F.array_join("texts", "\n").alias("text")), "texts")
+    rows, columns = max(1, -(-named.count() // NAMES)), max(1, -(-texts.count() // ENTRIES))
+    block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n).cast("long"))
+    cells = lambda n, of: F.explode(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), of)).alias("cell")
+    both = named.select(cells(columns, lambda k: block("name", rows) * columns + k), F.lit(0).alias("side"), F.col("name").alias("s"), "words")
+    both = both.unionByName(texts.select(cells(rows, lambda k: k * columns + block("id", columns)), F.when(F.col("id").isNull(), 2).otherwise(1).alias("side"), F.col("text").alias("s"), F.lit(None).cast("array<string>").alias("words")))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def counted(own: list, held: list[str], other: list[str]) -> pa.RecordBatch:
+            found = dict(_counts(own, held)) if own and held else {}
+            found |= {name: 0 for name, _ in _counts(own, other) if name not in found} if own and other else {}
+            return pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.string()), pa.array(found.values(), pa.int64())], ["name", "n"])
+
+        cell, sides = None, ([], [], [])
+        for batch in batches:
+            for c, side, s, words in zip(*(v.to_pylist() for v in batch.columns), strict=True):
+                if c != cell:
+                    yield counted(*sides)
+                    cell, sides = c, ([], [], [])
+                sides[side].append((s, words) if side == 0 else s)
+        yield counted(*sides)
+
+    many = max(int(named.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows * columns)
+    return both.repartition(many, "cell").sortWithinPartitions("cell").mapInArrow(scan, "name string, n long").groupBy("name").agg(F.sum("n").alias("candidates"))
+
+
 def similarities(pairs: DataFrame, a: str, b: str, na: str, nb: str) -> dict[str, Column]:
     """All 21 similarities of the raw names a, b and normalised names na, nb."""
     x, y, p, q = F.col(a), F.col(b), F.col(na), F.col(nb)

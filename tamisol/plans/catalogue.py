@@ -182,7 +182,7 @@ def screen_exact(spark: SparkSession, d: str) -> DataFrame:
 @query("WITH w AS (SELECT DISTINCT name_queried AS name, unnest(list_distinct(list_filter(regexp_split_to_array(lower(replace(name_queried, 'İ', 'i')), '\\s+'), lambda x: x <> ''))) needle FROM prior_cases), t AS (SELECT needle, count(*) c FROM w GROUP BY 1) SELECT name, count(DISTINCT id) candidates FROM w JOIN sanctions s ON contains(lower(replace(s.full_name, 'İ', 'i')), needle) GROUP BY 1")
 def token_candidates(spark: SparkSession, d: str) -> DataFrame:
     names = table(spark, d, "prior_cases").select(F.col("name_queried").alias("name"))
-    return matching.candidates(names, table(spark, d, "sanctions")).groupBy("name").agg(F.count(F.lit(1)).alias("candidates"))
+    return matching.candidate_counts(names, table(spark, d, "sanctions"))
 
 
 def _holds(spark: SparkSession, d: str, entity, top: int) -> DataFrame:

@@ -154,3 +154,18 @@ def test_containing_writes_few_parts(spark):
     long = matching.containing(spark.createDataFrame([(t[:20],) for t in texts[:10]], "needle string"), spark.createDataFrame([(x,) for x in texts], "text string"))
     plan = long._jdf.queryExecution().executedPlan().toString()
     assert long.count() >= 10 and plan.count("MapInArrow") == 1 and "Generate" not in plan
+
+
+def test_candidates_are_counted_without_pairs(spark):
+    """Words of one letter stand in nearly all entries: no pair is written. Repeated ids count once, null ones don't, short and odd words are found."""
+    rng = random.Random(13)
+    people = [*some_names(8, 60), "a", "𝐀 zz", "o'", "É", None, "zzz"]
+    entries = [(i % 180, n) for i, n in enumerate(some_names(9, 120) * 2)] + [(500, "𝐀nna"), (501, "a"), (501, "É x"), (502, None), (None, "qqzzzqq")] + [(600 + i, rng.choice(["ana b", "li x"])) for i in range(200)]
+    df = matching.candidate_counts(spark.createDataFrame([(n,) for n in people], "name string"), spark.createDataFrame(entries, "id long, full_name string"))
+    want = {}
+    for n in {p for p in people if p}:
+        held = [i for i, t in entries if t and any(w in t.lower() for w in n.lower().split())]
+        if held:
+            want[n] = len({i for i in held if i is not None})
+    assert {r.name: r.candidates for r in df.collect()} == want and want["zzz"] == 0
+    assert "Join" not in df._jdf.queryExecution().executedPlan().toString()
