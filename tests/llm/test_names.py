@@ -282,3 +282,10 @@ def test_rarity_of_shared_words(spark):
     rows = [(i, f"Anna Kordovsky {'abcdefgh'[i % 8]}x{i}", "", "") for i in range(6)] + [(10, "Mira Plenzburg", "", ""), (11, "Mira Plenzburk", "", "")]
     got = {(r.a, r.b): r.rare for r in linkage.candidate_pairs(spark.createDataFrame([(names.packed(n), d, c, i) for i, n, d, c in rows], "packed string, dob string, nation string, profile long")).collect()}
     assert got[0, 1] == 1 and got[10, 11] == 0 and all((i, i) in got for i, *_ in rows)
+
+
+def test_names_of_a_common_word_meet():
+    common = variants.Common(["klusmeski", names.spelling("klusmesky")])
+    keys = lambda t: {k for k, _, _ in variants.key_words(names.packed(t), common)}
+    full = keys("Klusmesky Northern Textiles Limited")
+    assert all(keys(t) & full for t in ("Klusmesky Northern Textiles Ltd", "Northern Klusmesky Textiles", "Kluswesky Textiles Limited")) and keys("Klusmesky Ltd") & keys("Klusmesky Limited")
