@@ -289,3 +289,28 @@ def test_names_of_a_common_word_meet():
     keys = lambda t: {k for k, _, _ in variants.key_words(names.packed(t), common)}
     full = keys("Klusmesky Northern Textiles Limited")
     assert all(keys(t) & full for t in ("Klusmesky Northern Textiles Ltd", "Northern Klusmesky Textiles", "Kluswesky Textiles Limited")) and keys("Klusmesky Ltd") & keys("Klusmesky Limited")
+
+
+def test_words_are_prepared_once(monkeypatch):
+    seen: list[str] = []
+    plain = names.spelling
+    monkeypatch.setattr(names, "spelling", lambda w: seen.append(w) or plain(w))
+    common = variants.Common(["ivan"])
+    for name in ("ivan klusmesky", "ivan klusmesky petrovich", "klusmesky ivan"):
+        assert ("klsmsk", "klusmeski", "i") in [(k, s, i[:1]) for k, s, i in variants.key_words(name, common)]
+    # neither a word again nor a whole name that isn't a key
+    assert sorted(seen) == ["ivan", "klusmesky", "petrovich"]
+
+
+def test_best_links_score_each_pair_once(monkeypatch):
+    asked: list[tuple[str, str]] = []
+    monkeypatch.setattr(names, "score", lambda a, b: asked.append((a, b)) or {"b": 1.0, "c": 0.84, "d": 0.83, "e": 0.62, "f": 0.61}[b])
+    rows = [("s", "x", y) for y in "bcdbcf"] + [("t", "x", y) for y in "effe"] + [("s", "y", "f")]
+    assert sorted(variants.best_links(rows)) == [("s", "x", "b", 1.0), ("s", "x", "c", 0.84), ("t", "x", "e", 0.62)]
+    assert len(asked) == 7 and list(variants.best_links([])) == []
+
+
+def test_letters_are_written_as_whole_texts_are():
+    for text in ("Łódź ÅNGSTRÖM ǅ", "Ёлка Щука Їжак", "مُحَمَّد أحمد", "Nguyễn Đỗ", "İnci ΣΑΣ ﬁ ｆｕｌｌ", "각 が"):
+        whole = names.unicodedata.normalize("NFKD", text.lower().translate(names._TABLE)).translate(names._TABLE)
+        assert names.latin(text) == "".join(c for c in whole if not names.unicodedata.combining(c))
